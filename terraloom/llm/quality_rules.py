@@ -144,8 +144,9 @@ def op7_repetition_quality(spark, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     cover = ",\n".join(
         f"""g{n} AS (SELECT w.k, sum(w.wc) AS c FROM w JOIN
-          (SELECT DISTINCT k, unnest(range(i, i + {n})) AS i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, hash(list_slice(ws, i, i + {n - 1}))) AS n
-             FROM (SELECT k, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM d)) WHERE n > 1) r
+          (SELECT DISTINCT k, unnest(range(i, i + {n})) AS i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n
+             FROM (SELECT k, unnest(range(1, len(ws) - {n - 2})) AS i,
+                     unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: hash(list_slice(ws, i, i + {n - 1})))) AS g FROM d)) WHERE n > 1) r
           ON w.k = r.k AND w.i = r.i GROUP BY w.k)"""
         for n in (3, *GRAM_LIMITS)
     )
