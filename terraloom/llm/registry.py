@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["fingerprints", "html_text", "ngram_join", "private_data", "quality_rules", "warc_chunks"]
+_MODULES = ["fingerprints", "html_text", "line_dedup", "ngram_join", "private_data", "quality_rules", "warc_chunks"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
