@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["fingerprints", "html_text", "line_dedup", "ngram_join", "private_data", "quality_rules", "warc_chunks"]
+_MODULES = ["html_text", "token_counts", "ngram_join", "private_data", "warc_chunks", "packing", "quality_rules", "fingerprints", "line_dedup"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
