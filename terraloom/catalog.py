@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import distance
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (distance,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
