@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import distance
+from .plans import distance, relational
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (distance,):
+for _module in (distance, relational):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
