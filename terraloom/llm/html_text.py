@@ -47,6 +47,8 @@ _MARKS = frozenset(
 _LAYOUT = frozenset("has with no without is js".split())
 _WORDS = re.compile(r"[a-z]+")
 _GAP = re.compile(r"\s+")
+#: A tag that the end of the page cuts off.
+_CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = frozenset("table td th ul ol dl div section article main body nav aside form header footer blockquote".split())
 SIGMA = 1.0
@@ -145,6 +147,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The main text of one page."""
     if not html:
         return ""
+    html = _CUT_OFF.sub("", html)
     page = _Blocks()
     try:
         page.feed(html)
