@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import distance, relational
+from .plans import distance, flows, relational
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (distance, relational):
+for _module in (distance, relational, flows):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

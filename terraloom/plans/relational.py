@@ -208,10 +208,10 @@ def two_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals of each user's events, as a session of guesses: answered so far, errors so far, mean value."""
+    """Running totals of each user's events, as a session of guesses: answered so far, errors so far, total value."""
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("answered"), F.sum((F.col("event_type") == "error").cast("long")).over(w).alias("errors"), F.round(F.avg("value").over(w), 4).alias("mean"))
+    return e.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("answered"), F.sum((F.col("event_type") == "error").cast("long")).over(w).alias("errors"), F.round(F.sum("value").over(w), 2).alias("total"))
 
 
 QUERIES = {
@@ -268,5 +268,5 @@ ORACLES = {
     "hierarchy_check": "SELECT 'customer' AS level, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)",
     "column_profile": " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER ({c} IS NULL OR trim({c}::VARCHAR) = '') AS missing, count(DISTINCT {c}) AS distinct FROM customer""" for c in ("c_custkey", "c_nationkey", "c_mktsegment")),
     "two_level_counts": "WITH v AS (SELECT c_nationkey, c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, string_agg(k || '=' || n, ',' ORDER BY k) AS counts FROM v GROUP BY 1",
-    "session_totals": "SELECT event_id, user_id, count(*) OVER w AS answered, (sum((event_type = 'error')::INT) OVER w)::BIGINT AS errors, round(avg(value) OVER w, 4) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+    "session_totals": "SELECT event_id, user_id, count(*) OVER w AS answered, (sum((event_type = 'error')::INT) OVER w)::BIGINT AS errors, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
 }
