@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Letters with a stroke and ligatures keep their base form here; accent stripping alone is not uniform on them.
 _FOLD = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("đ", "d"), ("ł", "l"))
@@ -105,7 +106,7 @@ def in_block(c: Column, block: str) -> Column:
     return c.rlike(r"\p{In%s}" % block)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     from difflib import SequenceMatcher
 
