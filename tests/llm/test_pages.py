@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import uuid
 
 from terraloom.llm._shared import shared_dir
 from terraloom.llm.html_text import extract, main_text, smoothed
@@ -59,7 +60,7 @@ def test_round_trip(spark):
     rows = [(1, "http://a/ü b\r\nx", big, 0), (2, None, big, 0), (3, "u", "small", 0), (4, "u", "small", 0), (5, "u", None, 0), (None, "u", big, 0), (6, "u", "y" * 999, 0), (7, "u", "y" * 999, 0), (9, "u", "z" * 1000, 0), (9, "u", "z" * 1000, 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int")
     for chunk in (64, 1 << 16):
-        path = f"{shared_dir(spark)}/warc-test-{chunk}"
+        path = f"{shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
         write(pages, path, chunk)
         got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in read(spark, path).collect()), key=repr)
         expected = []
