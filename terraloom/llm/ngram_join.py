@@ -15,9 +15,11 @@ A document whose partner may lie in the band below is indexed there too.  Freque
 all documents: they steer cost only, never correctness.
 
 Equal sets are one node from the start.  A signature's nodes form a star around the smallest; star pairs are verified
-exactly, on the texts; then signatures whose nodes are still in different components get the pairs across, until
-no pair under any signature is both unverified and unconnected.  So no group is expanded to all pairs while one
-component holds it, and no link between components is lost.
+exactly, on the texts; signatures whose nodes are still in different components get further stars, and at last the pairs
+across components, so that no pair under any signature is left both unverified and unconnected.  So no group is expanded to
+all pairs while one component holds it, and no link between components is lost.  Before texts are fetched, pairs must pass a
+bound that every link passes: sizes, and parities of the shingles by bit of a hash, of which each shingle that the sets do
+not share flips one.
 
 Set and word hashes have 64 bits; equality is taken at that width.
 
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -50,6 +52,9 @@ FREQUENT = 1024
 HIGH = 0.7
 #: The largest id list that is broadcast, by rows; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Longs of a set's parity sketch.
+SKETCH = 16
+_BITS = [f"p{k}" for k in range(SKETCH)]
 
 
 def shingles(s: Slice, n: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +92,33 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.select(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text").alias("row_key"), "doc_id", "text")
 
 
+def _parities(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Sketch of each set: bit b says whether an odd number of its shingles hash to b. One shingle more or less flips one bit."""
+    out = np.zeros((rows, SKETCH), np.int64)
+    wide = SKETCH * 64
+    bit = (mix(h + np.uint64(11)) % np.uint64(wide)).astype(np.int64)
+    for lo in range(0, rows, 1024):
+        hi = min(rows, lo + 1024)
+        i, j = np.searchsorted(row, (lo, hi))
+        odd = np.bincount((row[i:j] - lo) * wide + bit[i:j], minlength=(hi - lo) * wide) & 1
+        out[lo:hi] = np.packbits(odd.astype(bool).reshape(hi - lo, wide), axis=1).view(np.int64)
+    return out
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Necessary for a link of two nodes whose sizes and sketches have these suffixes: the sizes are near enough, and no more parities differ than shingles may."""
+    differ = sum((F.bit_count(F.col(f"p{k}{a}").bitwiseXOR(F.col(f"p{k}{b}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"p0{a}").bitwiseXOR(F.col(f"p0{b}"))))
+    x, y = F.col(f"n_shingles{a}"), F.col(f"n_shingles{b}")
+    return (NUM * F.greatest(x, y) <= DEN * F.least(x, y)) & ((DEN + NUM) * differ <= (DEN - NUM) * (x + y))
+
+
+def _sketches(nodes: DataFrame, suffix: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(f"node{suffix}"), F.col("n_shingles").alias(f"n_shingles{suffix}"), *[F.col(p).alias(p + suffix) for p in _BITS])
+
+
 def _sized(keyed: DataFrame, n: int) -> DataFrame:
-    """(row_key, doc_id, n_shingles, node): node names the set; without shingles it is the row_key."""
+    """(row_key, doc_id, n_shingles, node, sketch): node names the set; without shingles it is the row_key."""
+    names = ["row_key", "doc_id", "n_shingles", "node", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +128,10 @@ def _sized(keyed: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(s.first, s.rows)
                 node = mix(_sums(row, mix(h), s.rows) + size.astype(np.uint64)).view(np.int64)
                 node = np.where(size > 0, node, part.column(0).to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(node)], ["row_key", "doc_id", "n_shingles", "node"])
+                bits = _parities(h, row, s.rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(node), *(pa.array(bits[:, k].copy()) for k in range(SKETCH))], names)
 
-    return keyed.mapInArrow(run, "row_key long, doc_id long, n_shingles long, node long")
+    return keyed.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def frequent_shingles(keyed: DataFrame, n: int, total: int) -> np.ndarray:
@@ -247,10 +278,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the threshold, from whole texts."""
-    spark = pairs.sparkSession
-    sized = nodes.select("node", "n_shingles")
-    pairs = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where(f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)").select("a", "b")
-    pairs = written(pairs, "pairs")
+    near = pairs.withColumnsRenamed({"a": "node_a", "b": "node_b"}).join(_sketches(nodes, "_a"), "node_a").join(_sketches(nodes, "_b"), "node_b").where(_may_link("_a", "_b"))
+    pairs = written(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row_key"), "node")
     wanted = written(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
@@ -283,12 +312,21 @@ def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, n: int) -> D
     return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: components of the graph of roots."""
+    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    up = written(components(between), "roots").toDF("root", "up")
+    old = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return written(old.unionByName(up.select(F.col("root").alias("node"), F.col("up").alias("root")).join(roots, "node", "left_anti")), "roots")
+
+
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, row_key) of every row; row_key is the same for equal rows only."""
     spark = docs.sparkSession
     keyed = _keyed(docs, text, doc_id)
     sized = written(_sized(keyed, n), "sized")
-    nodes = sized.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"))
+    nodes = sized.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", *_BITS)])
     nodes = written(nodes, "nodes")
     total = sized.count()
     frequent = spark.sparkContext.broadcast(frequent_shingles(keyed, n, total))
@@ -300,16 +338,30 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", do
     links = _verified(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), keyed, nodes, n)
     roots = written(components(links), "roots")
 
-    # Signatures that still join different components: the pairs across, but for those with the star's centre.
+
     wide = stars.where("sig IS NOT NULL")
-    members = wide.select("sig", "node").unionByName(wide.select("sig", F.col("rep").alias("node")).distinct())
-    placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    rest = written(placed.join(split, "sig").join(nodes.select("node", "n_shingles"), "node").join(wide.select("sig", "rep").distinct(), "sig").where("node <> rep").select("sig", "node", "root", "n_shingles"), "open")
-    left, right = rest.toDF("sig", "a", "ra", "na"), rest.toDF("sig", "b", "rb", "nb")
-    across = left.join(right, "sig").where(f"a < b AND ra <> rb AND {NUM} * greatest(na, nb) <= {DEN} * least(na, nb)").select("a", "b").distinct()
-    more = _verified(across, keyed, nodes, n)
-    roots = written(components(links.unionByName(more)), "roots")
+    members = written(wide.select("sig", "node").unionByName(wide.select("sig", F.col("rep").alias("node")).distinct()), "members")
+    # Signatures that still join different components get another star, around a node of the component that has most of
+    # their nodes, as long as the last star linked 1 in 100 of the nodes and the pairs across outnumber the nodes.
+    turn, gain, apart = 0, 1, 0
+    while True:
+        placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        by_root = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("pick"))
+        split = by_root.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", F.col("pick.node").alias("node"))).alias("c"), ((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")).where("roots > 1")
+        members = written(placed.join(split.select("sig", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"), "across"), "sig"), "members")
+        size = members.groupBy("sig").agg(F.first("across").alias("across"), F.count(F.lit(1)).alias("n")).agg(F.sum("across"), F.sum("n")).first()
+        if not size[1] or size[0] <= 2 * size[1] or 100 * gain < apart:
+            break
+        apart = members.select("node").distinct().count()
+        more = _verified(members.where("root <> centre_root").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), keyed, nodes, n)
+        roots, gain = _merged(roots, more), more.count()
+        members, turn = members.select("sig", "node"), turn + 1
+    rest = members.select("sig", "node", "root").join(nodes.select("node", "n_shingles", *_BITS), "node")
+    left, right = (rest.withColumnsRenamed({c: f"{c}_{side}" for c in rest.columns}) for side in "ab")
+    ahead = (F.col("sig_a") == F.col("sig_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    across = left.join(right, ahead & _may_link("_a", "_b"))
+    more = _verified(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), keyed, nodes, n)
+    roots = _merged(roots, more)
 
     named = roots.join(nodes.select("node", "low"), "node")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -321,13 +373,17 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", do
 
 def keep_one(docs: DataFrame, n: int = N_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without shingles, and of every component one row: the first by (id, row_key)."""
-    found = jaccard_components(docs, n, text, doc_id)
+    found = written(jaccard_components(docs, n, text, doc_id), "found")
     first = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_id").agg(F.min("row_key").alias("row_key")).select("row_key")
     chosen = written(first.unionByName(found.where("n_shingles = 0").select("row_key")).distinct(), "kept")
+    twice = written(found.where("n_shingles > 0").groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    named = docs.withColumn("__row_key", F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.col(doc_id).cast("long").isNull(), F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return named.join(chosen.select(F.col("row_key").alias("__row_key")), "__row_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.col(doc_id).cast("long").isNull(), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    wide = docs.select(key.alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(chosen, "row_key", "left_semi")
+    if not twice.isEmpty():  # equal rows with shingles are copies of each other too
+        wide = wide.join(twice, "row_key", "left_anti").unionByName(wide.join(twice, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return wide.select("row.*")
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
