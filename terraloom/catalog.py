@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import distance, evidence, flows, relational
+from .plans import coverages, distance, evidence, flows, relational
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (distance, relational, flows, evidence):
+for _module in (distance, relational, flows, evidence, coverages):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
