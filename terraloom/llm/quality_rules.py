@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ._text import SPACE, Slice, gram_hash, mix, repeated, slices, span_hash
 
-#: Largest share of word characters inside duplicated n-grams, by n (public heuristics for web text).
-GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Largest share of word characters inside duplicated n-grams, by n.  All copies count here, the first included, so the
+#: limits are over twice those of public heuristics that count later copies only; a text of some lines that ends
+#: with the line it began with is no repetitive text.
+GRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
 #: Largest share of lines, and of their characters, that repeat an earlier line.
-LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+LINE_LIMIT, LINE_CHAR_LIMIT = 0.40, 0.30
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
