@@ -94,3 +94,25 @@ def fit_budget(df: DataFrame, render, tolerances: list[float], budget: int) -> f
 def rounded_point(lat: Column, lon: Column, step: Column) -> Column:
     """A point's coordinates as JSON on a grid."""
     return F.concat(F.lit("["), (F.round(lon / step) * step).cast("string"), F.lit(","), (F.round(lat / step) * step).cast("string"), F.lit("]"))
+
+
+def place_labels(labels: DataFrame, id: str, spacing_km: dict[float, float]) -> DataFrame:
+    """(id, zoom): the first zoom at which each label fits. ``labels`` has lat, lon and rank (the order in which a greedy pass tries
+    them) and min_zoom; at each zoom, ascending, the labels already placed come first and keep their place."""
+    placed, base = None, labels.select(F.col(id).alias("id"), "lat", "lon", "rank", "min_zoom")
+    for zoom in sorted(spacing_km):
+        wanted = base.where(F.col("min_zoom") <= zoom)
+        if placed is None:
+            tried = wanted.withColumn("first", F.lit(1))
+        else:
+            tried = wanted.join(placed.select("id", F.lit(0).alias("first")), "id", "left").withColumn("first", F.coalesce("first", F.lit(1)))
+        pairs = _pairs(tried.select("id", "lat", "lon", "first"), "id", spacing_km[zoom], "first").where("NOT (first = 0 AND first_2 = 0)")
+        fits = graph.greedy_independent(tried.select("id", F.struct("first", "rank").alias("rank")), pairs.select("src", "dst"))
+        new = fits.withColumn("zoom", F.lit(float(zoom)))
+        placed = new if placed is None else placed.unionByName(new.join(placed.select("id"), "id", "left_anti"))
+    return placed.withColumnRenamed("id", id)
+
+
+def territories(cells: DataFrame, seeds: DataFrame, cell_id: str, seed_id: str, code: str) -> DataFrame:
+    """(cell_id, code): each grid cell (lat, lon of its centre) goes to the code of its nearest seed (rlat, rlon): Voronoi regions on a grid, to be dissolved by code."""
+    return spatial.nearest(cells, seeds, cell_id, seed_id).join(seeds.select(seed_id, code), seed_id).select(cell_id, code)

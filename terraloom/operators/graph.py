@@ -68,3 +68,24 @@ def grow(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFram
             return found
         found = after
     return found
+
+
+def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id): what a greedy pass in ascending (rank, id) would keep, each kept node ruling out its neighbours.
+
+    ``nodes`` (id, rank), symmetric ``edges`` (src, dst). In a round, every open node that no open neighbour precedes is kept and
+    its neighbours go: the rounds give the sequential result, with as many rounds as the longest chain of precedence.
+    """
+    ranked = cut(nodes.select("id", F.struct("rank", "id").alias("r")))
+    open_edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    kept, left = None, ranked
+    while True:
+        rivals = open_edges.join(left.select(F.col("id").alias("src"), F.col("r").alias("rs")), "src").join(left.select(F.col("id").alias("dst"), F.col("r").alias("rd")), "dst")
+        behind = rivals.where("rd < rs").select(F.col("src").alias("id")).distinct()
+        won = cut(left.join(behind, "id", "left_anti").select("id"))
+        kept = won if kept is None else kept.unionByName(won)
+        gone = open_edges.join(won.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
+        left = cut(left.join(won, "id", "left_anti").join(gone, "id", "left_anti"))
+        if left.isEmpty():
+            return kept
+        open_edges = cut(open_edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))

@@ -45,7 +45,20 @@ def regions_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.regions_by_place(customers(spark, sf_dir), "c_nationkey")
 
 
-QUERIES = {f.__name__: f for f in (cluster_stats, dense_core, leave_one_out, distance_evidence, rasterise, regions_by_place)}
+def label_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as labels by balance, spaced 900 km at zoom 3.5 and 400 km at 4.5."""
+    c = customers(spark, sf_dir).select("c_custkey", "lat", "lon", (-F.col("c_acctbal")).alias("rank"), F.when(F.col("c_custkey") % 4 == 0, 3.5).otherwise(4.5).alias("min_zoom"))
+    return L.place_labels(c, "c_custkey", {3.5: 900.0, 4.5: 400.0})
+
+
+def territory_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-degree cells that hold customers, by the nation of the nearest supplier to their centres."""
+    c = customers(spark, sf_dir).select(F.floor(F.col("lat") / 4).alias("cy"), F.floor(F.col("lon") / 4).alias("cx")).distinct()
+    cells = c.select((F.col("cy") * 1000 + F.col("cx")).alias("cell"), (F.col("cy") * 4.0 + 2).alias("lat"), (F.col("cx") * 4.0 + 2).alias("lon"))
+    return L.territories(cells, suppliers(spark, sf_dir), "cell", "s_suppkey", "s_nationkey")
+
+
+QUERIES = {f.__name__: f for f in (cluster_stats, dense_core, leave_one_out, distance_evidence, rasterise, regions_by_place, label_placement, territory_cells)}
 _PAIRS = f"e AS (SELECT a.c_custkey AS x, b.c_custkey AS y, a.c_nationkey AS nx, b.c_nationkey AS ny, {_KM} AS km FROM c a JOIN c b ON a.c_custkey <> b.c_custkey AND abs(a.lat - b.lat) < 8)"
 ORACLES = {
     "cluster_stats": f"""WITH RECURSIVE {SQL_POINTS}, {_PAIRS}, t(id, reach) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_nationkey < 5 UNION SELECT t.id, e.y FROM t JOIN e ON e.x = t.reach AND e.km <= 600 AND e.nx = e.ny),
@@ -59,4 +72,6 @@ ORACLES = {
     "rasterise": f"""WITH g AS (SELECT DISTINCT floor({SQL_LON.format(k="c_custkey")})::BIGINT AS west, floor({SQL_LAT.format(k="c_custkey")})::BIGINT AS south FROM customer)
       SELECT west * 2 + i AS gx, south * 2 + j AS gy, count(*) AS n FROM g, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j) GROUP BY 1, 2""",
     "regions_by_place": f"WITH {SQL_POINTS}, m AS (SELECT c_nationkey, avg(lat) AS lat, avg(lon) AS lon FROM c GROUP BY 1) SELECT c_nationkey, 'region-' || row_number() OVER (ORDER BY round(lat, 6) DESC, round(lon, 6), c_nationkey) AS region_id FROM m",
+    "territory_cells": f"""WITH {SQL_POINTS}, g AS (SELECT DISTINCT floor(lat / 4)::BIGINT AS cy, floor(lon / 4)::BIGINT AS cx FROM c), a AS (SELECT cy * 1000 + cx AS cell, cy * 4.0::DOUBLE + 2 AS lat, cx * 4.0::DOUBLE + 2 AS lon FROM g)
+      SELECT cell, s_nationkey FROM (SELECT a.cell, s_suppkey, s_nationkey, {_KM.replace("b.lat", "b.rlat").replace("b.lon", "b.rlon")} AS km FROM a, s b) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY km, s_suppkey) = 1""",
 }

@@ -68,3 +68,20 @@ def test_budget_ladder(spark):
     assert L.fit_budget(df, render, [1e-6, 1e-3, 1.0], 12) == 1.0
     with pytest.raises(ValueError):
         L.fit_budget(df, render, [1e-6], 3)
+
+
+def test_labels_as_a_greedy_pass(spark):
+    rng = random.Random(11)
+    rows = [(k, rng.uniform(-3, 3), rng.uniform(-3, 3), rng.randrange(5), rng.choice([3.5, 4.5])) for k in range(80)]
+    got = {r.id: r.zoom for r in L.place_labels(spark.createDataFrame(rows, "id long, lat double, lon double, rank int, min_zoom double"), "id", {3.5: 200.0, 4.5: 90.0}).collect()}
+
+    def km(a, b):
+        la, lo, lb, lp = map(math.radians, (a[1], a[2], b[1], b[2]))
+        return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2))
+
+    placed = {}
+    for zoom, gap in ((3.5, 200.0), (4.5, 90.0)):
+        for r in sorted(rows, key=lambda r: (r[3], r[0])):
+            if r[0] not in placed and r[4] <= zoom and all(km(r, rows[o]) > gap for o in placed):
+                placed[r[0]] = zoom
+    assert got == placed
