@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._text import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 21
 _SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: Longer units are merged one by one with a heap.
