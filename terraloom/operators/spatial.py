@@ -2,7 +2,7 @@
 
 Distance joins never compare all pairs.  Points lie in a cubic grid of the unit sphere whose cell is the straight
 distance that belongs to the radius; a point meets the 27 cells around its own, and the exact distance decides.  The grid
-has no seam at the date line or the poles.  Nearest-neighbour search doubles the radius for the points still open.
+has no seam at the date line or the poles.  Nearest-neighbour search picks the grid's level by the local density.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from ._shared import cut
 
 
 def _chord(km: float) -> float:
@@ -35,28 +34,43 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lo
     return a.join(b, ["__x", "__y", "__z"]).drop("__x", "__y", "__z").withColumn("km", dist).where(F.col("km") <= km)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, start_km: float = 200.0) -> DataFrame:
-    """The k nearest of ``right`` (rlat, rlon) for every row of ``left`` (lat, lon), ties by id: (left_id, right_id, km, rank).
+#: Levels of the grid for nearest neighbours; a cell of level n is 2 ** -n of the cube's side, at the last about 200 metres.
+LEVELS = 16
 
-    A row is settled once k neighbours lie within the radius; the others go on with four times the radius. The loop ends
-    when the radius spans the globe.
+
+def _fine_cells(lat: str, lon: str) -> list[Column]:
+    top = (1 << LEVELS) - 1
+    return [F.least(F.lit(top), F.greatest(F.lit(0), F.floor((v + 1.0) / 2.0 * F.lit(float(1 << LEVELS))).cast("int"))) for v in G.unit_vector(F.col(lat), F.col(lon))]
+
+
+def _levelled(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """A row per level with the cell (__x, __y, __z) of each point."""
+    fine = df.withColumns(dict(zip(("__fx", "__fy", "__fz"), _fine_cells(lat, lon), strict=True))).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    return fine.withColumns({f"__{c}": F.expr(f"shiftright(__f{c}, {LEVELS} - __l)") for c in "xyz"}).drop("__fx", "__fy", "__fz")
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1) -> DataFrame:
+    """The k nearest of ``right`` (rlat, rlon) for every row of ``left`` (unique ids; lat, lon), ties by id: (left_id, right_id, km, rank).
+
+    Cells of ``right`` are counted at every level. The finest cell around a left point that holds k points bounds the distance of
+    the k-th neighbour by its diagonal, less than the side of the next coarser cell, so the 27 cells of that level hold the answer.
+    The search is as fine as the data are dense, in one pass.
     """
-    best = Window.partitionBy(left_id).orderBy("km", right_id)
-    wanted = left.select(left_id, "lat", "lon")
-    around = right.select(right_id, "rlat", "rlon")
-    km, found = start_km, None
-    while True:
-        last = km >= math.pi * G.EARTH_KM
-        ranked = within_km(wanted, around, km).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        ranked = cut(ranked.select(left_id, right_id, "km", "rank"))
-        enough = ranked if last else ranked.join(ranked.where(F.col("rank") == k).select(left_id), left_id, "left_semi")
-        found = enough if found is None else found.unionByName(enough)
-        if last:
-            return found
-        wanted = cut(wanted.join(enough.select(left_id).distinct(), left_id, "left_anti"))
-        if wanted.isEmpty():
-            return found
-        km = min(km * 4, math.pi * G.EARTH_KM)
+    key = ["__l", "__x", "__y", "__z"]
+    around = _levelled(right.select(right_id, "rlat", "rlon"), "rlat", "rlon")
+    full = around.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).drop("__n")
+    points = left.select(left_id, "lat", "lon")
+    fits = _levelled(points, "lat", "lon").join(full, key, "left_semi").groupBy(left_id).agg(F.max("__l").alias("__l"))
+    placed = points.join(fits, left_id, "left").withColumn("__l", F.greatest(F.coalesce(F.col("__l"), F.lit(0)) - 1, F.lit(0)))
+    placed = placed.withColumns(dict(zip(("__fx", "__fy", "__fz"), _fine_cells("lat", "lon"), strict=True)))
+    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    for c in "xyz":
+        own = F.expr(f"shiftright(__f{c}, {LEVELS} - __l)")
+        placed = placed.withColumn(f"__{c}", F.explode(F.transform(steps, lambda d: own + d)))  # noqa: B023
+    pairs = placed.drop("__fx", "__fy", "__fz").join(around, key)
+    ranked = pairs.withColumn("km", G.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(left_id).orderBy("km", right_id))).where(F.col("rank") <= k)
+    return ranked.select(left_id, right_id, "km", "rank")
 
 
 def knn_vote(left: DataFrame, right: DataFrame, left_id: str, right_id: str, code: str, k: int = 10) -> DataFrame:

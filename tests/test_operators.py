@@ -34,7 +34,7 @@ def test_distance_joins_against_brute_force(points):
     for radius in (30.0, 2500.0):
         got = {(r.id, r.rid): r.km for r in S.within_km(a, b, radius).collect()}
         assert got.keys() == {k for k, d in every.items() if d <= radius}
-    got = {(r.id, r.rank): r.rid for r in S.nearest(a, b, "id", "rid", 3, 300.0).collect()}
+    got = {(r.id, r.rank): r.rid for r in S.nearest(a, b, "id", "rid", 3).collect()}
     for x in left:
         order = sorted((every[x[0], y[0]], y[0]) for y in right)
         assert [got[x[0], k] for k in (1, 2, 3)] == [i for _, i in order[:3]]
