@@ -314,6 +314,8 @@ def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, n: int) -> D
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after more links: components of the graph of roots."""
+    if links.isEmpty():
+        return roots
     a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     up = written(components(between), "roots").toDF("root", "up")
