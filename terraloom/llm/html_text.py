@@ -41,8 +41,10 @@ _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice "
     "notices alert sidebar sidebars sidenav nav navbar navigation menu menus breadcrumb breadcrumbs masthead header footer copyright comment "
     "comments disqus respond reply replies share sharing social related recommended recirculation newsletter subscribe subscription signup login "
-    "paywall popup modal overlay toolbar pagination pager widget widgets complementary contentinfo search tags".split()
+    "paywall popup modal dialog overlay tooltip toolbar pagination pager widget widgets complementary contentinfo search tags".split()
 )
+#: Beginnings of such words where they are run together with others.
+_STEMS = ("advert", "adslot", "adsense", "adsby", "adunit", "adbox", "sponsor", "breadcrumb", "commentlist", "commentsection", "commentbox", "commentform", "commentthread", "cookie", "newsletter", "sidebar", "subscri", "disqus", "navmenu", "sitenav", "sitefooter", "siteheader")
 #: A class that starts with one of these tells of the page's layout.
 _LAYOUT = frozenset("has with no without is js".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -92,7 +94,7 @@ class _Blocks(HTMLParser):
             if name in ("class", "id", "role") and value:
                 for one in value.lower().split():
                     words = _WORDS.findall(one)
-                    marks = marks or bool(words) and words[0] not in _LAYOUT and not _MARKS.isdisjoint(words)
+                    marks = marks or bool(words) and words[0] not in _LAYOUT and (not _MARKS.isdisjoint(words) or any(w.startswith(_STEMS) for w in words))
                 role = value.strip().lower() if name == "role" else role
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 hidden = True

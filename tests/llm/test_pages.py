@@ -9,7 +9,7 @@ from terraloom.llm.warc_chunks import read, records, write
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav><div class="ad">Buy</div><div class="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First   paragraph\nwith <b>bold.<br><p>Sh.</p><form><input>Send</form><p>Last one &eacute;.</p>
-<section class="comments"><article class="comment"><p>Nice!</p></article></section></article>
+<section class="comments"><article class="comment"><p>Nice!</p></article></section><ol class="commentlist"><li>Me too</ol></article>
 <aside><p>Related things</p></aside><footer>&copy; x</footer>"""
 
 
