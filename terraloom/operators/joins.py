@@ -116,3 +116,35 @@ def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, stag
         done = hit if done is None else done.unionByName(hit)
         open_rows = open_rows.join(hit.select(left_id), left_id, "left_anti")
     return done.unionByName(open_rows.select(left_id, F.lit(None).cast(right.schema[right_id].dataType).alias(right_id), F.lit(None).cast("string").alias("stage")))
+
+
+def _deletions(key: Column) -> Column:
+    """The key and every form of it with one character left out."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(key), F.transform(places, lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, F.length(key))))))
+
+
+def one_edit_matches(left: DataFrame, right: DataFrame, scope: list[str], left_id: str, right_id: str, left_key: Column, right_key: Column, runner_up: int = 3) -> DataFrame:
+    """(left_id, right_id) where one right key of the scope is one edit away and every other is ``runner_up`` edits or more.
+
+    Candidates meet in a common one-deletion form, so no scope is compared pair by pair to find them.
+    """
+    a = left.select(left_id, *scope, left_key.alias("__a")).where("__a <> ''")
+    b = right.select(right_id, *scope, right_key.alias("__b")).where("__b <> ''")
+    forms = a.withColumn("__d", F.explode(_deletions(F.col("__a")))).join(b.withColumn("__d", F.explode(_deletions(F.col("__b")))), [*scope, "__d"])
+    near = forms.where(F.levenshtein("__a", "__b", 1) == 1).select(left_id, right_id, *scope, "__a").distinct()
+    single = near.join(near.groupBy(left_id).count().where("count = 1").select(left_id), left_id)
+    others = single.join(b.select(*scope, F.col(right_id).alias("__o"), "__b"), scope).where(F.col("__o") != F.col(right_id))
+    close = others.where((F.abs(F.length("__a") - F.length("__b")) < runner_up) & (F.levenshtein("__a", "__b", runner_up - 1) >= 0)).select(left_id).distinct()
+    return single.join(close, left_id, "left_anti").select(left_id, right_id)
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, scope: list[str], left_id: str, right_id: str, left_name: str, right_name: str, gates: list[tuple[float, float]]) -> DataFrame:
+    """(left_id, right_id, score, margin) where the best score of the scope and its lead over the second pass one of the gates (least score, least margin)."""
+    two = suggest(left, right, scope, left_id, left_name, right_name, 2)
+    best = two.groupBy(left_id).agg(F.max(F.when(F.col("rank") == 1, F.struct("ratio", right_id))).alias("b"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("ratio"))), F.lit(0.0)).alias("second"))
+    scored = best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.ratio").alias("score"), (F.col("b.ratio") - F.col("second")).alias("margin"))
+    passes = F.lit(False)
+    for least, lead in gates:
+        passes = passes | ((F.col("score") >= least) & (F.col("margin") >= lead))
+    return scored.where(passes)

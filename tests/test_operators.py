@@ -61,6 +61,15 @@ def test_joins(spark):
     assert sorted((r.pid, r.child_id or "", r.code) for r in mixed) == [("p", "", "1"), ("q", "q1", "2"), ("q", "q2", "9")]
 
 
+def test_typos_and_fuzzy_names(spark):
+    right = spark.createDataFrame([(1, "p", "rosario"), (2, "p", "cordoba"), (3, "p", "cordobb"), (4, "q", "rosaria")], "rid int, scope string, rname string")
+    left = spark.createDataFrame([(10, "p", "rosaro"), (11, "p", "cordobx"), (12, "p", "rosario"), (13, "p", "xrosario"), (14, "p", "osarix")], "id int, scope string, name string")
+    got = {r.id: r.rid for r in J.one_edit_matches(left, right, ["scope"], "id", "rid", F.col("name"), F.col("rname")).collect()}
+    assert got == {10: 1, 13: 1}
+    got = {r.id: r.rid for r in J.fuzzy_matches(left, right, ["scope"], "id", "rid", "name", "rname", [(0.90, 0.12)]).collect()}
+    assert got == {10: 1, 12: 1, 13: 1}
+
+
 def test_graded_match(spark):
     c = spark.createDataFrame([(1, "foo", "foo", [], 5, 10.0, 20.0), (2, "bar", "bar", ["baz"], 9, 10.0, 20.0), (3, "none", "none", [], 1, 50.0, 50.0)], "id int, primary_key string, ascii_key string, alternates array<string>, population int, lat double, lon double")
     p = spark.createDataFrame([(100, "foo", "foo", 10.1, 20.0, 1), (101, "x", "baz", 10.0, 20.05, 2), (102, "far", "far", 11.0, 20.0, 3)], "place_id int, key string, english_key string, rlat double, rlon double, ord int")
