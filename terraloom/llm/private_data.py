@@ -4,12 +4,14 @@ Base spans (e-mail, ip, card, phone) come from fixed patterns.  The method then
 strongly a term reveals a protected entity: over lines as contexts, n(e,t) lines hold both, n(t) the term.  The
 entity's information left open once the term is known is ``IC(e) - PMI(e;t) = log2(n(t) / n(e,t))`` bits; where at most
 ``MAX_OPEN_BITS`` are left, and the two met in at least two different lines (copies of one line are one witness), the
-term discloses the entity, and its occurrences in every text that holds the entity become spans of kind ``term``.
+term discloses the entity, and its occurrences in every text of the corpus, with or without the entity, become spans
+of kind ``term``: a text that says the term alone reveals the entity too.
 
 A term is a run of four or more ASCII letters or non-ASCII characters, compared with A-Z lower-cased, outside base spans.
 
-Only texts with base spans are carried through a shuffle; corpus counts are pre-aggregated by batch.  No group is
-collected: pairs are counted by aggregation, and terms join back by a hash of the text.
+Corpus counts are pre-aggregated by batch, and pairs are counted by aggregation.  The disclosing terms are counted, and up
+to BROADCAST_TERMS of them (8 bytes each) are broadcast and looked up where the texts are read; more join the (text, term)
+pairs of every text by a shuffle, with the same result.
 
 Defined cases: null or empty text has no spans (counts 0, ``spans`` empty, ``base_sha256`` of the empty string);
 repeated rows get one result each; null ids stay; an empty table gives an empty result; other columns, whatever their
@@ -20,19 +22,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
 from ._text import Slice, mix, slices, span_hash
 
 #: Order of kinds in lists of spans.
 KINDS = ("email", "ip", "card", "phone", "term")
 MAX_OPEN_BITS = 1.0
 MIN_TERM = 4
+#: The most disclosing terms that are broadcast, 16 MB; more are joined by a shuffle.
+BROADCAST_TERMS = 2_000_000
+_SEEN = 1 << 22
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -126,14 +132,14 @@ def _spans_of(column: pa.Array) -> dict[int, tuple[str, list[Span]]]:
 
 
 def _meetings(docs: DataFrame) -> DataFrame:
-    """(entity, term, line, place) for each entity and each term of its line; text is hashed in ``place``."""
+    """(entity, term, line) for each entity of a line, however often it stands there, and each term of the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(0)
-            entity, term, line, row = [], [], [], []
-            for i, (text, spans) in _spans_of(batch.column(1)).items():
+            entity, term, line = [], [], []
+            for text, spans in _spans_of(batch.column(0)).values():
                 seen: dict[tuple[int, int], tuple[str, list[str]]] = {}
+                counted = set()
                 for s in spans:
                     low = text.rfind("\n", 0, s[0]) + 1
                     high = text.find("\n", s[2])
@@ -141,19 +147,37 @@ def _meetings(docs: DataFrame) -> DataFrame:
                     if (low, high) not in seen:
                         seen[low, high] = text[low:high], sorted({m[0] for m in _free_terms(text, spans, low, high)})
                     said, terms = seen[low, high]
-                    entity += [_entity(text, s)] * len(terms)
+                    if (one := (low, _entity(text, s))) in counted:
+                        continue
+                    counted.add(one)
+                    entity += [one[1]] * len(terms)
                     term += terms
                     line += [said] * len(terms)
-                    row += [i] * len(terms)
-            if not row:
+            if not term:
                 continue
             codes, inverse = np.unique(np.array(line, dtype=object), return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_hashes(entity).view(np.int64)), pa.array(_hashes(term).view(np.int64)), pa.array(_hashes(list(codes))[inverse].view(np.int64)), places.take(pa.array(row))],
-                ["entity", "term", "line", "place"],
+                [pa.array(_hashes(entity).view(np.int64)), pa.array(_hashes(term).view(np.int64)), pa.array(_hashes(list(codes))[inverse].view(np.int64))],
+                ["entity", "term", "line"],
             )
 
-    return docs.mapInArrow(run, "entity long, term long, line long, place string")
+    return docs.mapInArrow(run, "entity long, term long, line long")
+
+
+def _terms_at(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every term of a lower-cased slice."""
+    letter = _TERM_BYTE[s.data]
+    n = len(letter)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    edge = np.zeros(n + 1, bool)
+    edge[s.bounds] = True
+    starts = np.flatnonzero(letter & (np.append(True, ~letter[:-1]) | edge[:n]))
+    ends = np.flatnonzero(letter & (np.append(~letter[1:], True) | edge[1:])) + 1
+    points = s.points()
+    long = points[ends] - points[starts] >= MIN_TERM
+    starts, ends = starts[long], ends[long]
+    return starts, span_hash(s.prefix(), starts, ends)
 
 
 def _term_counts(docs: DataFrame) -> DataFrame:
@@ -162,19 +186,8 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for s in slices(batch.column(1), lower=True):
-                letter = _TERM_BYTE[s.data]
-                n = len(letter)
-                if not n:
-                    continue
-                edge = np.zeros(n + 1, bool)
-                edge[s.bounds] = True
-                starts = np.flatnonzero(letter & (np.append(True, ~letter[:-1]) | edge[:n]))
-                ends = np.flatnonzero(letter & (np.append(~letter[1:], True) | edge[1:])) + 1
-                points = s.points()
-                long = points[ends] - points[starts] >= MIN_TERM
-                starts, ends = starts[long], ends[long]
-                h = span_hash(s.prefix(), starts, ends)
+            for s in slices(batch.column(0), lower=True):
+                starts, h = _terms_at(s)
                 line = np.searchsorted(s.lines()[0], starts, side="right").astype(np.uint64)
                 _, one = np.unique(h + mix(line), return_index=True)
                 found.append(np.unique(h[one], return_counts=True))
@@ -186,15 +199,59 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(entity, term, open_bits) of the pairs past the threshold, and for each text (``place``) that holds such pairs the set of its terms, both by hash."""
-    placed = docs.select(_place(text).alias("place"), F.col(text).cast("string").alias("text"))
-    met = _meetings(placed)
-    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").drop("low", "high")
-    pairs = pairs.join(_term_counts(placed), "term").withColumn("open_bits", F.log2(F.greatest(F.col("n"), F.col("n_both")) / F.col("n_both")))
-    pairs = pairs.where(F.col("open_bits") <= max_open_bits).select("entity", "term", "open_bits")
-    by_text = met.select("entity", "term", "place").join(pairs.select("entity", "term"), ["entity", "term"]).groupBy("place").agg(F.collect_set("term").alias("terms"))
-    return pairs, by_text
+def disclosing_terms(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str = "text") -> DataFrame:
+    """(entity, term, open_bits), by hash, of the pairs past the threshold."""
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    pairs = _meetings(texts).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").drop("low", "high")
+    pairs = pairs.join(_term_counts(texts), "term").withColumn("open_bits", F.log2(F.greatest(F.col("n"), F.col("n_both")) / F.col("n_both")))
+    return pairs.where(F.col("open_bits") <= max_open_bits).select("entity", "term", "open_bits")
+
+
+class _Known:
+    """The disclosing terms, for looking up many at once."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.seen = np.zeros(_SEEN, bool)
+        self.seen[(terms >> np.uint64(42)).astype(np.int64)] = True
+
+    def held(self, column: pa.Array) -> dict[int, np.ndarray]:
+        """Row number -> its disclosing terms, for the rows that hold any."""
+        out = {}
+        for s in slices(column, lower=True):
+            starts, h = _terms_at(s)
+            near = self.seen[(h >> np.uint64(42)).astype(np.int64)]
+            starts, h = starts[near], h[near]
+            hit = np.searchsorted(self.terms, h, side="right") > np.searchsorted(self.terms, h)
+            row = np.searchsorted(s.bounds, starts[hit], side="right") - 1
+            rows, first = np.unique(row, return_index=True)
+            for i, terms in zip(rows, np.split(h[hit], first[1:]), strict=False):
+                out[s.first + int(i)] = np.unique(terms).view(np.int64)
+        return out
+
+
+def _term_places(placed: DataFrame) -> DataFrame:
+    """(place, term) of every term of every text, once for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text"), lower=True):
+                starts, h = _terms_at(s)
+                row = np.searchsorted(s.bounds, starts, side="right") - 1
+                _, one = np.unique(h + mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
+                yield pa.RecordBatch.from_arrays([batch.column("place").take(pa.array(row[one] + s.first)), pa.array(h[one].view(np.int64))], ["place", "term"])
+
+    return placed.select("place", "text").mapInArrow(run, "place string, term long")
+
+
+def _with_held(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], dict[int, np.ndarray]]]:
+    """``rows`` (place, text and others) ready for a map by batch, and what gives row number -> disclosing terms of a batch."""
+    terms = written(pairs.select("term").distinct(), "terms")
+    if terms.count() <= BROADCAST_TERMS:
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy().view(np.uint64)))
+        return rows.drop("place"), lambda batch: _Known(known.value).held(batch.column("text"))
+    by_text = _term_places(rows).join(terms, "term").groupBy("place").agg(F.collect_set("term").alias("terms"))
+    return rows.join(by_text, "place", "left"), lambda batch: {i: np.array(t, np.int64) for i, t in enumerate(batch.column("terms").to_pylist()) if t}
 
 
 def _place(text: str):
@@ -202,47 +259,36 @@ def _place(text: str):
     return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _with_terms(text: str, spans: list[Span], terms: list[int] | None) -> list[Span]:
-    if not terms:
+def _with_terms(text: str, spans: list[Span], terms: np.ndarray | None) -> list[Span]:
+    if terms is None:
         return spans
     found = list(_free_terms(text, spans))
-    hits = np.isin(_hashes([m[0] for m in found]).view(np.int64), np.array(terms, np.int64)) if found else []
+    hits = np.isin(_hashes([m[0] for m in found]).view(np.int64), terms) if found else []
     return sorted(spans + [(m.start(), 4, m.end()) for m, hit in zip(found, hits, strict=True) if hit])
 
 
 def find(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: counts by kind, and ``base`` and ``all_spans`` as lists of ``kind:start:end`` (code points, end exclusive)."""
-    _, by_text = disclosing_terms(docs, max_open_bits, text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _place(text).alias("place"), F.col(text).cast("string").alias("text"))
+    rows, held = _with_held(rows, disclosing_terms(docs, max_open_bits, text))
 
-    def based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = lambda spans: [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
         for batch in batches:
-            found = _spans_of(batch.column(2))
+            texts, terms = batch.column("text"), held(batch)
+            found = _spans_of(texts)
             n = batch.num_rows
-            texts, spans = [None] * n, [[] for _ in range(n)]
+            base, every = [[] for _ in range(n)], [[] for _ in range(n)]
             counts = np.zeros((4, n), np.int64)
-            for i, (said, own) in found.items():
-                texts[i], spans[i] = said, [x for s in own for x in s]
-                for s in own:
+            for i in found.keys() | terms.keys():
+                text, spans = found.get(i) or (texts[i].as_py(), [])
+                base[i], every[i] = said(spans), said(_with_terms(text, spans, terms.get(i)))
+                for s in spans:
                     counts[s[1], i] += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64())), *map(pa.array, counts)],
-                ["doc_id", "place", "text", "flat", "n_email", "n_ip", "n_card", "n_phone"],
-            )
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said = lambda spans: [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
-        for batch in batches:
-            base, every = [], []
-            for text, flat, terms in zip(*(batch.column(k).to_pylist() for k in ("text", "flat", "terms")), strict=True):
-                spans = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
-                base.append(said(spans))
-                every.append(base[-1] if not terms else said(_with_terms(text, spans, terms)))
             kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone")), pa.array(base, kind), pa.array(every, kind)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "all_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts), pa.array(base, kind), pa.array(every, kind)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "all_spans"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _place(text).alias("place"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(based, "doc_id long, place string, text string, flat array<long>, n_email long, n_ip long, n_card long, n_phone long")
-    return rows.join(by_text, "place", "left").mapInArrow(finished, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>, all_spans array<string>")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>, all_spans array<string>")
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -257,20 +303,22 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def sanitise(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str = "text") -> DataFrame:
     """``docs`` with every span of every text generalised to its kind; ``n_chars``, where there is one, follows the new text."""
-    _, by_text = disclosing_terms(docs, max_open_bits, text)
     wide = docs.select(_place(text).alias("place"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = wide.schema["row"].dataType.simpleString()
+    wide, held = _with_held(wide, disclosing_terms(docs, max_open_bits, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, terms = batch.column(1), batch.column(3)
-            new = {}
-            for i, (said, spans) in _spans_of(texts).items():
-                new[i] = redact(said, _with_terms(said, spans, terms[i].as_py()))
+            texts, terms = batch.column("text"), held(batch)
+            found, new = _spans_of(texts), {}
+            for i in found.keys() | terms.keys():
+                said, spans = found.get(i) or (texts[i].as_py(), [])
+                if spans := _with_terms(said, spans, terms.get(i)):
+                    new[i] = redact(said, spans)
             changed = pa.array([new.get(i) for i in range(batch.num_rows)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(2), changed], ["row", "changed"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), changed], ["row", "changed"])
 
-    done = wide.join(by_text, "place", "left").select("place", "text", "row", "terms").mapInArrow(run, f"row {kind}, changed string")
+    done = wide.mapInArrow(run, f"row {kind}, changed string")
     fresh = F.coalesce(F.col("changed"), F.col(f"row.`{text}`"))
     cols = [fresh.alias(c) if c == text else F.when(F.col("changed").isNull(), F.col("row.n_chars")).otherwise(F.length("changed")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return done.select(*cols)

@@ -96,6 +96,17 @@ def test_disclosing_terms(spark, documents):
     assert private_data.find(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_terms_are_marked_in_every_text(spark, documents, monkeypatch, broadcast):
+    monkeypatch.setattr(private_data, "BROADCAST_TERMS", broadcast, raising=False)
+    rows = [(0, "Zanzibar answers a.b@c.de"), (1, "write Zanzibar or a.b@c.de"), (2, "from a.b@c.de\nabout the ZANZIBAR"), (3, "to Zanzibar, by zanzibar"), (4, "nobody here"), (5, None), (6, "Twice x.y@z.de x.y@z.de"), (7, "Twice upon x.y@z.de"), *[(k, "Twice") for k in range(8, 12)]]
+    got = {r.doc_id: r.all_spans for r in private_data.find(documents(rows)).collect()}
+    assert len(got) == len(rows) and got[2] == ["email:5:13", "term:24:32"] and got[3] == ["term:3:11", "term:16:24"]
+    assert got[4] == got[5] == [] and all(got[k] == [] for k in range(8, 12)) and not any(x.startswith("term") for x in got[6])  # 2 of 6 lines, however often the entity stands in one
+    texts = {r.doc_id: (r.text, r.n_chars) for r in private_data.sanitise(documents(rows)).collect()}
+    assert texts[2][0] == "from [EMAIL]\nabout the [TERM]" and texts[3] == ("to [TERM], by [TERM]", 20) and texts[4][0] == rows[4][1] and texts[5] == (None, None)
+
+
 def test_token_spans_against_another_library():
     from tokenizers import Tokenizer
 
