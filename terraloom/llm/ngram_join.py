@@ -324,7 +324,8 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, row_key) of every row; row_key is the same for equal rows only."""
+    """(doc_id, n_shingles, component_id, row_key, root) of every row; row_key is the same for equal rows only, and root for
+    rows of one component only, whatever their ids (null without shingles)."""
     spark = docs.sparkSession
     keyed = _keyed(docs, text, doc_id)
     sized = written(_sized(keyed, n), "sized")
@@ -367,16 +368,16 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", do
 
     named = roots.join(nodes.select("node", "low"), "node")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_node = named.join(lowest, "root").select("node", "component_id")
-    final = nodes.join(by_node, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    by_node = named.join(lowest, "root").select("node", "root", "component_id")
+    final = nodes.join(by_node, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
     done = sized.join(final, "node", "left")
-    return done.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+    return done.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root")
 
 
 def keep_one(docs: DataFrame, n: int = N_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without shingles, and of every component one row: the first by (id, row_key)."""
     found = written(jaccard_components(docs, n, text, doc_id), "found")
-    first = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("component_id").agg(F.min("row_key").alias("row_key")).select("row_key")
+    first = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("root").agg(F.min("row_key").alias("row_key")).select("row_key")
     chosen = written(first.unionByName(found.where("n_shingles = 0").select("row_key")).distinct(), "kept")
     twice = written(found.where("n_shingles > 0").groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
     if chosen.count() <= BROADCAST_ROWS:

@@ -66,5 +66,12 @@ def test_keep_one(spark, documents):
     assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(2, a + " more"), (7, rows[3][1]), (8, ""), (8, ""), (9, "")]
 
 
+def test_keep_one_by_component_not_by_id(spark, documents):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " more"), (3, c), (3, d), (9, c + " more"), (None, d + " more")]
+    kept = sorted(((r.doc_id, r.text[0]) for r in keep_one(documents(rows)).collect()), key=repr)
+    assert kept == [(3, "c"), (3, "d"), (None, "a"), (None, "b")]
+
+
 def test_empty_table(spark, documents):
     assert jaccard_components(documents([])).count() == 0
