@@ -1,9 +1,9 @@
 """Length buckets of least padding, and batches within a token budget inside each bucket.
 
 The global histogram of lengths is an aggregate; dynamic programming over it picks the bucket bounds that minimise
-padding (each sequence is padded to its bucket's bound, the greatest length in the bucket).  Lengths up to EXACT have
-a bin each and longer ones bins of 1 / STEPS of their octave, so the histogram that reaches the driver has at most
-EXACT + 64 * STEPS rows, whatever the corpus; over these bins the bounds are optimal.
+padding (each sequence is padded to its bucket's bound, the greatest length in the bucket).  Every length that occurs has
+a bin of its own, so the bounds are optimal for the table.  The histogram that reaches the driver has at most
+min(longest + 1, sqrt(2 x tokens of the corpus) + 1) rows, since distinct lengths sum to no more than the tokens.
 
 Batches: in order of doc_id, a bucket's sequences fill batches of max(1, budget // bound).  The place in a bucket is the
 sum of the counts of earlier blocks of ids plus the place in the block: no bucket is ordered in one task, and the same rows
@@ -16,7 +16,7 @@ by itself; rows that repeat an id are ordered by length; null ids come first; an
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -24,17 +24,9 @@ from .token_counts import VOCABULARY, with_token_count
 
 N_BUCKETS = 16
 BUDGET = 65_536
-EXACT, STEPS = 4096, 64
 BLOCK = 4096
 
 
-def _bin(length: Column) -> Column:
-    """The greatest length of the bin."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
-    width = F.greatest(F.lit(1).cast("long"), (F.pow(F.lit(2.0), octave) / STEPS).cast("long"))
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / width).cast("long") * width)
-
-
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, n_buckets: int = N_BUCKETS) -> tuple[list[int], int]:
     """Greatest lengths of at most ``n_buckets`` buckets with the least padding, and that padding.
 
@@ -77,16 +69,16 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray,
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """(bin, longest, n, total) of the ``n_tokens`` of a table."""
-    return lengths.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
+    """(n_tokens, n) of every length in a table."""
+    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pack(lengths: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, n_tokens, bucket, bound, batch, place) of every row of ``lengths`` (doc_id, n_tokens)."""
     lengths = written(lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens")), "lengths")
-    found = histogram(lengths).orderBy("bin").toArrow()
-    longest, n, total = (found.column(k).to_numpy() for k in ("longest", "n", "total"))
-    bounds, _ = optimal_bounds(longest, n, total, n_buckets)
+    found = histogram(lengths).orderBy("n_tokens").toArrow()
+    each, n = (found.column(k).to_numpy() for k in ("n_tokens", "n"))
+    bounds, _ = optimal_bounds(each, n, each * n, n_buckets)
     bucket = F.lit(None).cast("int")
     bound = F.lit(None).cast("long")
     for k in range(len(bounds) - 1, -1, -1):

@@ -166,6 +166,15 @@ def test_packing(spark):
     assert pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_padding_is_least_for_long_texts(spark):
+    rng = random.Random(6)
+    for low, high in ((8200, 8320), (4000, 12_000), (40_000, 40_600)):
+        lengths = [rng.choice(range(low, high)) for _ in range(12)] + [10, 20]
+        got = pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), 4, 100_000).collect()
+        cuts = (sorted((*cut, max(lengths))) for m in range(4) for cut in combinations(sorted(set(lengths))[:-1], m))
+        assert sum(r.bound - r.n_tokens for r in got) == min(sum(min(b for b in cut if b >= x) - x for x in lengths) for cut in cuts)
+
+
 def test_half_edits(spark, documents):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
