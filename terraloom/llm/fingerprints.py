@@ -2,13 +2,15 @@
 
 Document frequencies are counted over the whole corpus, pre-aggregated by batch.  Terms whose idf, log2(N / df), lies
 within the band make the lexicon.  A fingerprint has SUBSETS parts: part k hashes the document's distinct terms, in
-sorted order of their hashes, that belong to randomised lexicon subset k.  Subsets are drawn at several rates, so that
-short and long texts both have parts of a few terms.  Likeness of two fingerprints is the share of equal parts among
+sorted order of their hashes, that belong to randomised lexicon subset k.  The first SHARES subsets deal out the whole
+lexicon, so each of its terms lies in some part; the others are drawn at several lower rates, so that short and long texts
+both have parts of a few terms.  Likeness of two fingerprints is the share of equal parts among
 those that either text fills; equal fingerprints have 1.
 
-The lexicon is broadcast.  Its size is bounded whatever the corpus: each of its terms is in at least N / 2**HIGH_BITS
-documents, so there are at most 2**HIGH_BITS x (mean distinct terms of a document) x UNIVERSE of them; past
-MAX_LEXICON, terms are thinned by their hash, which only makes the random subsets sparser.
+The lexicon's size is bounded whatever the corpus: each of its terms is in at least N / 2**HIGH_BITS documents, so there
+are at most 2**HIGH_BITS x (mean distinct terms of a document) of them.  They are counted, and broadcast up to MAX_LEXICON;
+a larger lexicon joins the (texts, term) pairs by a shuffle, and each batch of texts is hashed against its own terms of
+the lexicon, with the same result.
 
 Neighbours in order of doc_id are found by blocks of ids: rows are sorted inside a block, and each block also gets the
 first rows of the next one; no global sort, and only the list of blocks is ordered as a whole.
@@ -21,7 +23,7 @@ its next document is itself; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,11 @@ from ._text import mix, slices, span_hash
 #: The band: idf from LOW_BITS to HIGH_BITS.
 LOW_BITS, HIGH_BITS = 3.0, 11.0
 SUBSETS = 64
-#: Subset k draws terms at the rate 2 ** -_RATE[k] from the universe below.
-_RATE = 4 + np.arange(SUBSETS) // 10
-#: The share of all terms, by hash, that may be in any subset.
-UNIVERSE = 1 / 2
+#: So many subsets share out the lexicon, each term to one of them by its hash; a power of two.
+SHARES = 16
+#: Subset SHARES + k draws terms at the rate 2 ** -_RATE[k].
+_RATE = 5 + np.arange(SUBSETS - SHARES) // 7
+#: The largest lexicon that is broadcast, 32 MB; a larger one is joined by a shuffle.
 MAX_LEXICON = 4_000_000
 BLOCK = 2048
 #: The longest list of blocks that is broadcast; a longer one is joined by a shuffle.
@@ -46,7 +49,7 @@ _SEEN = 1 << 22
 
 
 def _term_documents(docs: DataFrame) -> DataFrame:
-    """(term, df) for the terms of the universe."""
+    """(term, df) of every term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,8 +57,6 @@ def _term_documents(docs: DataFrame) -> DataFrame:
             for s in slices(batch.column(0), lower=True):
                 starts, ends, row = s.words()
                 h = span_hash(s.prefix(), starts, ends)
-                mine = (h % np.uint64(round(1 / UNIVERSE))) == 0
-                h, row = h[mine], row[mine]
                 _, one = np.unique(h + mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
                 found.append(np.unique(h[one], return_counts=True))
             if found:
@@ -66,17 +67,10 @@ def _term_documents(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, low_bits: float = LOW_BITS, high_bits: float = HIGH_BITS) -> np.ndarray:
-    """Sorted hashes of the terms in the band; see the bound above."""
+def lexicon(docs: DataFrame, low_bits: float = LOW_BITS, high_bits: float = HIGH_BITS) -> DataFrame:
+    """(term) of the terms in the band, by hash."""
     n = docs.count()
-    band = _term_documents(docs).where((F.col("df") <= n / 2**low_bits) & (F.col("df") >= n / 2**high_bits)).select("term")
-    band = written(band, "lexicon")
-    size, thin = band.count(), 0
-    while size >> thin > MAX_LEXICON:
-        thin += 1
-    if thin:
-        band = band.where(F.pmod(F.xxhash64("term"), F.lit(1 << thin)) == 0)
-    return np.sort(band.toArrow().column(0).to_numpy().view(np.uint64))
+    return written(_term_documents(docs).where((F.col("df") <= n / 2**low_bits) & (F.col("df") >= n / 2**high_bits)).select("term"), "lexicon")
 
 
 class Fingerprinter:
@@ -86,7 +80,9 @@ class Fingerprinter:
         self.lexicon = words
         self.seen = np.zeros(_SEEN, bool)
         self.seen[(words >> np.uint64(42)).astype(np.int64)] = True
-        member = [np.flatnonzero((mix(words + np.uint64(977 * k + 1)) >> np.uint64(64 - int(r))) == 0) for k, r in enumerate(_RATE)]
+        share = mix(words + np.uint64(977 * SUBSETS + 1)) % np.uint64(SHARES)
+        member = [np.flatnonzero(share == k) for k in range(SHARES)]
+        member += [np.flatnonzero((mix(words + np.uint64(977 * k + 1)) >> np.uint64(64 - int(r))) == 0) for k, r in enumerate(_RATE)]
         who = np.concatenate(member) if len(words) else np.zeros(0, np.int64)
         part = np.repeat(np.arange(SUBSETS), [len(m) for m in member])
         order = np.argsort(who, kind="stable")
@@ -144,17 +140,54 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def _terms(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, term) of every term of the texts of a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in columns:
+                for s in slices(batch.column(name), lower=True):
+                    starts, ends, row = s.words()
+                    h = span_hash(s.prefix(), starts, ends)
+                    _, one = np.unique(h + mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row[one] + s.first)), pa.array(h[one].view(np.int64))], ["key", "term"])
+
+    return keyed.select("key", *columns).mapInArrow(run, "key string, term long")
+
+
+def _printed(rows: DataFrame, words: DataFrame, prepare: Callable, columns: list[str], finish: Callable, schema: str) -> DataFrame:
+    """``finish(batch, make)`` of each batch (doc_id, columns) that ``prepare`` makes of the batches of ``rows``; ``make`` gives fingerprints of texts of the batch."""
+    if words.count() <= MAX_LEXICON:
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(words.toArrow().column(0).to_numpy().view(np.uint64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make = Fingerprinter(known.value)
+            for batch in prepare(batches):
+                yield finish(batch, make)
+
+        return rows.mapInArrow(run, schema)
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                own = part.column("terms").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield finish(part, Fingerprinter(np.unique(own.view(np.uint64))))
+
+    wide = rows.mapInArrow(prepare, ", ".join(["doc_id long", *[f"{c} string" for c in columns]]))
+    keyed = wide.withColumn("key", F.md5(F.concat(*[F.md5(c) for c in columns])))
+    held = _terms(keyed, columns).join(words, "term").groupBy("key").agg(F.collect_set("term").alias("terms"))
+    return keyed.join(held, "key", "left").mapInArrow(run_joined, schema)
+
+
 def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint) of every row."""
     rows = _rows(docs, text, doc_id)
-    words = docs.sparkSession.sparkContext.broadcast(lexicon(rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Fingerprinter(words.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown(make(batch.column(1))), pa.string())], ["doc_id", "fingerprint"])
+    def finish(batch: pa.RecordBatch, make: Fingerprinter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shown(make(batch.column("text"))), pa.string())], ["doc_id", "fingerprint"])
 
-    return rows.mapInArrow(run, "doc_id long, fingerprint string")
+    return _printed(rows, lexicon(rows), lambda batches: batches, ["text"], finish, "doc_id long, fingerprint string")
 
 
 def _with_next(rows: DataFrame) -> DataFrame:
@@ -171,38 +204,43 @@ def _with_next(rows: DataFrame) -> DataFrame:
     return placed.unionByName(tails).repartition("block").sortWithinPartitions("block", "tail", "doc_id", "text")
 
 
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, edited, next) of the rows of :func:`_with_next` but the tails."""
+    kept: tuple | None = None  # the last row so far: tail, id, text
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            tail, ids, texts = (batch.slice(k, 512).column(c).to_pylist() for c in (1, 2, 3))
+            if kept is not None:
+                tail, ids, texts = [kept[0], *tail], [kept[1], *ids], [kept[2], *texts]
+            kept = tail[-1], ids[-1], texts[-1]
+            mine = [i for i in range(len(ids) - 1) if not tail[i]]
+            if not mine:
+                continue
+            edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in mine]
+            wide = [[texts[i] for i in mine], edited, [texts[i + 1] for i in mine]]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in mine], pa.int64()), *[pa.array(c, pa.string()) for c in wide]], ["doc_id", "text", "edited", "next"])
+
+
 def half_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Each document against its edit (its second half replaced by the start of the next document) and against the next."""
     rows = _rows(docs, text, doc_id)
-    words = docs.sparkSession.sparkContext.broadcast(lexicon(rows))
+    columns = ["text", "edited", "next"]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Fingerprinter(words.value)
-        kept: tuple | None = None  # the last row so far: tail, id, text, print
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                tail, ids, texts = (part.column(c).to_pylist() for c in (1, 2, 3))
-                prints = make(part.column(3))
-                if kept is not None:
-                    tail, ids, texts, prints = [kept[0], *tail], [kept[1], *ids], [kept[2], *texts], np.concatenate([kept[3][None], prints])
-                kept = tail[-1], ids[-1], texts[-1], prints[-1]
-                mine = [i for i in range(len(ids) - 1) if not tail[i]]
-                if not mine:
-                    continue
-                edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in mine]
-                own, then, other = prints[mine], prints[np.array(mine) + 1], make(pa.array(edited, pa.large_string()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in mine], pa.int64()), pa.array([len(texts[i]) for i in mine], pa.int64()),
-                        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()), pa.array(shown(own), pa.string()), pa.array(shown(other), pa.string()),
-                        pa.array(likeness(own, other)), pa.array(likeness(own, then)),
-                    ],
-                    names,
-                )
-
-    return _with_next(rows).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def finish(batch: pa.RecordBatch, make: Fingerprinter) -> pa.RecordBatch:
+        texts = pa.concat_arrays([batch.column(c).cast(pa.large_string()) for c in columns]).dictionary_encode()
+        own, other, then = make(texts.dictionary)[texts.indices.to_numpy()].reshape(3, batch.num_rows, SUBSETS)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64()),
+                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in batch.column("edited").to_pylist()], pa.string()), pa.array(shown(own), pa.string()), pa.array(shown(other), pa.string()),
+                pa.array(likeness(own, other)), pa.array(likeness(own, then)),
+            ],
+            names,
+        )
+
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return _printed(_with_next(rows), lexicon(rows), _edits, columns, finish, schema)
 
 
 def op9_imatch_fingerprints(spark, sf_dir: str) -> DataFrame:

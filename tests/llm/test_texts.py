@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from terraloom.llm import private_data, quality_rules
+from terraloom.llm import fingerprints, private_data, quality_rules
 from terraloom.llm._text import slices
 from terraloom.llm.fingerprints import half_edits
 from terraloom.llm.packing import optimal_bounds, pack
@@ -192,3 +192,14 @@ def test_half_edits(spark, documents):
     alone = half_edits(documents([(5, "one row only")])).first()
     assert alone.near_next == 1.0
     assert half_edits(documents([])).count() == 0
+
+
+def test_every_term_in_the_band_counts(spark, documents, monkeypatch):
+    group = lambda k: " ".join(f"g{k}{c}" for c in "abcdef")
+    docs = documents([(k, f"a few common words {group(k // 20)} own{k}") for k in range(200)] + [(200, None), (201, "common words a few")])
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(docs).collect()}
+    assert len(got) == 202 and len(set(got.values())) == 202
+    edits = sorted(map(tuple, half_edits(docs).collect()))
+    monkeypatch.setattr(fingerprints, "MAX_LEXICON", 0)  # the lexicon joins by a shuffle
+    assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(docs).collect()} == got
+    assert sorted(map(tuple, half_edits(docs).collect())) == edits
