@@ -3,10 +3,11 @@
 The standard library's parser streams over a page once.  Its events cut the page into blocks (the lines of the method),
 each with its characters, its tags, its share of link text and the elements that enclose it.  The ratio of characters
 to tags per block is smoothed with a Gaussian; blocks above the threshold (the standard deviation of the smoothed
-ratios) cluster into content regions.  The innermost container that holds the regions' text - an article or main
-element, else the element into which most of it falls - is the main region, and every block of it is kept but those in
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments.  Inside the main region nothing is
-dropped for being short.
+ratios) cluster into content regions.  The main region is the innermost container of the regions' text - an article or main
+element, else the element into which most of it falls - outside of which no unmarked text lies in the container around
+it, and no second article.  Every block of it is kept but those in menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments; without an article or main element, blocks of mostly link text that lie outside the element
+into which most of the text falls, or in a body with no such element, are menus too.  Inside the main region nothing is dropped for being short.
 
 Per page and in bounded memory: no shuffle, one page is held at a time.
 
@@ -45,8 +46,12 @@ _MARKS = frozenset(
 )
 #: Beginnings of such words where they are run together with others.
 _STEMS = ("advert", "adslot", "adsense", "adsby", "adunit", "adbox", "sponsor", "breadcrumb", "commentlist", "commentsection", "commentbox", "commentform", "commentthread", "cookie", "newsletter", "sidebar", "subscri", "disqus", "navmenu", "sitenav", "sitefooter", "siteheader")
+#: Marks that name what a reader wrote: however much text is in it, it is not the page's own.
+_REMARKS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: A class that starts with one of these tells of the page's layout.
 _LAYOUT = frozenset("has with no without is js".split())
+#: What follows one of these in a class is what the page has, not what the element is.
+_HAVING = re.compile(r"(?<![a-z])(?:has|with|no|without)(?![a-z]).*")
 _WORDS = re.compile(r"[a-z]+")
 _GAP = re.compile(r"\s+")
 #: A tag that the end of the page cuts off.
@@ -61,6 +66,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[str, int]] = [("", -1)]  # tag and parent of each container or marked element
         self.marked: set[int] = set()  # by class, id or role
+        self.remarks: set[int] = set()  # those of them that hold what readers wrote
         self.hard: set[int] = set()  # by tag
         self.stack: list[tuple[str, int]] = []  # open elements with the node each is in
         self.blocks: list[tuple[str, int, int, int]] = []  # text, tags, link characters, node
@@ -88,12 +94,13 @@ class _Blocks(HTMLParser):
         self.tags += 1
         if tag in _VOID:
             return
-        hidden = marks = False
+        hidden = marks = remarks = False
         role = ""
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 for one in value.lower().split():
-                    words = _WORDS.findall(one)
+                    words = _WORDS.findall(_HAVING.sub("", one))
+                    remarks = remarks or not _REMARKS.isdisjoint(words) or any(w.startswith("comment") for w in words)
                     marks = marks or bool(words) and words[0] not in _LAYOUT and (not _MARKS.isdisjoint(words) or any(w.startswith(_STEMS) for w in words))
                 role = value.strip().lower() if name == "role" else role
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
@@ -107,6 +114,8 @@ class _Blocks(HTMLParser):
                 self.hard.add(own)
             elif marks and tag not in ("html", "body"):
                 self.marked.add(own)
+                if remarks:
+                    self.remarks.add(own)
         self.stack.append((tag, self.node))
         self.node = own
         self.in_link += tag == "a"
@@ -162,7 +171,8 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not page.blocks:
         return ""
     nodes = page.nodes
-    # A mark on an element that encloses an unmarked article is on the page's frame, not on boilerplate.
+    # A mark on an element that encloses an unmarked article, or without articles most of the page's text, is on the page's
+    # frame, not on boilerplate.
     off = [False] * len(nodes)
     frames = set()
     for k in range(1, len(nodes)):
@@ -171,6 +181,11 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
             while up > 0 and up not in frames and nodes[up][0] not in _MAIN:
                 frames.add(up)
                 up = nodes[up][1]
+    if not any(nodes[k][0] in _MAIN and k not in page.marked and k not in page.hard for k in range(1, len(nodes))):
+        for k in range(1, len(nodes)):
+            off[k] = off[nodes[k][1]] or k in page.hard or k in page.remarks
+        size = _sums(nodes, [(len(t), node) for t, _, links, node in page.blocks if not off[node] and 2 * links <= len(t)])
+        frames |= {k for k in page.marked - page.remarks if 2 * size[k] > size[0]}
     commented = page.marked - frames
     for k in range(1, len(nodes)):
         off[k] = off[nodes[k][1]] or k in page.hard or k in commented
@@ -179,17 +194,15 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         return ""
     ratio = smoothed(np.array([len(t) / n for t, n, _, _ in blocks]), sigma)
     chosen = ratio >= ratio.std()
-    weight: dict[int, int] = defaultdict(int)
-    for (text, _, links, node), high in zip(blocks, chosen, strict=True):
-        if high and 2 * links <= len(text):
-            while node >= 0:
-                weight[node] += len(text)
-                node = nodes[node][1]
+    plain = [(len(t), node) for t, _, links, node in blocks if 2 * links <= len(t)]
+    weight = _sums(nodes, [(len(t), node) for (t, _, links, node), high in zip(blocks, chosen, strict=True) if high and 2 * links <= len(t)])
+    size = _sums(nodes, plain)
+    articles = _sums(nodes, [(1, k) for k in range(1, len(nodes)) if nodes[k][0] in _MAIN and size[k] and not off[k]])
     children = defaultdict(list)
     for k in range(1, len(nodes)):
-        if weight.get(k):
+        if weight[k]:
             children[nodes[k][1]].append(k)
-    at = 0
+    at, region = 0, None
     while children[at]:
         best = max(children[at], key=lambda k: weight[k])
         inside_main = nodes[at][0] == "article" or nodes[at][0] == "main" and nodes[best][0] != "article"
@@ -197,12 +210,28 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
             break
         if nodes[best][0] not in _MAIN and weight[best] < 0.9 * weight[at] and not _leads_to_main(best, nodes, children):
             break
+        apart = size[best] < size[at]
+        if articles[best] < articles[at] - (nodes[at][0] in _MAIN) or nodes[at][0] in _MAIN and apart:
+            break
+        if region is None and apart and not articles[at]:
+            region = at
         at = best
-    within = [False] * len(nodes)
+    core, at = at, at if region is None else region
+    within, inmost = [False] * len(nodes), [False] * len(nodes)
     for k in range(len(nodes)):
         within[k] = k == at or k > 0 and within[nodes[k][1]]
-    framed = _inside_main(at, nodes)
-    return "\n".join(t for t, _, links, node in blocks if within[node] and (framed or 2 * links <= len(t)))
+        inmost[k] = k > 0 and (k == core and nodes[k][0] not in ("html", "body") or nodes[k][0] in _MAIN or inmost[nodes[k][1]])
+    return "\n".join(t for t, _, links, node in blocks if within[node] and (inmost[node] or 2 * links <= len(t)))
+
+
+def _sums(nodes: list, values: list[tuple[int, int]]) -> list[int]:
+    """For each node the sum of the (value, node) inside it; a node's parent comes before it."""
+    out = [0] * len(nodes)
+    for value, node in values:
+        out[node] += value
+    for k in range(len(nodes) - 1, 0, -1):
+        out[nodes[k][1]] += out[k]
+    return out
 
 
 def _leads_to_main(k: int, nodes: list, children: dict) -> bool:
@@ -215,14 +244,6 @@ def _leads_to_main(k: int, nodes: list, children: dict) -> bool:
     return False
 
 
-def _inside_main(k: int, nodes: list) -> bool:
-    while k > 0:
-        if nodes[k][0] in _MAIN:
-            return True
-        k = nodes[k][1]
-    return False
-
-
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keys`` of every row with its main text and the text's length in code points."""
     rows = pages.select(*keys, F.col(html).cast("string").alias("__html"))

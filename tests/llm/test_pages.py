@@ -23,6 +23,18 @@ def test_page_without_article_element():
     assert main_text(page).split("\n")[-1] == "End." and "side" not in main_text(page) and main_text(page).count("story") == 60
 
 
+def test_nothing_unmarked_is_left_out():
+    story = [f"Paragraph {k} tells, in a good many words, what came next in the long story." for k in range(20)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    around = f"<html><body><div id=menu><a href=a>Home</a></div><div><a href=b>All the pages</a></div><div id=content><h1>Title</h1><p>lead</p><div class=text>{body}</div><p>closing</p></div></body></html>"
+    assert main_text(around).split("\n") == ["Title", "lead", *story, "closing"]
+    two = f"<body><div class=sidebar>Side</div><main><h1>Both</h1><article>{body}</article><article><p>The second one</p></article></main></body>"
+    assert main_text(two).split("\n") == ["Both", *story, "The second one"]
+    for name in ("content-with-sidebar", "layout-no-sidebar", "page-has-ads", "widget"):
+        assert main_text(f"<body><div class='{name}'>{body}</div></body>").split("\n") == story
+    assert main_text(f"<body><div>{body}<p><a href=c>See the source</a></p></div><div class=comments>{body * 2}</div></body>").split("\n") == [*story, "See the source"]
+
+
 def test_defined_cases():
     for page, text in [(None, ""), ("", ""), ("<p></p>", ""), ("plain", "plain"), ("<![foo bar", ""), ("<![foo> bar", "<![foo> bar"), ("<p>a<p>b", "a\nb"), ("<div><p>cut off <b", "cut off"), ("<p>&#128512;&nope;</p>", "\U0001f600&nope;")]:
         assert main_text(page) == text
