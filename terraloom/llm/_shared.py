@@ -1,17 +1,20 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and orders of whole tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (a local session, as in tests) a new temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset, a new temporary folder in a local session, as in tests, and else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-terraloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -27,3 +30,19 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         writer = writer.partitionBy(*by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def indexed(rows: DataFrame, by: list[str], name: str = "idx", weight: str | None = None) -> DataFrame:
+    """``rows`` with ``name``: the number of rows (or sum of ``weight``) before each in the order of ``by``, over the whole table.
+
+    Rows are dealt to partitions by sampled quantiles of ``by``, whatever its values; each partition is summed and sorted by
+    itself, and only the sums, a row for each partition, are ordered as a whole.  ``by`` should tell all rows apart.
+    """
+    one = F.col(weight) if weight else F.lit(1)
+    spread = written(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.groupBy("__part").agg(F.sum(one).alias("__n"))
+    sums = sums.select("__part", F.coalesce(F.sum("__n").over(before.orderBy("__part")), F.lit(0)).alias("__offset"))
+    inside = F.coalesce(F.sum(one).over(before.partitionBy("__part").orderBy(*by)), F.lit(0))
+    placed = spread.withColumn("__inside", inside).join(F.broadcast(sums), "__part")
+    return placed.withColumn(name, (F.col("__offset") + F.col("__inside")).cast("long")).drop("__part", "__offset", "__inside")

@@ -6,8 +6,8 @@ a bin of its own, so the bounds are optimal for the table.  The histogram that r
 min(longest + 1, sqrt(2 x tokens of the corpus) + 1) rows, since distinct lengths sum to no more than the tokens.
 
 Batches: in order of doc_id, a bucket's sequences fill batches of max(1, budget // bound).  The place in a bucket is the
-sum of the counts of earlier blocks of ids plus the place in the block: no bucket is ordered in one task, and the same rows
-get the same batches at every partitioning.
+place in the order of (bucket, doc_id) over the whole table, which is dealt to partitions by quantiles: no bucket is ordered
+in one task, whatever the ids are, and the same rows get the same batches at every partitioning.
 
 Defined cases: a null or empty text has length 0 and lies in the first bucket; a text longer than the budget is a batch
 by itself; rows that repeat an id are ordered by length; null ids come first; an empty table gives an empty result.
@@ -16,15 +16,14 @@ by itself; rows that repeat an id are ordered by length; null ids come first; an
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import indexed, written
 from .token_counts import VOCABULARY, with_token_count
 
 N_BUCKETS = 16
 BUDGET = 65_536
-BLOCK = 4096
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, n_buckets: int = N_BUCKETS) -> tuple[list[int], int]:
@@ -79,17 +78,15 @@ def pack(lengths: DataFrame, n_buckets: int = N_BUCKETS, budget: int = BUDGET) -
     found = histogram(lengths).orderBy("n_tokens").toArrow()
     each, n = (found.column(k).to_numpy() for k in ("n_tokens", "n"))
     bounds, _ = optimal_bounds(each, n, each * n, n_buckets)
-    bucket = F.lit(None).cast("int")
-    bound = F.lit(None).cast("long")
+    bucket, bound, first = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")
+    earlier = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(each, [-1, *bounds[:-1]], side="right")] if bounds else []
     for k in range(len(bounds) - 1, -1, -1):
-        bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
-        bound = F.when(F.col("n_tokens") <= bounds[k], F.lit(bounds[k]).cast("long")).otherwise(bound)
-    placed = lengths.withColumn("bucket", bucket).withColumn("bound", bound).withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 60))).cast("long"))
-    blocks = placed.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select("bucket", "block", before.alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "n_tokens"))
-    numbered = placed.withColumn("inside", inside).join(offsets, ["bucket", "block"]).withColumn("at", F.col("offset") + F.col("inside") - 1)
+        inside = F.col("n_tokens") <= bounds[k]
+        bucket = F.when(inside, F.lit(k)).otherwise(bucket)
+        bound = F.when(inside, F.lit(bounds[k]).cast("long")).otherwise(bound)
+        first = F.when(inside, F.lit(int(earlier[k])).cast("long")).otherwise(first)
+    placed = lengths.withColumn("bucket", bucket).withColumn("bound", bound).withColumn("first", first).withColumn("tie", F.monotonically_increasing_id())
+    numbered = indexed(placed, ["bucket", "doc_id", "n_tokens", "tie"]).withColumn("at", F.col("idx") - F.col("first"))
     size = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bound"), F.lit(1))).cast("long"))
     return numbered.select("doc_id", "n_tokens", "bucket", "bound", F.floor(F.col("at") / size).cast("long").alias("batch"), (F.col("at") % size).cast("long").alias("place"))
 
