@@ -12,11 +12,12 @@ are at most 2**HIGH_BITS x (mean distinct terms of a document) of them.  They ar
 a larger lexicon joins the (texts, term) pairs by a shuffle, and each batch of texts is hashed against its own terms of
 the lexicon, with the same result.
 
-Neighbours in order of doc_id are found by blocks of ids: rows are sorted inside a block, and each block also gets the
-first rows of the next one; no global sort, and only the list of blocks is ordered as a whole.
+Neighbours in order of doc_id: the ids are numbered over the whole table (dealt to partitions by quantiles, whatever they
+are), each text goes to the block of BLOCK numbers that it belongs to, and the first text of a block to the one before too.
 
 Defined cases: null text is the empty text; a text without terms has the fingerprint of zeros; one with no term in the
-lexicon is hashed by all its terms; rows that repeat an id are ordered by their text; null ids come first; with one row,
+lexicon is hashed by all its terms; rows that repeat an id are ordered by the MD5 of id and text, equal rows are each other's next;
+null ids come first; with one row,
 its next document is itself; an empty table gives an empty result; other columns of the input are not returned.
 """
 
@@ -27,10 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import indexed, written
 from ._text import mix, slices, span_hash
 
 #: The band: idf from LOW_BITS to HIGH_BITS.
@@ -43,8 +44,8 @@ _RATE = 5 + np.arange(SUBSETS - SHARES) // 7
 #: The largest lexicon that is broadcast, 32 MB; a larger one is joined by a shuffle.
 MAX_LEXICON = 4_000_000
 BLOCK = 2048
-#: The longest list of blocks that is broadcast; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: The longest list of numbered ids that is broadcast, about 40 MB; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _SEEN = 1 << 22
 
 
@@ -192,16 +193,19 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def _with_next(rows: DataFrame) -> DataFrame:
     """Rows by block in order of (doc_id, text), each block followed by the first rows of the next (``tail`` 1)."""
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 60))).cast("long")
-    placed = rows.select(block.alias("block"), F.lit(0).alias("tail"), "doc_id", "text")
-    heads = placed.groupBy("block").agg(F.min("doc_id").alias("head"))
-    order = Window.orderBy("block")
-    around = heads.select("head", F.coalesce(F.lag("block").over(order), F.max("block").over(Window.partitionBy())).alias("before"))
-    around = written(around, "blocks")
-    if around.count() <= BROADCAST_ROWS:
-        around = F.broadcast(around)
-    tails = placed.join(around, F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("before").alias("block"), F.lit(1).alias("tail"), "doc_id", "text")
-    return placed.unionByName(tails).repartition("block").sortWithinPartitions("block", "tail", "doc_id", "text")
+    keyed = rows.withColumn("key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text"))))
+    order = written(indexed(keyed.select("doc_id", "key").distinct(), ["doc_id", "key"]).select("key", "idx"), "order")
+    n = order.count()
+    blocks = max(1, -(-n // BLOCK))
+    if n <= BROADCAST_ROWS:
+        order = F.broadcast(order)
+    block = F.floor(F.col("idx") / BLOCK).cast("long")
+    own = F.struct(block.alias("block"), F.lit(0).alias("tail"))
+    before = F.struct(F.pmod(block - 1, F.lit(blocks)).cast("long").alias("block"), F.lit(1).alias("tail"))
+    at = F.explode(F.when(F.col("idx") % BLOCK == 0, F.array(own, before)).otherwise(F.array(own)))
+    placed = keyed.join(order, "key").select(at.alias("at"), "idx", "doc_id", "text")
+    placed = placed.select("at.block", "at.tail", "idx", "doc_id", "text")
+    return placed.repartition("block").sortWithinPartitions("block", "tail", "idx")
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +213,7 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: tuple | None = None  # the last row so far: tail, id, text
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
-            tail, ids, texts = (batch.slice(k, 512).column(c).to_pylist() for c in (1, 2, 3))
+            tail, ids, texts = (batch.slice(k, 512).column(c).to_pylist() for c in (1, 3, 4))
             if kept is not None:
                 tail, ids, texts = [kept[0], *tail], [kept[1], *ids], [kept[2], *texts]
             kept = tail[-1], ids[-1], texts[-1]
