@@ -2,11 +2,12 @@
 
 A record is the rows (archive, record_no, chunk_no, data); data in that order is a valid WARC/1.1 byte stream: the first
 row starts with the WARC and HTTP headers, the last ends with the record's blank lines, and each carries the SHA-1 of the
-payload up to its end.  A payload longer than ``chunk_bytes`` is cut by native functions and streams through writer and
-reader chunk by chunk, each holding one running digest; no record is put together in memory.
+payload up to its end.  A payload is cut by native functions, a row for each chunk of ``chunk_bytes`` (the chunks of a
+record are never held together), and streams through writer and reader, each holding one running digest.
 
 Of equal payloads of at least ``min_revisit_bytes`` the one with the largest page_id is stored; the others become
-``revisit`` records that refer to it.  The holder of each digest is found by a pre-aggregated maximum.
+``revisit`` records that refer to it.  The holder of each digest is found by a pre-aggregated maximum of
+(digest, page_id); payloads stay where they were read, and only the holders of shared digests are sent to them.
 
 Defined cases: null html is an empty payload; null url an empty target; repeated rows are separate records (rows that
 share the largest page_id of a group are all responses); a null page_id is never the holder, and a group with null ids
@@ -26,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir
+from ._shared import shared_dir, written
 
 CHUNK_BYTES = 1 << 16
 MIN_REVISIT_BYTES = 1000
+#: The most shared payloads whose digests and holders are broadcast, about 50 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 WARC_DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "archive int, record_no long, chunk_no int, n_chunks int, data binary, sha1_so_far string"
@@ -88,17 +91,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """The chunked record table of ``pages`` (page_id, url, html), not yet written."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     sized = sized.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    holders = sized.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1 AND holder IS NOT NULL").select("digest", "holder")
-    marked = sized.join(holders, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")))
-    kept = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    last = F.greatest(F.ceil(F.octet_length("kept") / F.lit(chunk_bytes)), F.lit(1)).cast("int")
-    cut = marked.withColumn("kept", kept).withColumn("n_chunks", last)
-    parts = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda i: F.substring(F.col("kept"), i * F.lit(chunk_bytes) + 1, F.lit(chunk_bytes)))
-    cut = cut.withColumn("parts", parts).drop("payload", "kept")
-    return cut.select("page_id", "url", "digest", "size", "refers_to", "n_chunks", F.posexplode("parts").alias("chunk_no", "part")).mapInArrow(_assemble, CHUNKS)
+    large = sized.where(F.col("size") >= min_revisit_bytes).select("digest", "page_id")
+    holders = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1 AND holder IS NOT NULL").select("digest", "holder")
+    holders = written(holders, "holders")
+    if holders.count() <= BROADCAST_ROWS:
+        marked = sized.join(F.broadcast(holders), "digest", "left")
+    else:
+        # By page as well, so that no payload that many pages share is a hot key.
+        by_page = large.join(holders, "digest").select(F.col("page_id").alias("its_page"), F.col("digest").alias("its_digest"), "holder").distinct()
+        marked = sized.join(by_page, F.col("page_id").eqNullSafe(F.col("its_page")) & (F.col("digest") == F.col("its_digest")), "left")
+    marked = marked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")))
+    kept = F.when(F.col("refers_to").isNull(), F.col("size")).otherwise(F.lit(0))
+    cut = marked.withColumn("n_chunks", F.greatest(F.ceil(kept / F.lit(chunk_bytes)), F.lit(1)).cast("int"))
+    numbered = cut.select("page_id", "url", "digest", "size", "refers_to", "n_chunks", "payload", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
+    part = F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * F.lit(chunk_bytes) + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    return numbered.withColumn("part", part).drop("payload").mapInArrow(_assemble, CHUNKS)
 
 
 def write(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:

@@ -7,8 +7,9 @@ import time
 import uuid
 
 import numpy as np
+import pytest
 
-from terraloom.llm import html_text
+from terraloom.llm import html_text, warc_chunks
 from terraloom.llm._shared import shared_dir
 from terraloom.llm.html_text import FEW, SHARE, extract, main_text, smoothed
 from terraloom.llm.warc_chunks import read, records, write
@@ -74,7 +75,9 @@ def parsed(data):
         data = data[n + 4 :]
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc_chunks, "BROADCAST_ROWS", broadcast)
     big = "0123456789é\r\n\r\n" * 400
     rows = [(1, "http://a/ü b\r\nx", big, 0), (2, None, big, 0), (3, "u", "small", 0), (4, "u", "small", 0), (5, "u", None, 0), (None, "u", big, 0), (6, "u", "y" * 999, 0), (7, "u", "y" * 999, 0), (9, "u", "z" * 1000, 0), (9, "u", "z" * 1000, 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int")
