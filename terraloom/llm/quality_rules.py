@@ -20,20 +20,21 @@ from pyspark.sql import functions as F
 
 from ._text import SPACE, Slice, gram_hash, mix, repeated, slices, span_hash
 
-#: Largest share of word characters inside duplicated n-grams, by n.  All copies count here, the first included, so the
-#: limits are over twice those of public heuristics that count later copies only; a text of some lines that ends
-#: with the line it began with is no repetitive text.
-GRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
+#: Largest share of word characters inside later copies of n-grams, by n, as in public heuristics.
+GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of lines, and of their characters, that repeat an earlier line.
-LINE_LIMIT, LINE_CHAR_LIMIT = 0.40, 0.30
+LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+#: The limits say nothing where fewer characters, or lines, repeat: a text of three lines that ends as it began is not repetitive.
+LEAST_CHARS, LEAST_LINES = 200, 3
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "line_chars long, dup_line_chars long, n_lines long, dup_gram_chars array<long>"
+    "line_chars long, dup_line_chars long, n_lines long, dup_gram_chars array<long>, base_failed boolean, kept boolean"
 )
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -64,20 +65,19 @@ def _measure_slice(s: Slice, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     out["n_lines"], out["n_dup_lines"] = s.per_row(line_row), s.per_row(line_row[later])
     out["line_chars"], out["dup_line_chars"] = s.per_row(line_row, size), s.per_row(line_row[later], size[later])
 
-    places, grams, done = np.arange(len(word)), [], 0
+    places, grams = np.arange(len(word)), []
     for n in (3, *lengths):
         places = places[places + n <= len(word)]
         places = places[row[places] == row[places + n - 1]]
+        later = places
         if len(places):
             keys = gram_hash(word, n)[places] if n == 3 else _grams_at(word, places, n)
-            often, _ = repeated(keys + salt[row[places]])
-            places = places[often]
-        mask = _covered(places, n, len(word)) if len(places) else np.zeros(len(word), bool)
+            often, again = repeated(keys + salt[row[places]])
+            places, later = places[often], places[again]
         if n == 3:
-            out["n_repeat_words"] = s.per_row(row[mask])
-        if n in lengths and done < len(lengths):
-            grams.append(s.per_row(row[mask], chars[mask]))
-            done += 1
+            out["n_repeat_words"] = s.per_row(row[mask := _covered(places, n, len(word))])
+        else:
+            grams.append(s.per_row(row[mask := _covered(later, n, len(word))], chars[mask]))
     out["dup_gram_chars"] = np.stack(grams, axis=1) if grams else np.zeros((s.rows, 0), np.int64)
     return out
 
@@ -89,64 +89,65 @@ def _grams_at(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def measure(docs: DataFrame, lengths: tuple[int, ...] = tuple(GRAM_LIMITS), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: the counts that the rules are made of (see SCHEMA), ``dup_gram_chars`` by ``lengths`` (each 4 or more, ascending)."""
-    if list(lengths) != sorted(set(lengths)) or min(lengths, default=4) < 4:
-        raise ValueError("lengths must ascend and be 4 or more")
+def _judge(m: dict[str, np.ndarray], limits: Mapping[int, float]) -> None:
+    """Adds ``base_failed`` and ``kept`` to the measures; ``dup_gram_chars`` is by ascending length."""
+    m["base_failed"] = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
+    bad = (m["n_dup_lines"] >= LEAST_LINES) & (m["n_dup_lines"] > LINE_LIMIT * m["n_lines"])
+    bad |= (m["dup_line_chars"] >= LEAST_CHARS) & (m["dup_line_chars"] > LINE_CHAR_LIMIT * m["line_chars"])
+    most = np.array([limits[n] for n in sorted(limits)]) * m["word_chars"][:, None]
+    bad |= ((m["dup_gram_chars"] >= LEAST_CHARS) & (m["dup_gram_chars"] > most)).any(axis=1)
+    m["kept"] = ~m["base_failed"] & ~bad
+
+
+def _judged(column: pa.Array, limits: Mapping[int, float]) -> Iterator[tuple[Slice, dict[str, np.ndarray]]]:
+    """Slices of a column with their measures and verdicts: the one place where rules are applied."""
+    for s in slices(column):
+        m = _measure_slice(s, tuple(sorted(limits)))
+        _judge(m, limits)
+        yield s, m
+
+
+def measure(docs: DataFrame, limits: Mapping[int, float] = GRAM_LIMITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of ``docs``: the counts that the rules are made of and the verdicts (see SCHEMA), ``dup_gram_chars`` by the lengths
+    of ``limits`` (each 4 or more), ascending."""
+    if min(limits, default=4) < 4:
+        raise ValueError("lengths must be 4 or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for s in slices(batch.column(1)):
-                got = _measure_slice(s, lengths)
+            for s, got in _judged(batch.column(1), limits):
                 grams = got.pop("dup_gram_chars")
-                arrays = {k: pa.array(v, pa.int64()) for k, v in got.items()}
+                arrays = {k: pa.array(v) for k, v in got.items()}
                 arrays["dup_gram_chars"] = pa.ListArray.from_arrays(pa.array(np.arange(s.rows + 1, dtype=np.int32) * grams.shape[1]), pa.array(grams.ravel(), pa.int64()))
-                arrays["doc_id"] = ids.slice(s.first, s.rows)
-                names = [c.split()[0] for c in SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([arrays[k] for k in names], names)
+                arrays["doc_id"] = batch.column(0).slice(s.first, s.rows)
+                yield pa.RecordBatch.from_arrays([arrays[k] for k in _NAMES], _NAMES)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def judge(measures: DataFrame, limits: Mapping[int, float] = GRAM_LIMITS) -> DataFrame:
-    """Adds ``base_failed`` and ``kept``."""
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    bad = (F.col("n_dup_lines") > LINE_LIMIT * F.col("n_lines")) | (F.col("dup_line_chars") > LINE_CHAR_LIMIT * F.col("line_chars"))
-    for k, n in enumerate(sorted(limits)):
-        bad = bad | (F.col("dup_gram_chars")[k] > F.lit(float(limits[n])) * F.col("word_chars"))
-    return measures.withColumn("base_failed", base).withColumn("kept", ~base & ~bad)
-
-
-def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, limits: Mapping[int, float] = GRAM_LIMITS, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns; decided row by row, so repeated ids are no matter."""
     names = docs.columns
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).cast("string").alias("text"))
     schema = wide.select("row").schema.add("kept", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, limits = tuple(sorted(GRAM_LIMITS)), np.array([GRAM_LIMITS[n] for n in sorted(GRAM_LIMITS)])
         for batch in batches:
-            for s in slices(batch.column(1)):
-                m = _measure_slice(s, lengths)
-                good = (m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= REPEAT_PERCENT * m["n_words"])
-                good &= (m["n_dup_lines"] <= LINE_LIMIT * m["n_lines"]) & (m["dup_line_chars"] <= LINE_CHAR_LIMIT * m["line_chars"])
-                good &= (m["dup_gram_chars"] <= limits * m["word_chars"][:, None]).all(axis=1)
-                part = batch.slice(s.first, s.rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(good)], ["row", "kept"])
+            for s, m in _judged(batch.column(1), limits):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(m["kept"])], ["row", "kept"])
 
     return wide.mapInArrow(run, schema).where("kept").select("row.*")
 
 
 def op7_repetition_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(measure(docs))
+    return measure(docs)
 
 
 def _oracle() -> str:
     cover = ",\n".join(
         f"""g{n} AS (SELECT w.k, sum(w.wc) AS c FROM w JOIN
-          (SELECT DISTINCT k, unnest(range(i, i + {n})) AS i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n
+          (SELECT DISTINCT k, unnest(range(i, i + {n})) AS i FROM (SELECT k, i, {'count(*) OVER (PARTITION BY k, g)' if n == 3 else 'row_number() OVER (PARTITION BY k, g ORDER BY i)'} AS n
              FROM (SELECT k, unnest(range(1, len(ws) - {n - 2})) AS i,
                      unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: hash(list_slice(ws, i, i + {n - 1})))) AS g FROM d)) WHERE n > 1) r
           ON w.k = r.k AND w.i = r.i GROUP BY w.k)"""
@@ -154,7 +155,7 @@ def _oracle() -> str:
     )
     joins = "\n".join(f"LEFT JOIN g{n} ON g{n}.k = d.k" for n in (3, *GRAM_LIMITS))
     grams = ", ".join(f"coalesce(g{n}.c, 0)" for n in GRAM_LIMITS)
-    fine = " AND ".join(f"coalesce(g{n}.c, 0) <= {v}::DOUBLE * word_chars" for n, v in GRAM_LIMITS.items())
+    fine = " AND ".join(f"(coalesce(g{n}.c, 0) < {LEAST_CHARS} OR coalesce(g{n}.c, 0) <= {v}::DOUBLE * word_chars)" for n, v in GRAM_LIMITS.items())
     return f"""
     WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(text, '') AS text,
                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -172,7 +173,7 @@ def _oracle() -> str:
           FROM d {joins} LEFT JOIN l ON l.k = d.k)
     SELECT a.* EXCLUDE (fine), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
       n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {REPEAT_PERCENT} * n_words AND fine
-        AND n_dup_lines <= {LINE_LIMIT}::DOUBLE * n_lines AND dup_line_chars <= {LINE_CHAR_LIMIT}::DOUBLE * line_chars AS kept
+        AND (n_dup_lines < {LEAST_LINES} OR n_dup_lines <= {LINE_LIMIT}::DOUBLE * n_lines) AND (dup_line_chars < {LEAST_CHARS} OR dup_line_chars <= {LINE_CHAR_LIMIT}::DOUBLE * line_chars) AS kept
     FROM a""".replace("{fine}", fine)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from terraloom.llm import fingerprints, private_data, quality_rules
-from terraloom.llm._text import slices
+from terraloom.llm._text import mix, slices, span_hash
 from terraloom.llm.fingerprints import half_edits
 from terraloom.llm.packing import optimal_bounds, pack
 from terraloom.llm.token_counts import allocate, by_field, by_line, token_spans
@@ -25,23 +25,34 @@ def plain_quality(text):
     lines = [x for x in text.split("\n") if WORD.search(x)]
     later = [x for k, x in enumerate(lines) if x in lines[:k]]
 
-    def covered(n):
+    def covered(n, first):
         grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-        return {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + n)}
+        return {j for i, g in enumerate(grams) if (grams.count(g) > 1 if first else g in grams[:i]) for j in range(i, i + n)}
 
-    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(later), len(covered(3)), sum(map(len, later)), [sum(len(words[j]) for j in covered(n)) for n in quality_rules.GRAM_LIMITS])
+    repeat, dup = len(covered(3, True)), sum(map(len, later))
+    grams = [sum(len(words[j]) for j in covered(n, False)) for n in quality_rules.GRAM_LIMITS]
+    failed = len(words) < 50 or 100 * repeat > 50 * len(words)
+    bad = len(later) >= 3 and len(later) > 0.3 * len(lines) or dup >= 200 and dup > 0.2 * sum(map(len, lines))
+    bad = bad or any(g >= 200 and g > share * sum(map(len, words)) for g, share in zip(grams, (0.15, 0.14, 0.13, 0.12, 0.11, 0.10), strict=True))
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(later), repeat, dup, failed, not failed and not bad, grams)
 
 
 def test_quality_measures(spark, documents):
     rng = random.Random(2)
     texts = [t for t in EDGE if not t or len(t) < 9000] + [" ".join(rng.choices(["a", "bb", "c\n", "dé"], k=rng.randint(0, 40))) for _ in range(60)]
+    for n in range(60):  # texts near the limits: some words of their own, and a passage or lines that come again
+        own = [f"w{rng.random()}" for _ in range(rng.randint(40, 120))]
+        again = own[: rng.randint(1, 24)]
+        texts.append((" ".join(own) + " | " + " ".join(again)) if n % 2 else "\n".join(own + again + ["x"]))
     rows = list(enumerate(texts)) + [(1, "twice"), (None, "no id")]
-    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.dup_line_chars, tuple(r.dup_gram_chars)) for r in quality_rules.measure(documents(rows)).collect()}
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.dup_line_chars, r.base_failed, r.kept, tuple(r.dup_gram_chars)) for r in quality_rules.measure(documents(rows)).collect()}
     for i, t in rows:
         *plain, grams = plain_quality(t)
         assert (i, *plain, tuple(grams)) in got, t
+    verdicts = {(r.base_failed, r.kept) for r in quality_rules.measure(documents(rows)).collect()}
+    assert verdicts == {(True, False), (False, True), (False, False)}
     kept = quality_rules.keep(documents(rows + [(900, " ".join(f"w{k}" for k in range(60)))]))
-    assert [r.doc_id for r in kept.collect()] == [900] and kept.columns == documents(rows).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in rows if plain_quality(t)[-2]] + [900] and kept.columns == documents(rows).columns
     assert quality_rules.measure(documents([])).count() == 0
 
 
@@ -166,6 +177,20 @@ def test_packing(spark):
     assert pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_packing_of_scattered_and_repeated_ids(spark):
+    rng = random.Random(8)
+    rows = [(rng.getrandbits(62), rng.randint(0, 9)) for _ in range(300)] + [(None, 3)] * 5 + [(7, 4)] * 6 + [(7, 2)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), 3, 40).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((i or -1, n) for i, n in rows)
+    for bucket in {r.bucket for r in got}:
+        mine = sorted((r for r in got if r.bucket == bucket), key=lambda r: (r.batch, r.place))
+        size = max(1, 40 // max(1, mine[0].bound))
+        assert [(r.batch, r.place) for r in mine] == [(k // size, k % size) for k in range(len(mine))]
+        order = [(r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in mine]
+        assert order == sorted(order)
+    assert pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
 def test_padding_is_least_for_long_texts(spark):
     rng = random.Random(6)
     for low, high in ((8200, 8320), (4000, 12_000), (40_000, 40_600)):
@@ -203,3 +228,53 @@ def test_every_term_in_the_band_counts(spark, documents, monkeypatch):
     monkeypatch.setattr(fingerprints, "MAX_LEXICON", 0)  # the lexicon joins by a shuffle
     assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(docs).collect()} == got
     assert sorted(map(tuple, half_edits(docs).collect())) == edits
+
+
+def plain_prints(texts):
+    """Fingerprint parts of each text by loops over its terms."""
+    one = lambda x: int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+    terms = [sorted(set(WORD.findall((t or "").translate({k: k + 32 for k in range(65, 91)})))) for t in texts]
+    names = sorted({x for t in terms for x in t})
+    s = next(slices(pa.array(names)))
+    number = dict(zip(names, map(int, span_hash(s.prefix(), s.bounds[:-1], s.bounds[1:])), strict=True))
+    df = {x: sum(x in t for t in terms) for x in names}
+    band = {x for x in names if len(texts) / 2**fingerprints.HIGH_BITS <= df[x] <= len(texts) / 2**fingerprints.LOW_BITS}
+    wide = fingerprints.SUBSETS
+    out = []
+    for t in terms:
+        parts = [0] * wide
+        for k in range(wide):
+            if k < fingerprints.SHARES:
+                mine = [x for x in t if x in band and one(number[x] + 977 * wide + 1) % fingerprints.SHARES == k]
+            else:
+                rate = 5 + (k - fingerprints.SHARES) // 7
+                mine = [x for x in t if x in band and one(number[x] + 977 * (k - fingerprints.SHARES) + 1) < 1 << (64 - rate)]
+            if mine:
+                parts[k] = (one(sum(one(number[x] + k) for x in mine)) | 1 << 48) >> 48
+        if t and not any(parts):
+            parts = [(one(sum(one(number[x]) for x in t) + k) | 1 << 48) >> 48 for k in range(wide)]
+        out.append(parts)
+    return out
+
+
+def test_fingerprints_against_a_plain_version(spark, documents):
+    rng = random.Random(12)
+    words = [f"t{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(300)], k=rng.randint(0, 50))) for _ in range(120)] + [None, "Ab aB", "rare one", "x" * 9000]
+    rows = [(rng.getrandbits(60), t) for t in texts]
+    rows.sort()
+    prints = plain_prints([t for _, t in rows])
+    text = lambda parts: "".join(f"{p:04x}" for p in parts)
+    got = {r.doc_id: r for r in half_edits(documents(rows)).collect()}
+    for k, (i, _) in enumerate(rows):
+        own, then = prints[k], prints[(k + 1) % len(rows)]
+        assert got[i].fingerprint == text(own)
+        filled = sum(bool(a or b) for a, b in zip(own, then, strict=True))
+        same = sum(a == b and a > 0 for a, b in zip(own, then))
+        assert abs(got[i].near_next - (1.0 if own == then else same / filled)) < 1e-12
+
+
+def test_next_documents_of_null_and_repeated_ids(spark, documents):
+    rows = [(None, "no id"), (None, None), (1, "same same"), (1, "same same"), (1, "other"), (2, "last")]
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in half_edits(documents(rows)).collect()))
+    assert got == sorted(((i is not None, i or 0, len(t or "")) for i, t in rows))
