@@ -16,6 +16,9 @@ SLICE_BYTES = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: For a second hash, where 64 bits are too few to name content.
+_BASE_2 = np.uint64(0xD1342543DE82EF95)
+_INVERSE_2 = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
@@ -85,10 +88,11 @@ class Slice:
         ends[~last] = breaks
         return starts, ends, row
 
-    def prefix(self) -> np.ndarray:
+    def prefix(self, second: bool = False) -> np.ndarray:
         """Cumulative polynomial sums, for :func:`span_hash`."""
         out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(self.data)), out=out[1:])
+        power = _power("up 2", _BASE_2, len(self.data)) if second else _power("up", _BASE, len(self.data))
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power, out=out[1:])
         return out
 
     def points(self) -> np.ndarray:
@@ -102,9 +106,9 @@ class Slice:
         return out.astype(np.int64) if weights is None or weights.dtype.kind in "biu" else out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, the same wherever the span lies."""
-    down = _power("down", _INVERSE, len(prefix))
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hash of each byte span, the same wherever the span lies; ``second`` as for ``prefix``."""
+    down = _power("down 2", _INVERSE_2, len(prefix)) if second else _power("down", _INVERSE, len(prefix))
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

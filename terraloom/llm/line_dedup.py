@@ -1,18 +1,24 @@
 """Line dedup: repeated runs of lines found by distributed prefix doubling; later copies are deleted.
 
-The corpus is one sequence of line identifiers in order of (doc_id, line).  Only lines that occur twice or more can lie
-in a repeated run, so the others cut the sequence into stretches; a suffix starts at each line of a stretch.  Ranks start
-as the number of suffixes with a smaller first line and are refined by doubling: suffixes of one rank are ordered by
-the rank 2**k lines on, counted per pair first, so the rank is again the place at which the group starts in the suffix
-array.  A group of equal rank after k doublings is the interval of the suffix array with a common prefix of 2**k lines.
-Walking the levels down, each suffix finds the longest prefix that occurs earlier (the deepest interval whose smallest
-position lies before it), up to the length at which every run is long enough: a line has a word, so a run of
-``min_words`` lines qualifies whatever else follows.
-
-A run with ``min_words`` words or more is deleted wherever an earlier copy of it exists, so the first copy stays.
-
-Lines are compared by 64-bit hash and whole, words are runs outside ``[\\x20\\x09-\\x0D]``.  Lines without a word are no part of the
-sequence and stay.  Groups are counted and minimised by aggregation; only the lines of one document meet in one task.
+The corpus is one sequence of line identifiers in order of (doc_id, line).  A text that several documents hold stands in it
+once, for the first of them: each other document is one run that was there before.  Only lines that occur twice or more can
+lie in a repeated run, so the others cut the sequence into stretches; a suffix starts at each line of a stretch.
+
+Ranks start as the number of suffixes with a smaller first line and are refined by doubling: suffixes of one rank are
+ordered by the rank 2**k lines on, counted per pair first, so the rank is again the place at which the group starts in the
+suffix array.  A group of equal rank after k doublings is the interval of the suffix array with a common prefix of 2**k
+lines; its size is the number of copies, its smallest position the first one.  Doubling goes on until every group is a
+single suffix or ends; documents without an open group drop out.  Up to ``min_words`` lines the prefixes of the lengths between two
+powers are counted too (two overlapping ones of 2**k), since there the length decides whether a run has words enough.
+
+So each suffix knows the longest of these prefixes that occurs earlier; overlapping ones of one document with the same
+displacement to the copy make up its maximal repeated runs.  A run with ``min_words`` words or more is deleted wherever an
+earlier copy of it exists, so the first copy stays.
+
+Lines are compared whole, by 128-bit hash until they are numbered; words are runs outside ``[\\x20\\x09-\\x0D]``.  Lines without
+a word are no part of the sequence and stay.  Groups are counted and minimised by aggregation, tables of lines and texts are broadcast up
+to BROADCAST_ROWS and else joined by a shuffle, joins of ranks are left to adaptive execution (size and skew); only the lines of one
+document meet in one task.
 
 Defined cases: null or empty text has one line without a word and stays as it is; rows that repeat both id and text count
 as one document and get the same result; rows that repeat an id only are ordered by a hash of their text; null ids come
@@ -22,6 +28,7 @@ whatever their names, are kept by :func:`dedup_lines`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,133 +36,211 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import indexed, written
 from ._text import slices, span_hash
 
 MIN_WORDS = 5
-BLOCK = 2048
+#: The largest table that is broadcast, by rows and by lines in their lists: about 40 MB; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_LINES = 500_000, 1_000_000
+_BUCKET = 1 << 16
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+def _in_document():
+    return Window.partitionBy("start").orderBy("at")
+
+
+def _before(value: str, by: list[str], order: str):
+    """Sum of ``value`` over the earlier rows of a group."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, to be joined: broadcast if it is small."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str, *more) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
-    return rows.withColumn("row_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text"))
+    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), said.alias("text"), F.md5(said).alias("text_key"), *more)
+    return rows.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text_key"))))
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """(row_key, at, line_no, line, words) of each line with a word; ``at`` counts those lines only."""
+    """(text_key, at, line_no, a, b, words) of each line with a word; ``at`` counts those lines only, ``a`` and ``b`` name the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
             for s in slices(batch.column(1)):
                 starts, ends, row = s.lines()
                 words = np.bincount(np.searchsorted(starts, s.words()[0], side="right") - 1, minlength=len(starts))
                 # Lines that start at one offset are empty but for the last, to which searchsorted gives the words.
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 full = np.flatnonzero(words)
-                row, number, words = row[full], number[full], words[full]
+                row, number, words, starts, ends = row[full], number[full], words[full], starts[full], ends[full]
                 at = np.arange(len(row)) - np.searchsorted(row, row)
-                line = span_hash(s.prefix(), starts[full], ends[full])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[s.first + row]), pa.array(at.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.array(words.astype(np.int32))],
-                    ["row_key", "at", "line_no", "line", "words"],
-                )
+                a, b = span_hash(s.prefix(), starts, ends), span_hash(s.prefix(True), starts, ends, True)
+                columns = [batch.column(0).take(pa.array(s.first + row)), *map(pa.array, (at.astype(np.int32), number.astype(np.int32), a.view(np.int64), b.view(np.int64), words.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, ["text_key", "at", "line_no", "a", "b", "words"])
 
-    return keyed.select("row_key", "text").mapInArrow(run, "row_key long, at int, line_no int, line long, words int")
+    return keyed.select("text_key", "text").mapInArrow(run, "text_key string, at int, line_no int, a long, b long, words int")
 
 
-def _starts(keyed: DataFrame) -> DataFrame:
-    """(row_key, start): lines before each document; sums by block, of which only the list of blocks is ordered as a whole."""
+def _texts(keyed: DataFrame) -> DataFrame:
+    """(text_key, row_key, copied, start) of each text: its first document, whether others hold it, and the lines before it."""
     size = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    docs = keyed.select("row_key", "doc_id", size.alias("size")).distinct().withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 60))).cast("long"))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = docs.groupBy("block").agg(F.sum("size").alias("size")).select("block", F.coalesce(F.sum("size").over(before.orderBy("block")), F.lit(0)).alias("offset"))
-    inside = F.coalesce(F.sum("size").over(before.partitionBy("block").orderBy("doc_id", "row_key")), F.lit(0))
-    return docs.withColumn("inside", inside).join(blocks, "block").select("row_key", (F.col("offset") + F.col("inside")).alias("start"))
-
-
-def _first_ranks(lines: DataFrame) -> DataFrame:
-    """(line, r0): the number of suffixes whose first line is smaller, for each line that occurs twice or more."""
-    counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("bucket", F.shiftrightunsigned("line", 50))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before.orderBy("bucket")), F.lit(0)).alias("offset"))
-    inside = F.coalesce(F.sum("n").over(before.partitionBy("bucket").orderBy("line")), F.lit(0))
-    return counts.withColumn("inside", inside).join(buckets, "bucket").select("line", (F.col("offset") + F.col("inside")).alias("r0"))
+    first = F.min(F.struct("doc_id", "row_key"))
+    texts = keyed.select("text_key", "row_key", "doc_id", size.alias("size")).distinct().groupBy("text_key").agg(first.alias("f"), (F.count(F.lit(1)) > 1).alias("copied"), F.min("size").alias("size"))
+    texts = indexed(texts.select("text_key", "f.doc_id", "f.row_key", "copied", "size"), ["doc_id", "row_key"], "start", "size")
+    return written(texts.select("text_key", "row_key", "copied", "start"), "texts")
+
+
+def _suffixes(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(start, at, line_no, words, last, pos, r, n, length, copies, source): the suffixes, ranked by their first line."""
+    lines = written(_lines(keyed), "lines")
+    place = F.xxhash64("text_key", "at")
+    often = lines.groupBy("a", "b").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("a", "b")
+    found = lines.join(_small(often, "often"), ["a", "b"], "left_semi").distinct()
+    starts = texts.select("text_key", "start")
+    found = found.join(F.broadcast(starts) if texts.count() <= BROADCAST_ROWS else starts, "text_key").drop("text_key").withColumn("pos", F.col("start") + F.col("at"))
+    found = written(found, "found")
+    ranks = indexed(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("source")), ["a", "b"], "r", "n")
+    ranked = found.join(ranks, ["a", "b"]).drop("a", "b")
+    stretch = ranked.withColumn("stretch", F.col("at") - F.row_number().over(_in_document()))
+    ranked = stretch.withColumn("last", F.max("at").over(Window.partitionBy("start", "stretch"))).drop("stretch")
+    earlier = F.col("source") < F.col("pos")
+    return ranked.withColumn("length", F.when(earlier, 1).otherwise(0)).withColumn("copies", F.when(earlier, F.col("n")).otherwise(1))
+
+
+def _between(k: int, min_words: int) -> list[int]:
+    """Lengths that decide between 2**k and 2**(k + 1)."""
+    return list(range((1 << k) + 1, min(min_words + 1, 2 << k)))
+
+
+def _paired(now: DataFrame, k: int, min_words: int) -> DataFrame:
+    """Adds ``next``, the rank 2**k lines on, and o<length> for the lengths between; -1 where the stretch is shorter."""
+    for n in (2 << k, *_between(k, min_words)):
+        # A rank is refined by whatever follows; a length counts where the stretch holds it.
+        least = 1 << k if n == 2 << k else n - 1
+        after = F.when(F.col("at") + least <= F.col("last"), F.lead("r", n - (1 << k)).over(_in_document())).otherwise(F.lit(-1).cast("long"))
+        now = now.withColumn("next" if n == 2 << k else f"o{n}", after)
+    return now.withColumn("busy", F.max(F.expr("n > 1 AND next >= 0")).over(Window.partitionBy("start")))
+
+
+def _refined(now: DataFrame) -> DataFrame:
+    """(r, next, rank, m, low): rank, size and smallest position of each group two times as long.
+
+    A group that is split has its ended suffixes first; those whose documents dropped out are its size less the sum.  The
+    followers of one rank are summed in buckets of ranks, so that a frequent first line is no single task.
+    """
+    pairs = now.where("n > 1").groupBy("r", "next").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("low"), F.first("n").alias("n"))
+    pairs = pairs.withColumn("bucket", F.floor(F.col("next") / _BUCKET).cast("long"))
+    sums = pairs.groupBy("r", "bucket").agg(F.sum("m").alias("s"))
+    sums = sums.select("r", "bucket", _before("s", ["r"], "bucket").alias("offset"), F.sum("s").over(Window.partitionBy("r")).alias("whole"))
+    inside = _before("m", ["r", "bucket"], "next")
+    rank = F.col("r") + F.col("n") - F.col("whole") + F.col("offset") + F.col("inside")
+    return pairs.withColumn("inside", inside).join(sums, ["r", "bucket"]).select("r", "next", rank.alias("rank"), "m", "low")
 
 
-def suffix_ranks(keyed: DataFrame, levels: int) -> DataFrame:
-    """(row_key, at, line_no, words, last, pos, r0 ... r<levels>): ranks by the first 2**k lines of each suffix.
+def suffix_array(keyed: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(start, at, line_no, words, pos, r, length, copies, source) of each suffix: in order of (r, pos) they are the suffix array.
 
-    Ordered by (r<levels>, pos) this is the suffix array, as far as 2**levels lines decide.
+    ``length`` is the longest prefix found that occurs earlier (0: none), ``copies`` how often it occurs, ``source`` where first.
     """
-    lines = _lines(keyed)
-    found = lines.join(_first_ranks(lines), "line").drop("line").distinct().join(_starts(keyed), "row_key").withColumn("pos", F.col("start") + F.col("at")).drop("start")
-    order = Window.partitionBy("row_key").orderBy("at")
-    found = found.withColumn("stretch", F.col("at") - F.row_number().over(order)).withColumn("last", F.max("at").over(Window.partitionBy("row_key", "stretch"))).drop("stretch")
-    now = written(found, "ranks")
-    for k in range(levels):
-        inside = F.col("at") + (1 << k) <= F.col("last")
-        paired = now.withColumn("next", F.when(inside, F.lead(f"r{k}", 1 << k).over(order)).otherwise(F.lit(-1)))
-        before = Window.partitionBy(f"r{k}").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-        ranks = paired.groupBy(f"r{k}", "next").agg(F.count(F.lit(1)).alias("n"))
-        ranks = ranks.select(f"r{k}", "next", (F.col(f"r{k}") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias(f"r{k + 1}"))
-        now = written(paired.join(ranks, [f"r{k}", "next"]).drop("next"), "ranks")
-    return now
-
-
-def earlier_runs(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row_key, at, line_no, words, length): lines of the longest run from each line on that also occurs earlier, up to ``min_words``."""
-    longest = max(1, min_words)
-    now = suffix_ranks(keyed, longest.bit_length() - 1)
-    order = Window.partitionBy("row_key").orderBy("at")
-    # The first n lines are two runs of 2**k lines that overlap, so a pair of ranks names their interval.
-    names = []
-    for n in range(1, longest + 1):
-        k = n.bit_length() - 1
-        end = F.lead(f"r{k}", n - (1 << k)).over(order) if n > 1 << k else F.col(f"r{k}")
-        names.append(F.when(F.col("at") + n - 1 <= F.col("last"), F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), f"r{k}", end).alias("name"))))
-    prefixes = now.withColumn("names", F.array_compact(F.array(*names))).select("row_key", "at", "line_no", "words", "pos", F.inline("names"))
-    lowest = prefixes.groupBy("n", "name").agg(F.min("pos").alias("lowest"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    best = F.max(F.when(F.col("lowest") < F.col("pos"), F.col("n")).otherwise(F.lit(0)))
-    return prefixes.join(lowest, ["n", "name"], "left").groupBy("row_key", "at", "line_no", "words").agg(best.alias("length"))
-
-
-def _doomed(at: np.ndarray, words: np.ndarray, length: np.ndarray, min_words: int) -> np.ndarray:
-    """Mask of the lines inside a run that is long enough; at ascends."""
+    names = ["start", "at", "line_no", "words", "last", "pos", "r", "n", "length", "copies", "source"]
+    now, k, done = written(_paired(_suffixes(keyed, texts), 0, min_words), "suffixes"), 0, []
+    while k < min_words.bit_length() or not now.where("busy").isEmpty():
+        joined = now.join(_refined(now), ["r", "next"], "left")
+        for n in _between(k, min_words):
+            found = now.where(f"n > 1 AND o{n} >= 0").groupBy("r", f"o{n}").agg(F.count(F.lit(1)).alias(f"m{n}"), F.min("pos").alias(f"low{n}")).where(f"m{n} > 1")
+            joined = joined.join(found, ["r", f"o{n}"], "left")
+            earlier = F.col(f"low{n}") < F.col("pos")
+            for c, value in (("length", F.lit(n)), ("copies", F.col(f"m{n}")), ("source", F.col(f"low{n}"))):
+                joined = joined.withColumn(c, F.when(earlier, value).otherwise(F.col(c)))
+        earlier = (F.col("at") + (2 << k) - 1 <= F.col("last")) & (F.col("low") < F.col("pos"))
+        for c, value in (("length", F.lit(2 << k)), ("copies", F.col("m")), ("source", F.col("low"))):
+            joined = joined.withColumn(c, F.when(earlier, value).otherwise(F.col(c)))
+        joined = joined.withColumn("r", F.coalesce("rank", "r")).withColumn("n", F.coalesce("m", F.lit(1).cast("long"))).select(names)
+        k += 1
+        now = written(_paired(joined, k, min_words), "suffixes")
+        if k >= min_words.bit_length():
+            done.append(now.where("NOT busy").select(names))
+            now = now.where("busy")
+    for part in done:
+        now = now.select(names).unionByName(part)
+    return now.drop("last", "n", "next", "busy")
+
+
+def _runs(pos: np.ndarray, words: np.ndarray, length: np.ndarray, source: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that are long enough: overlapping prefixes with one displacement; ``pos`` ascends."""
     total = np.concatenate([[0], np.cumsum(words)])
-    here = np.arange(len(at))
-    long = (length > 0) & (total[np.minimum(here + length, len(at))] - total[here] >= min_words)
-    edge = np.zeros(len(at) + 1, np.int64)
-    np.add.at(edge, here[long], 1)
-    np.add.at(edge, here[long] + length[long], -1)
-    return np.cumsum(edge[:-1]) > 0
+    here = np.arange(len(pos))
+    end = np.minimum(here + length, len(pos))
+    at = np.flatnonzero((length > 0) & (total[end] - total[here] >= min_words))
+    if not len(at):
+        return at, at
+    order = np.lexsort((at, (pos - source)[at]))
+    at = at[order]
+    way, reach = (pos - source)[at], end[at]
+    lift = np.cumsum(np.append(0, way[1:] != way[:-1])) * (len(pos) + 1)
+    furthest = np.maximum.accumulate(reach + lift)
+    first = np.append(True, at[1:] + lift[1:] > furthest[:-1])
+    heads = np.flatnonzero(first)
+    return at[heads], (furthest - lift)[np.append(heads[1:], len(at)) - 1]
 
 
 def _cleaned(docs: DataFrame, min_words: int, text: str, doc_id: str) -> DataFrame:
-    """Every row as struct ``row`` with its ``doc_id``, ``n_lines``, the numbers of its ``deleted`` lines and the text ``kept``."""
+    """Every row as struct ``row`` with its ``doc_id``, ``n_lines``, the numbers of its ``deleted`` lines, the text ``kept``, and its
+    ``runs`` (first line, lines, copies); a later copy of a whole text is one run, of 0 copies that are not counted."""
+    min_words = max(1, min_words)
     keyed = _keyed(docs, text, doc_id)
-    runs = earlier_runs(keyed, min_words).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("at", "line_no", "words", "length"))).alias("runs"), F.max("length").alias("most")).where("most > 0").drop("most")
-    wide = _keyed(docs, text, doc_id, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(runs, "row_key", "left").select("doc_id", "text", "row", "runs")
+    texts = _texts(keyed)
+    lists = suffix_array(keyed, texts, min_words).groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "line_no", "words", "length", "source", "copies"))).alias("lines"), F.max("length").alias("most"))
+    marks = texts.join(written(lists.where("most > 0").drop("most"), "lists"), "start", "left").where("copied OR lines IS NOT NULL").select("text_key", F.col("row_key").alias("first_key"), "lines")
+    marks = written(marks, "marks")
+    size = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("lines"), F.lit(0))), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_LINES:
+        marks = F.broadcast(marks)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    wide = _keyed(docs, text, doc_id, whole.alias("row")).join(marks, "text_key", "left").select("doc_id", "row", n_lines.alias("n_lines"), (F.col("first_key") != F.col("row_key")).alias("later"), "lines")
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, gone, count = [], [], []
-            for said, runs in zip(batch.column(1), batch.column(3), strict=True):
-                said = said.as_py()
-                count.append(said.count("\n") + 1)
-                drop: list[int] = []
-                if runs.is_valid:
-                    v = runs.values
-                    at, number, words, length = (v.field(k).to_numpy() for k in range(4))
-                    drop = number[_doomed(at, words, length, min_words)].tolist()
-                gone.append(drop)
-                if drop:
-                    away = set(drop)
-                    said = "\n".join(x for k, x in enumerate(said.split("\n")) if k not in away)
-                kept.append(said)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32())), pa.array(count, pa.int64())], ["doc_id", "row", "kept", "deleted", "n_lines"])
-
-    return wide.mapInArrow(run, f"doc_id long, row {wide.schema['row'].dataType.simpleString()}, kept string, deleted array<int>, n_lines long")
+            texts, marked = batch.column(1).field(place), batch.column(3)
+            kept: list[str | None] = [None] * batch.num_rows
+            gone: list[list[int]] = [[] for _ in kept]
+            found: list[list[dict]] = [[] for _ in kept]
+            for i in np.flatnonzero(marked.is_valid()):
+                said = str(texts[i].as_py() or "")
+                if marked[i].as_py():
+                    if len(_WORD.findall(said)) >= min_words:
+                        gone[i] = [k for k, line in enumerate(said.split("\n")) if _WORD.search(line)]
+                        found[i] = [{"line": gone[i][0], "lines": len(gone[i]), "copies": 0}]
+                elif batch.column(4)[i].is_valid:
+                    _, pos, number, words, length, source, copies = (batch.column(4)[i].values.field(k).to_numpy() for k in range(7))
+                    edge = np.zeros(len(pos) + 1, np.int64)
+                    for a, b in zip(*_runs(pos, words, length, source, min_words), strict=True):
+                        edge[a] += 1
+                        edge[b] -= 1
+                        found[i].append({"line": int(number[a]), "lines": int(b - a), "copies": int(copies[a])})
+                    gone[i] = number[np.cumsum(edge[:-1]) > 0].tolist()
+                if gone[i]:
+                    away = set(gone[i])
+                    kept[i] = "\n".join(x for k, x in enumerate(said.split("\n")) if k not in away)
+            kind = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("copies", pa.int64())]))
+            columns = [*batch.columns[:3], pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32())), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_lines", "kept", "deleted", "runs"])
+
+    kind = wide.schema["row"].dataType.simpleString()
+    done = wide.mapInArrow(run, f"doc_id long, row {kind}, n_lines long, kept string, deleted array<int>, runs array<struct<line: int, lines: int, copies: bigint>>")
+    return done.withColumn("kept", F.coalesce("kept", F.col(f"row.`{text}`").cast("string"), F.lit("")))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, line, lines, copies) of each maximal repeated run that has an earlier copy; see :func:`_cleaned`."""
+    return _cleaned(docs, min_words, text, doc_id).select("doc_id", F.inline("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

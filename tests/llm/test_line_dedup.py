@@ -1,7 +1,9 @@
 import random
 import re
 
-from terraloom.llm.line_dedup import MIN_WORDS, _cleaned, dedup_lines
+from terraloom.llm import line_dedup
+from terraloom.llm._shared import written
+from terraloom.llm.line_dedup import MIN_WORDS, _cleaned, _keyed, _texts, dedup_lines, repeated_runs, suffix_array
 
 
 def brute(rows, min_words=MIN_WORDS):
@@ -29,6 +31,7 @@ def test_runs_against_brute_force(spark, documents):
     lines = ["a", "b c", "d", "e f g", "long line of more than five words", "", "  ", "é ü", "h i j k l"]
     rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.8 else f"own {rng.random()}" for _ in range(rng.randint(0, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n"), (103, "x " * 5000)]
+    rows = [(rng.getrandbits(60), t) for _, t in rows] + [(rng.getrandbits(60), rows[k][1]) for k in range(5)]  # scattered ids, and copies
     for words in (1, 4, MIN_WORDS, 9):
         got = {r.doc_id: (r.deleted, r.n_lines, r.kept) for r in _cleaned(documents(rows), words, "text", "doc_id").collect()}
         expected = brute(rows, words)
@@ -47,3 +50,34 @@ def test_defined_cases(spark, documents):
     got = sorted(((r.doc_id is not None, r.doc_id, r.text, r.n_chars) for r in out.collect()), key=repr)
     assert got == sorted([(False, None, run, len(run)), (True, 2, "short\nshort", 11), (True, 3, None, None), (True, 4, "", 0)], key=repr)
     assert dedup_lines(documents([])).count() == 0
+
+
+def test_suffix_array_and_maximal_runs(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(30)]
+    passage = "\n".join(f"line {k} of a passage" for k in range(37))
+    texts += [f"own {k}\n{passage}\nmore {k}" for k in range(3)]
+    docs = documents(list(enumerate(texts)))
+    for limit in (500_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+        keyed = _keyed(docs, "text", "doc_id")
+        places = written(_texts(keyed), "texts")
+        start = {r.start: r.row_key for r in places.collect()}
+        said = {r.row_key: r.text.split("\n") for r in keyed.collect()}
+        rows = sorted(suffix_array(keyed, places).collect(), key=lambda r: (r.r, r.pos))
+        every = [x for t in said.values() for x in t]
+        tails = []
+        for r in rows:
+            tail = said[start[r.start]][r.at :]
+            single = next((k for k, x in enumerate(tail) if every.count(x) == 1), len(tail))
+            tails.append(tail[:single])
+        common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        for i in range(len(rows)):
+            low = len(tails[i])
+            for j in range(i + 1, len(rows)):
+                low = min(low, common(tails[j - 1], tails[j]))
+                assert common(tails[i], tails[j]) == low
+            assert (i > 0 and rows[i - 1].r == rows[i].r) == (i > 0 and tails[i - 1] == tails[i])
+            assert rows[i].r == next(k for k in range(len(rows)) if tails[k] == tails[i])
+        runs = {(r.doc_id, r.line, r.lines, r.copies) for r in repeated_runs(docs).collect()}
+        assert (31, 1, 37, 3) in runs and (32, 1, 37, 3) in runs and not any(r[0] == 30 for r in runs)
