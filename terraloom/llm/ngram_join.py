@@ -21,7 +21,7 @@ all pairs while one component holds it, and no link between components is lost.
 bound that every link passes: sizes, and parities of the shingles by bit of a hash, of which each shingle that the sets do
 not share flips one.
 
-Set and word hashes have 64 bits; equality is taken at that width.
+Rows and sets are named by 128 bits, and each set by a number from then on; pairs are verified by the shingles of both texts.
 
 Defined cases: null, empty or blank texts have no shingles and link to nothing (component_id is their own id); texts with
 fewer than n words have their whole sequence as one shingle; repeated rows and copies share a component; rows that repeat
@@ -50,8 +50,8 @@ SMALL = 32
 FREQUENT = 1024
 #: Above HIGH of frequent shingles only large segments, below HIGH * t only small ones, between them both.
 HIGH = 0.7
-#: The largest id list that is broadcast, by rows; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: The largest id list that is broadcast, by rows, about 50 MB; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Longs of a set's parity sketch.
 SKETCH = 16
 _BITS = [f"p{k}" for k in range(SKETCH)]
@@ -89,7 +89,12 @@ def _sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.select(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text").alias("row_key"), "doc_id", "text")
+    return rows.select(_row_key("doc_id", "text").alias("row_key"), "doc_id", "text")
+
+
+def _row_key(doc_id: str, text: str) -> Column:
+    """A 128-bit name of a row: the same for equal id and text only."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def _parities(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -117,8 +122,8 @@ def _sketches(nodes: DataFrame, suffix: str) -> DataFrame:
 
 
 def _sized(keyed: DataFrame, n: int) -> DataFrame:
-    """(row_key, doc_id, n_shingles, node, sketch): node names the set; without shingles it is the row_key."""
-    names = ["row_key", "doc_id", "n_shingles", "node", *_BITS]
+    """(row_key, doc_id, n_shingles, name, name_2, sketch): two hashes name the set; without shingles they are the row's own."""
+    names = ["row_key", "doc_id", "n_shingles", "name", "name_2", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +131,13 @@ def _sized(keyed: DataFrame, n: int) -> DataFrame:
                 h, row = shingles(s, n)
                 size = np.bincount(row, minlength=s.rows)
                 part = batch.slice(s.first, s.rows)
-                node = mix(_sums(row, mix(h), s.rows) + size.astype(np.uint64)).view(np.int64)
-                node = np.where(size > 0, node, part.column(0).to_numpy())
+                name = [mix(_sums(row, mix(h + np.uint64(salt)), s.rows) + size.astype(np.uint64)).view(np.int64) for salt in (0, 29)]
+                for i in np.flatnonzero(size == 0):
+                    name[0][i] = int(part.column(0)[int(i)].as_py()[:15], 16)
                 bits = _parities(h, row, s.rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), pa.array(node), *(pa.array(bits[:, k].copy()) for k in range(SKETCH))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), *map(pa.array, name), *(pa.array(bits[:, k].copy()) for k in range(SKETCH))], names)
 
-    return keyed.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return keyed.mapInArrow(run, ", ".join(f"{c} {'string' if c == 'row_key' else 'long'}" for c in names))
 
 
 def frequent_shingles(keyed: DataFrame, n: int, total: int) -> np.ndarray:
@@ -215,15 +221,14 @@ def _neighbourhoods(row, h, band, use):
     return np.concatenate(out), np.concatenate(at)
 
 
-def signatures(s: Slice, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures and their rows, and the node of each row."""
+def signatures(s: Slice, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and their rows."""
     h, row = shingles(s, n)
     size = np.bincount(row, minlength=s.rows)
     at = np.searchsorted(frequent, h)
     common = at < len(frequent)
     common[common] = frequent[at[common]] == h[common]
     share = np.bincount(row, common, minlength=s.rows) / np.maximum(size, 1)
-    node = mix(_sums(row, mix(h), s.rows) + size.astype(np.uint64)).view(np.int64)
     band = np.where(size < SMALL, 0, np.frexp(np.maximum(size, 1))[1]).astype(np.int64)
     least = np.where(band == 0, 0, np.int64(1) << np.maximum(band - 1, 0))
     own = (size + size * DEN // NUM) // 7
@@ -238,17 +243,18 @@ def signatures(s: Slice, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.n
         _neighbourhoods(row, h, band, linkable & far),
         _neighbourhoods(row, h, lower, crosses & far),
     ]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), node
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _indexed(reps: DataFrame, n: int, frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column(2), lower=True):
-                sig, row, node = signatures(s, n, frequent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[row])], ["sig", "node"])
+            node = batch.column(1).to_numpy()
+            for s in slices(batch.column(0), lower=True):
+                sig, row = signatures(s, n, frequent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[s.first + row])], ["sig", "node"])
 
-    return reps.mapInArrow(run, "sig long, node long")
+    return reps.select("text", "node").mapInArrow(run, "sig long, node long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,19 +335,18 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", do
     spark = docs.sparkSession
     keyed = _keyed(docs, text, doc_id)
     sized = written(_sized(keyed, n), "sized")
-    nodes = sized.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", *_BITS)])
-    nodes = written(nodes, "nodes")
+    nodes = sized.where("n_shingles > 0").groupBy("name", "name_2").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", *_BITS)])
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     total = sized.count()
     frequent = spark.sparkContext.broadcast(frequent_shingles(keyed, n, total))
-    chosen = nodes.select("row_key")
+    chosen = nodes.select("row_key", "node")
     if nodes.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    index = _indexed(keyed.join(chosen, "row_key", "left_semi"), n, frequent)
+    index = _indexed(keyed.join(chosen, "row_key"), n, frequent)
     stars = written(index.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, rep long, node long"), "stars")
     links = _verified(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), keyed, nodes, n)
     roots = written(components(links), "roots")
 
-
     wide = stars.where("sig IS NOT NULL")
     members = written(wide.select("sig", "node").unionByName(wide.select("sig", F.col("rep").alias("node")).distinct()), "members")
     # Signatures that still join different components get another star, around a node of the component that has most of
@@ -369,8 +374,8 @@ def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", do
     named = roots.join(nodes.select("node", "low"), "node")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = named.join(lowest, "root").select("node", "root", "component_id")
-    final = nodes.join(by_node, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
-    done = sized.join(final, "node", "left")
+    final = nodes.join(by_node, "node", "left").select("name", "name_2", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
+    done = sized.join(final, ["name", "name_2"], "left")
     return done.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root")
 
 
@@ -382,8 +387,7 @@ def keep_one(docs: DataFrame, n: int = N_WORDS, text: str = "text", doc_id: str
     twice = written(found.where("n_shingles > 0").groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.col(doc_id).cast("long").isNull(), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    wide = docs.select(key.alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(chosen, "row_key", "left_semi")
+    wide = docs.select(_row_key(doc_id, text).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(chosen, "row_key", "left_semi")
     if not twice.isEmpty():  # equal rows with shingles are copies of each other too
         wide = wide.join(twice, "row_key", "left_anti").unionByName(wide.join(twice, "row_key", "left_semi").dropDuplicates(["row_key"]))
     return wide.select("row.*")
