@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows are worked on in slices of about this many bytes of text; a longer text is a slice by itself.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -32,7 +32,9 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         step = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         step[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(step)
+        have = np.multiply.accumulate(step)
+        if len(have) <= SLICE_BYTES + 1:  # those of a longer text are not held
+            _powers[kind] = have
     return have[:n]
 
 

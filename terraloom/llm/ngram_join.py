@@ -143,17 +143,26 @@ def _sized(keyed: DataFrame, n: int) -> DataFrame:
 def frequent_shingles(keyed: DataFrame, n: int, total: int) -> np.ndarray:
     """Sorted hashes of the shingles in more than 1 of FREQUENT documents.
 
-    Lossy counting: a batch drops what fewer than 1 of 2 FREQUENT of its own documents have, so counts miss at most that
-    share.  At most FREQUENT x (mean shingles of a document) come out, whatever the corpus.
+    Lossy counting: a batch of 2 FREQUENT documents or more drops what fewer than 1 of 2 FREQUENT of them, or just one, have, so
+    counts miss at most that share.  At most FREQUENT x (mean shingles of a document) come out, whatever the corpus.
     """
 
+    def counts(found: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        h, count = np.unique(np.concatenate(found), return_counts=True)
+        often = count >= max(2, rows / (2 * FREQUENT))
+        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = [], 0
         for batch in batches:
-            found = [shingles(s, n)[0] for s in slices(batch.column(2), lower=True)]
-            if found:
-                h, count = np.unique(np.concatenate(found), return_counts=True)
-                often = count >= max(2, batch.num_rows / (2 * FREQUENT))
-                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["shingle", "n"])
+            for s in slices(batch.column(2), lower=True):
+                found.append(shingles(s, n)[0])
+                rows += s.rows
+                if rows >= 2 * FREQUENT:
+                    yield counts(found, rows)
+                    found, rows = [], 0
+        if found:
+            yield counts(found, rows)
 
     counted = keyed.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     few = counted.where(F.col("n") > max(2, total / (2 * FREQUENT))).select("shingle")
