@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import coverages, distance, evidence, flows, relational
+from .plans import coverages, distance, evidence, flows, relational, rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (distance, relational, flows, evidence, coverages):
+for _module in (distance, relational, flows, evidence, coverages, rules):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -17,44 +17,106 @@ def distance_bucket(km: Column) -> Column:
     return out.otherwise("100+")
 
 
-def significance_tier(capital: Column, first_order: Column, population: Column) -> Column:
-    """0 capital, 1 seat of a first-order region, then by population."""
-    p = F.coalesce(population, F.lit(0))
-    return F.when(capital, 0).when(first_order, 1).when(p >= 500_000, 2).when(p >= 100_000, 3).when(p >= 20_000, 4).otherwise(5)
+#: By kind of place, fixed values: weight, shift of the zoom from which a label shows, that zoom where the population is unknown.
+PLACES = {
+    "city": (500.0, -0.2, 6.0),
+    "town": (400.0, 0.0, 7.0),
+    "village": (300.0, 0.4, 8.0),
+    "hamlet": (200.0, 1.0, 9.25),
+    "suburb": (125.0, 1.5, 10.25),
+    "isolated_dwelling": (75.0, 2.0, 11.0),
+}
+#: Label spacing in pixels below each zoom, and beyond the last.
+SPACING = ((5, 90), (6, 80), (7, 70), (8, 60), (9, 50), (10, 42), (11, 35), (12, 30), (13, 25), (None, 20))
 
 
-def importance(tier: Column, place_weight: Column, population: Column, capital: Column) -> Column:
-    """(5 - tier) * 1000 + weight of the place + log10(population) * 140 + bonus of a capital."""
+def _by_place(place: Column, which: int) -> Column:
+    table = F.create_map(*[F.lit(x) for name, values in PLACES.items() for x in (name, values[which])])
+    return F.element_at(table, place)
+
+
+def significance_tier(place: Column, population: Column, capital: Column, first_order: Column) -> Column:
+    """0 to 5 by population, or by rank as a capital, or by kind of place."""
+    people = F.coalesce(population, F.lit(0))
+    ladder = F.when(capital | (people >= 1_000_000), 0).when(first_order | (people >= 250_000), 1).when(people >= 75_000, 2)
+    return ladder.when(place.isin("city", "town") | (people >= 20_000), 3).when(place.isin("village", "hamlet"), 4).otherwise(5)
+
+
+def importance(tier: Column, place: Column, population: Column, capital: Column, first_order: Column, regional: Column) -> Column:
+    """A thousand for each tier above 5, the place's weight, log10(population) * 140, and what the best rank as a capital adds."""
     size = F.when(population > 0, F.log10(population.cast("double")) * 140.0).otherwise(F.lit(0.0))
-    return (5 - tier) * 1000.0 + place_weight + size + F.when(capital, 500.0).otherwise(0.0)
+    rank = F.when(capital, 500.0).when(first_order, 25.0).when(regional, 20.0).otherwise(0.0)
+    return (5 - tier) * 1000.0 + _by_place(place, 0) + size + rank
+
+
+def min_zoom(place: Column, population: Column, capital: Column, first_order: Column, regional: Column, low: float = 3.5, high: float = 14.0) -> Column:
+    """Zoom from which a label shows, in [low, high]: 10.5 - log10(population) with the place's shift, or by place alone."""
+    zoom = F.when(population > 0, 10.5 - F.log10(population.cast("double")) + _by_place(place, 1)).otherwise(_by_place(place, 2))
+    zoom = F.when(capital, F.least(zoom, F.lit(3.75))).otherwise(zoom)
+    zoom = F.when(first_order, F.least(zoom - 0.05, F.lit(4.9))).otherwise(zoom)
+    zoom = F.when(regional, zoom - 0.05).otherwise(zoom)
+    return F.greatest(F.lit(low), F.least(F.lit(high), zoom))
+
+
+def marker_type(place: Column, population: Column, capital: Column, first_order: Column, regional: Column) -> Column:
+    """Kind of the marker of a settlement; null for a plain one."""
+    people = F.coalesce(population, F.lit(0))
+    large = (people >= 100_000) | ((place == "city") & ((people >= 50_000) | regional))
+    return F.when(capital, "country-capital").when(first_order, "admin-capital").when(large, "major-city")
 
 
-def min_zoom(tier: Column, capital: Column, first_order: Column) -> Column:
-    """Zoom from which a label shows: 3.5 to 14 in half steps; capitals by 3.75 and first-order seats by 4.9."""
-    base = F.round((F.lit(3.5) + tier * 1.8) * 2) / 2
-    base = F.when(capital, F.least(base, F.lit(3.75))).when(first_order, F.least(base, F.lit(4.9))).otherwise(base)
-    return F.greatest(F.lit(3.5), F.least(F.lit(14.0), base))
+def label_spacing(zoom: Column) -> Column:
+    """Least distance of labels in pixels at a zoom."""
+    out = None
+    for bound, pixels in SPACING[:-1]:
+        out = F.when(zoom < bound, pixels) if out is None else out.when(zoom < bound, pixels)
+    return out.otherwise(SPACING[-1][1])
 
 
-def outlier_severity(near: Column, middle: Column, far: Column) -> Column:
-    """From the counts of like points within 5, 15 and 50 km: 0 fine, 1 thin, 2 doubtful, 3 alone."""
-    return F.when(near >= 2, 0).when(middle >= 2, 1).when(far >= 1, 2).otherwise(3)
+def label_delay(tier: Column) -> Column:
+    """The most zoom levels by which crowding may delay a label."""
+    return F.when(tier <= 2, 0.0).when(tier == 3, 0.5).when(tier == 4, 1.25).otherwise(1.75)
+
+
+def outlier_severity(same_near: Column, other_near: Column, same_middle: Column, other_middle: Column, same_far: Column, other_far: Column) -> Column:
+    """How a code disagrees with others within three radii (5, 15 and 50 km): 3 isolated, 2 outnumbered, 1 mixed or thinly contradicted, 0 fine."""
+    near, middle, far = same_near + other_near, same_middle + other_middle, same_far + other_far
+    return (
+        F.when((same_middle == 0) & (other_middle >= 5), 3)
+        .when((near >= 5) & (same_near <= 0.20 * near), 2)
+        .when((middle >= 8) & (same_middle <= 0.25 * middle), 2)
+        .when((same_middle >= 2) & (other_middle >= 2), 1)
+        .when((far >= 5) & (same_far == 0) & (other_far >= 5), 1)
+        .otherwise(0)
+    )
+
+
+def seed_severity(same: Column, leader_differs: Column, leader: Column, dispersed: Column) -> Column:
+    """How unlikely a seed is, from its ten nearest: those of its own code, the leading code's count and whether it is another
+    code, and whether the seed's number also stands far away. 3 to exclude, 2 suspicious, 1 to review, 0 consistent."""
+    return (
+        F.when((same == 0) & leader_differs & ((leader >= 9) | (leader >= 8) & dispersed), 3)
+        .when(dispersed & (same <= 2), 2)
+        .when((same <= 1) & leader_differs & (leader >= 7), 2)
+        .when((same <= 3) & leader_differs & (leader >= 6), 1)
+        .otherwise(0)
+    )
 
 
 def dominance(first: Column, second: Column, total: Column) -> Column:
-    """How clear a vote is: unanimous, dominant (3 and twice the runner-up), majority (5 and 60 %), else ambiguous."""
+    """How clear a vote is: unanimous, dominant (of 3 votes, twice the runner-up), majority (of 5, 60 %), else ambiguous."""
     return (
         F.when(total <= 0, "none")
         .when(first == total, "unanimous")
-        .when((first >= 3) & (first >= 2 * second), "dominant")
+        .when((total >= 3) & (first >= 2 * second), "dominant")
         .when((total >= 5) & (first >= 0.6 * total), "majority")
         .otherwise("ambiguous")
     )
 
 
-def vote_status(winner: Column, runner_up: Column, samples: Column) -> Column:
-    """Confidence of a pixel vote (fixed values: 10 samples, shares 0.70 and 0.50)."""
-    return F.when(samples == 0, "NO_PIXELS").when(samples < 10, "UNCERTAIN").when((winner >= 0.70) & (winner - runner_up >= 0.2), "HIGH").when(winner >= 0.5, "REVIEW").otherwise("UNCLASSIFIED")
+def vote_status(winner: Column, samples: Column) -> Column:
+    """Confidence of a pixel vote by the winner's share: HIGH from 0.80 on with 20 pixels, REVIEW from 0.60 on."""
+    return F.when(samples == 0, "UNCLASSIFIED").when((winner >= 0.80) & (samples >= 20), "HIGH").when(winner >= 0.60, "REVIEW").otherwise("UNCERTAIN")
 
 
 def colour_between(share: Column, low: tuple[int, int, int] = (220, 38, 38), high: tuple[int, int, int] = (22, 163, 74)) -> Column:

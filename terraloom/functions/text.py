@@ -90,12 +90,30 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > 1, F.lit(False)).otherwise(F.levenshtein(a, b, 1) >= 0)
 
 
+def spaced_key(c: Column) -> Column:
+    """Like :func:`name_key`, words parted by one space."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"[^\p{L}\p{N}]+", " "))
+
+
 def same_name(a: Column, b: Column) -> Column:
-    """Equal keys, with or without the word city at the end."""
-    bare = lambda c: F.regexp_replace(name_key(c), "(?<=.)city$", "")
+    """Equal keys, with or without a last word city."""
+    bare = lambda c: F.regexp_replace(spaced_key(c), r"\s+city$", "")
     return bare(a) == bare(b)
 
 
+def accents(c: Column) -> Column:
+    """Characters that lose an accent when accents are stripped."""
+    pairs = F.arrays_zip(F.split(c, "").alias("own"), F.split(strip_accents(c), "").alias("bare"))
+    return F.size(F.filter(pairs, lambda x: x["own"] != x["bare"]))
+
+
+def preferred_spelling(spellings: Column) -> Column:
+    """Of an array of spellings the one with most accents, then the first in order; separators become spaces."""
+    tidy = F.transform(spellings, lambda s: F.trim(F.regexp_replace(s, r"[\s_\-]+", " ")))
+    best = F.array_sort(F.transform(tidy, lambda s: F.struct((-accents(s)).alias("n"), s.alias("s"))))
+    return F.element_at(best, 1)["s"]
+
+
 def is_latin(c: Column) -> Column:
     """Has letters, all of them Latin."""
     return c.rlike(r"\p{L}") & ~c.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
@@ -126,42 +144,37 @@ def fuzzy_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def range_codes(c: Column) -> Column:
-    """Codes of a label: ``30-34`` its numbers, ``27x`` ten of them, ``0x`` without ``00``, ``279`` itself; else none."""
+    """Two-digit codes of a label: ``30-34`` that range, ``27`` itself, ``27x`` and ``279`` their first two digits, ``0x`` ten without ``00``;
+    any other label is an error."""
     label = F.lower(F.trim(c))
-    low, high = F.regexp_extract(label, r"^(\d+)-(\d+)$", 1), F.regexp_extract(label, r"^(\d+)-(\d+)$", 2)
-    stem = F.regexp_extract(label, r"^(\d+)x$", 1)
-    wide = F.when(F.length(low) > 0, F.sequence(low.cast("int"), F.greatest(high.cast("int"), low.cast("int"))))
-    spread = F.transform(wide, lambda n: F.lpad(n.cast("string"), F.greatest(F.length(low), F.length(n.cast("string"))), F.lit("0")))
-    tens = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda n: F.concat(stem, n.cast("string"))), lambda s: s != "00")
+    low, high = (F.regexp_extract(label, r"^(\d{2})\s*-\s*(\d{2})$", k).cast("int") for k in (1, 2))
+    ten = F.regexp_extract(label, r"^(\d)x$", 1).cast("int") * 10
+    two = lambda first, last: F.transform(F.sequence(first, last), lambda n: F.lpad(n.cast("string"), 2, "0"))
     return (
-        F.when(label.rlike(r"^\d+-\d+$") & (low.cast("int") <= high.cast("int")), spread)
-        .when(label.rlike(r"^\d+x$"), tens)
-        .when(label.rlike(r"^\d+$"), F.array(label))
-        .otherwise(F.array().cast("array<string>"))
+        F.when(label.rlike(r"^\d{2}\s*-\s*\d{2}$") & (low <= high), two(F.coalesce(low, F.lit(0)), F.greatest(F.coalesce(high, F.lit(0)), F.coalesce(low, F.lit(0)))))
+        .when(label.rlike(r"^\d{2}[\dx]?$"), F.array(F.substring(label, 1, 2)))
+        .when(label.rlike(r"^\dx$"), F.filter(two(F.coalesce(ten, F.lit(0)), F.coalesce(ten, F.lit(0)) + 9), lambda s: s != "00"))
+        .otherwise(F.raise_error(F.concat(F.lit("no postal label: "), F.coalesce(c, F.lit("null")))).cast("array<string>"))
     )
 
 
 def split_phones(c: Column) -> Column:
-    """Numbers of a field that lists several, without extensions."""
-    parts = F.split(c, r"\s*[;,/|]\s*")
-    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"(?i)\s*(?:ext\.?|x)\s*\d+$", ""))), lambda p: p != "")
+    """Numbers of a field that lists several."""
+    return F.filter(F.transform(F.split(c, "[;/|]"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def national_number(c: Column, country: str) -> Column:
-    """Digits after the country code (+cc, 00cc or a trunk 0); null for another country's number."""
-    digits = F.regexp_replace(F.regexp_replace(c, r"^\s*\+", "00"), r"[^0-9]", "")
-    return (
-        F.when(digits.rlike(f"^00{country}0?[1-9]"), F.regexp_replace(digits, f"^00{country}0?", ""))
-        .when(digits.rlike("^00"), F.lit(None))
-        .when(digits.rlike("^0[1-9]"), F.substring(digits, 2, 100))
-        .when(digits.rlike("^[1-9]"), digits)
-    )
+    """Digits from the trunk 0 on, without an extension; 00cc and cc become 0, and a number without a 0 is null."""
+    digits = F.regexp_replace(F.regexp_replace(c, r"(?is)\b(?:ext|extension|x)\b.*$", ""), r"[^0-9]", "")
+    own = F.when(digits.startswith("00" + country), F.concat(F.lit("0"), F.substring(digits, 3 + len(country), 100)))
+    own = own.when(digits.startswith(country), F.concat(F.lit("0"), F.substring(digits, 1 + len(country), 100))).otherwise(digits)
+    return F.when(own.startswith("0"), own)
 
 
-def area_code(c: Column, country: str, length: int, total: int) -> Column:
-    """The first digits of a national number of the right length, with the trunk 0."""
-    n = national_number(c, country)
-    return F.when(F.length(n) == total, F.concat(F.lit("0"), F.substring(n, 1, length)))
+def area_code(c: Column, country: str, known: list[str]) -> Column:
+    """The code of the known ones (all of one length) that a national number starts with, else null."""
+    code = F.substring(national_number(c, country), 1, len(known[0]))
+    return F.when(code.isin(known), code)
 
 
 def prefix(c: Column, n: int) -> Column:
@@ -196,3 +209,21 @@ def stable_unit(c: Column, most: float = 0.18) -> Column:
 def array_id(codes: Column) -> Column:
     """One id for a set of codes, whatever their order."""
     return F.array_join(F.array_sort(F.array_distinct(codes)), "-")
+
+
+def candidate_code(*candidates: Column, missing: str = "-99", valid: list[str] | None = None) -> Column:
+    """The first candidate that is neither blank nor ``missing`` and, if given, among the valid ones."""
+    good = lambda c: (F.trim(c) != "") & (c != missing) & (c.isin(valid) if valid else F.lit(True))
+    return F.coalesce(*[F.when(good(c), c) for c in candidates])
+
+
+def resolved_language(native: Column, overrides: dict[str, str], equal: dict[str, str], known: list[str], country: Column) -> Column:
+    """The country's override, else the native language under its common name; one that is not known is an error."""
+    look = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key) if table else F.lit(None).cast("string")
+    language = F.coalesce(look(overrides, country), look(equal, native), native)
+    return F.when(language.isin(known), language).otherwise(F.raise_error(F.concat(F.lit("no language: "), F.coalesce(language, F.lit("null")))).cast("string"))
+
+
+def two_lines(first: Column, second: Column) -> Column:
+    """Label of two lines; one where the second is blank or equal."""
+    return F.when(F.coalesce(F.trim(second), F.lit("")).isin("") | (first == second), first).otherwise(F.concat_ws("\n", first, second))

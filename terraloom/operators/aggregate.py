@@ -129,4 +129,4 @@ def pixel_votes(pixels: DataFrame, unit: str, code: str) -> DataFrame:
     every = pixels.select(unit).distinct().join(ranked, unit, "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
     share = lambda c: F.when(F.col("samples") > 0, F.col(c) / F.col("samples")).otherwise(F.lit(0.0))
     out = every.select(unit, code, share("n").alias("winner"), share("next").alias("runner_up"), "samples")
-    return out.withColumn("status", C.vote_status(F.col("winner"), F.col("runner_up"), F.col("samples")))
+    return out.withColumn("status", C.vote_status(F.col("winner"), F.col("samples")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +25,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels for ``nodes`` (id, code or null) from labelled neighbours over ``edges`` (src, dst, shared), all open nodes at once per round.
 
     Score of a code: its shared border over the greatest, plus its neighbours over the greatest; neighbours that all agree
     decide at once. Ties go to the least code. Returns (id, code, round); round 0 had a label, null never got one.
     """
     now = cut(nodes.select("id", "code", F.when(F.col("code").isNotNull(), F.lit(0)).alias("round")))
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         votes = edges.join(now.where("code IS NULL").select(F.col("id").alias("src")), "src").join(now.where("code IS NOT NULL").select(F.col("id").alias("dst"), "code"), "dst")
         by_code = votes.groupBy("src", "code").agg(F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("src")
@@ -40,7 +42,29 @@ def propagate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> Dat
         if after.where(F.col("round") == k).isEmpty():
             return after
         now = after
-    return now
+
+
+def propagate_agreed(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | None = None, least: int = 3, share: float = 0.75, support: float = 0.20) -> DataFrame:
+    """Labels for ``nodes`` (id, code or null) where labelled neighbours over ``edges`` (src, dst) agree, all open nodes at once per round.
+
+    A code is taken where all labelled neighbours have it, or where ``least`` or more vote, ``share`` of them for it, and
+    ``evidence`` (id, code, share), if given, has at least ``support`` for it. Returns (id, code, round); null never got one.
+    """
+    now = cut(nodes.select("id", "code", F.when(F.col("code").isNotNull(), F.lit(0)).alias("round")))
+    for k in count(1):
+        votes = edges.select("src", "dst").distinct().join(now.where("code IS NULL").select(F.col("id").alias("src")), "src").join(now.where("code IS NOT NULL").select(F.col("id").alias("dst"), "code"), "dst")
+        by_code = votes.groupBy("src", "code").agg(F.count(F.lit(1)).alias("n"))
+        best = by_code.withColumn("total", F.sum("n").over(Window.partitionBy("src"))).withColumnRenamed("src", "id")
+        backed = F.lit(True)
+        if evidence is not None:
+            best = best.join(evidence.select("id", "code", F.col("share").alias("__share")), ["id", "code"], "left")
+            backed = F.coalesce(F.col("__share"), F.lit(0.0)) >= support
+        # With a share above one half at most one code passes.
+        new = best.where((F.col("n") == F.col("total")) | (F.col("total") >= least) & (F.col("n") >= share * F.col("total")) & backed).select("id", F.col("code").alias("new"))
+        after = cut(now.join(new, "id", "left").select("id", F.coalesce("code", "new").alias("code"), F.coalesce("round", F.when(F.col("new").isNotNull(), F.lit(k))).alias("round")))
+        if after.where(F.col("round") == k).isEmpty():
+            return after
+        now = after
 
 
 def multi_source_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,17 +81,16 @@ def multi_source_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
             return best.select("id", "b.dist", "b.prefix", "b.seed")
 
 
-def grow(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def grow(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, round): nodes reached from ``seeds`` (id) over ``edges`` (src, dst), breadth first."""
     found = cut(seeds.select("id", F.lit(0).alias("round")).distinct())
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         front = found.where(F.col("round") == k - 1).select(F.col("id").alias("src"))
         new = edges.join(front, "src").select(F.col("dst").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("round", F.lit(k))
         after = cut(found.unionByName(new))
         if after.where(F.col("round") == k).isEmpty():
             return found
         found = after
-    return found
 
 
 def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -148,3 +148,19 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, scope: list[str], left_id:
     for least, lead in gates:
         passes = passes | ((F.col("score") >= least) & (F.col("margin") >= lead))
     return scored.where(passes)
+
+
+def with_ancestors(df: DataFrame, levels: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """``df`` with the columns of its ancestors: each level (table, key of the child, key of the level) is a join on what is there by then."""
+    for parent, child_key, own_key in levels:
+        df = df.join(parent.withColumnRenamed(own_key, f"__{own_key}"), F.col(child_key) == F.col(f"__{own_key}"), "left").drop(f"__{own_key}")
+    return df
+
+
+def find_column(df: DataFrame, candidates: list[str]) -> str:
+    """The first of the candidates that ``df`` has, whatever its case."""
+    own = {c.lower(): c for c in df.columns}
+    for c in candidates:
+        if c.lower() in own:
+            return own[c.lower()]
+    raise ValueError(f"none of {candidates} among {df.columns}")

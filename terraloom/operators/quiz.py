@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def as_list(scalar: Column | None = None, array: Column | None = None) -> Column:
     """A string becomes a list of one, a list stays, anything else is empty."""
@@ -31,6 +33,17 @@ def feature_group(features: DataFrame, id: str, ids: list[str]) -> DataFrame:
     return features.where(F.col(id).isin(ids))
 
 
+def saved_group(features: DataFrame, id: str, saved: DataFrame) -> DataFrame:
+    """Like :func:`feature_group`, of a saved list of ids that is a table."""
+    return features.join(saved.select(id).distinct(), id, "left_semi")
+
+
+def typed_values(scalar: Column, array: Column, kind: str) -> Column:
+    """Values of a property of a declared type: ``string`` takes a string only, ``string-array`` a list only."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.when(scalar.isNotNull(), F.array(scalar)) if kind == "string" else array, none)
+
+
 def answers_of(features: DataFrame, answers: str) -> DataFrame:
     """The distinct answers of some features."""
     return features.select(F.explode(answers).alias("answer")).distinct()
@@ -51,3 +64,30 @@ def questions_in_order(features: DataFrame, questions: DataFrame, id: str, answe
     first = questions.groupBy("answer").agg(F.min_by("display", "ord").alias("display"))
     each = features.select(id, F.posexplode(answers).alias("pos", "answer")).join(first, "answer")
     return each.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "display"))), lambda s: s["display"]).alias("displays"))
+
+
+def two_line_labels(features: DataFrame, questions: DataFrame, id: str, answer: str, name: str) -> DataFrame:
+    """(id, label): the display of the feature's first question above the feature's own name."""
+    first = features.join(questions, answer).groupBy(id).agg(F.min_by("display", "ord").alias("display"), F.first(name).alias(name))
+    return first.select(id, T.two_lines(F.col("display"), F.col(name)).alias("label"))
+
+
+def visible(features: DataFrame, id: str, mode: Column, last: Column, capital: Column) -> DataFrame:
+    """Features that show: all in normal mode, in hard mode the one answered last; a capital layer asks for capitals as well."""
+    return features.where(F.when(mode == "hard", F.coalesce(F.col(id) == last, F.lit(False))).otherwise(F.lit(True)) & F.coalesce(capital, F.lit(True)))
+
+
+def judged_clicks(clicks: DataFrame, answers: DataFrame, order: list[str]) -> DataFrame:
+    """``clicks`` (session, feature, question, mode, ...) with ``verdict``: right if the question is among the feature's answers
+    (feature, answer), else wrong; ignored in normal mode where the feature was answered right before."""
+    given = clicks.join(answers.select("feature", F.col("answer").alias("question")).distinct().withColumn("hit", F.lit(True)), ["feature", "question"], "left")
+    hit = F.coalesce("hit", F.lit(False))
+    before = F.max(hit.cast("int")).over(Window.partitionBy("session", "feature").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    done = (F.col("mode") != "hard") & (F.coalesce(before, F.lit(0)) == 1)
+    return given.withColumn("verdict", F.when(done, "ignored").when(hit, "right").otherwise("wrong")).drop("hit")
+
+
+def sections(listing: DataFrame, section: str, item: str, order: str) -> DataFrame:
+    """(section, items): the items of each section in order; sections without an item go."""
+    found = listing.where(F.col(item).isNotNull()).groupBy(section).agg(F.array_sort(F.collect_list(F.struct(order, item))).alias("s"))
+    return found.select(section, F.transform("s", lambda x: x[item]).alias("items"))

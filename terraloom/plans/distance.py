@@ -41,8 +41,13 @@ def radius_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers around each customer, and how far out of line it is."""
-    counted = S.radius_counts(customers(spark, sf_dir).select("c_custkey", "lat", "lon"), "c_custkey", (60.0, 120.0, 240.0))
-    return counted.select("c_custkey", "within_60", "within_120", "within_240", C.outlier_severity(F.col("within_60"), F.col("within_120"), F.col("within_240")).cast("long").alias("severity"))
+    radii = (60.0, 120.0, 240.0)
+    points = customers(spark, sf_dir).select("c_custkey", "c_nationkey", "lat", "lon")
+    every, same = (S.radius_counts(points, "c_custkey", radii, code) for code in (None, "c_nationkey"))
+    same = same.select("c_custkey", *[F.col(f"within_{r:g}").alias(f"same_{r:g}") for r in radii])
+    both = every.join(same, "c_custkey")
+    counts = [c for r in radii for c in (F.col(f"same_{r:g}"), F.col(f"within_{r:g}") - F.col(f"same_{r:g}"))]
+    return both.select("c_custkey", *[f"{k}_{r:g}" for k in ("within", "same") for r in radii], C.outlier_severity(*counts).cast("long").alias("severity"))
 
 
 def cell_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def cell_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customers(spark, sf_dir).where("c_custkey >= 0").select("c_nationkey", "c_custkey", "lat", "lon")
+    return customers(spark, sf_dir).select("c_nationkey", "c_custkey", "lat", "lon")
 
 
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +69,7 @@ def core_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def longitude_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = customers(spark, sf_dir).where("lat > 20 AND lat < 40")
-    return A.longitude_extent(near, "c_nationkey").select("c_nationkey", *[F.round(c, 6).alias(c) for c in ("west", "east", "width")])
+    return A.longitude_extent(customers(spark, sf_dir), "c_nationkey").select("c_nationkey", *[F.round(c, 6).alias(c) for c in ("west", "east", "width")])
 
 
 def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +97,10 @@ ORACLES = {
     "radius_vote": f"""WITH {SQL_POINTS}, n AS (SELECT c_custkey, s_nationkey, {KM} AS km FROM c, s WHERE {KM} <= 1500),
     v AS (SELECT c_custkey, s_nationkey, sum(1 / pow(greatest(km, 1), 1.5)) AS score, min(km) AS nearest_km FROM n GROUP BY ALL)
     SELECT c_custkey, s_nationkey, round(score, 6) AS score, round(nearest_km, 6) AS nearest_km FROM v QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round(score, 9) DESC, round(nearest_km, 9), s_nationkey) = 1""",
-    "radius_counts": f"""WITH {SQL_POINTS}, p AS (SELECT a.c_custkey, {sql_km("a.lat", "a.lon", "b.lat", "b.lon")} AS km FROM c a LEFT JOIN c b ON a.c_custkey <> b.c_custkey AND abs(a.lat - b.lat) < 3),
-    n AS (SELECT c_custkey, count(*) FILTER (km <= 60) AS within_60, count(*) FILTER (km <= 120) AS within_120, count(*) FILTER (km <= 240) AS within_240 FROM p GROUP BY 1)
-    SELECT *, (CASE WHEN within_60 >= 2 THEN 0 WHEN within_120 >= 2 THEN 1 WHEN within_240 >= 1 THEN 2 ELSE 3 END)::BIGINT AS severity FROM n""",
+    "radius_counts": f"""WITH {SQL_POINTS}, p AS (SELECT a.c_custkey, a.c_nationkey = b.c_nationkey AS same, {sql_km("a.lat", "a.lon", "b.lat", "b.lon")} AS km FROM c a LEFT JOIN c b ON a.c_custkey <> b.c_custkey AND abs(a.lat - b.lat) < 3),
+    n AS (SELECT c_custkey, {", ".join(f"count(*) FILTER (km <= {r}) AS within_{r}, count(*) FILTER (km <= {r} AND same) AS same_{r}" for r in (60, 120, 240))} FROM p GROUP BY 1)
+    SELECT *, (CASE WHEN same_120 = 0 AND within_120 >= 5 THEN 3 WHEN within_60 >= 5 AND same_60 <= 0.2 * within_60 OR within_120 >= 8 AND same_120 <= 0.25 * within_120 THEN 2
+      WHEN same_120 >= 2 AND within_120 - same_120 >= 2 THEN 1 WHEN same_240 = 0 AND within_240 >= 5 THEN 1 ELSE 0 END)::BIGINT AS severity FROM n""",
     "cell_range_join": f"""WITH {SQL_POINTS}, p AS (SELECT c_custkey, s_suppkey, {KM} AS km FROM c, s WHERE abs(floor(lat) - floor(rlat)) <= 2 AND abs(floor(lon) - floor(rlon)) <= 2)
     SELECT c_custkey, s_suppkey, round(km, 6) AS km, CASE WHEN km < 1 THEN '<1' WHEN km < 2 THEN '1-2' WHEN km < 5 THEN '2-5' WHEN km < 10 THEN '5-10' WHEN km < 20 THEN '10-20' WHEN km < 50 THEN '20-50' WHEN km < 100 THEN '50-100' ELSE '100+' END AS bucket FROM p WHERE km <= 250""",
     "medoid": f"WITH {SQL_POINTS}, {_GROUPED} SELECT c_nationkey, c_custkey, round(total_km, 3) AS total_km FROM m",
@@ -105,7 +110,7 @@ ORACLES = {
     k AS (SELECT * FROM r WHERE r <= greatest(3, ceil(n * 0.9::DOUBLE))),
     q AS (SELECT a.c_nationkey, quantile_cont({sql_km("a.lat", "a.lon", "b.lat", "b.lon")}, 0.5) AS median_km FROM k a JOIN k b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY 1)
     SELECT k.c_nationkey, count(*) AS n_core, round(any_value(median_km), 4) AS median_km, CASE WHEN count(*) = 1 THEN 25.0 ELSE greatest(1.0, round(any_value(median_km))) END AS max_error_km FROM k LEFT JOIN q ON q.c_nationkey = k.c_nationkey GROUP BY 1""",
-    "longitude_extent": f"""WITH {SQL_POINTS}, p AS (SELECT DISTINCT c_nationkey, lon FROM c WHERE lat > 20 AND lat < 40),
+    "longitude_extent": f"""WITH {SQL_POINTS}, p AS (SELECT DISTINCT c_nationkey, lon FROM c),
     g AS (SELECT *, coalesce(lead(lon) OVER w, min(lon) OVER (PARTITION BY c_nationkey) + 360) AS after FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY lon)),
     b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY round(after - lon, 9) DESC, lon) = 1)
     SELECT c_nationkey, round(CASE WHEN after >= 180 THEN after - 360 ELSE after END, 6) AS west, round(lon, 6) AS east, round(360 - (after - lon), 6) AS width FROM b""",

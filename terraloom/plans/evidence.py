@@ -13,8 +13,8 @@ from .tables import SQL_LAT, SQL_LON, SQL_POINTS, customers, suppliers
 
 
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-link clusters of one nation's customers, 600 km apart."""
-    c = customers(spark, sf_dir).where("c_nationkey < 5")
+    """Single-link clusters of each nation's customers, 600 km apart."""
+    c = customers(spark, sf_dir)
     out = L.cluster_stats(c, L.single_link(c, "c_custkey", 600.0, "c_nationkey"), "c_custkey")
     return out.select("cluster", "members", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("radius_km", 4).alias("radius_km"))
 
@@ -61,7 +61,7 @@ def territory_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (cluster_stats, dense_core, leave_one_out, distance_evidence, rasterise, regions_by_place, label_placement, territory_cells)}
 _PAIRS = f"e AS (SELECT a.c_custkey AS x, b.c_custkey AS y, a.c_nationkey AS nx, b.c_nationkey AS ny, {_KM} AS km FROM c a JOIN c b ON a.c_custkey <> b.c_custkey AND abs(a.lat - b.lat) < 8)"
 ORACLES = {
-    "cluster_stats": f"""WITH RECURSIVE {SQL_POINTS}, {_PAIRS}, t(id, reach) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_nationkey < 5 UNION SELECT t.id, e.y FROM t JOIN e ON e.x = t.reach AND e.km <= 600 AND e.nx = e.ny),
+    "cluster_stats": f"""WITH RECURSIVE {SQL_POINTS}, {_PAIRS}, t(id, reach) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT t.id, e.y FROM t JOIN e ON e.x = t.reach AND e.km <= 600 AND e.nx = e.ny),
       k AS (SELECT id, min(reach) AS cluster FROM t GROUP BY 1), m AS (SELECT cluster, count(*) AS members, avg(lat) AS lat, avg(lon) AS lon FROM k JOIN c ON c_custkey = id GROUP BY 1)
       SELECT b.cluster, any_value(members) AS members, round(any_value(b.lat), 6) AS lat, round(any_value(b.lon), 6) AS lon, round(max({_KM}), 4) AS radius_km FROM m b JOIN k ON k.cluster = b.cluster JOIN c a ON a.c_custkey = k.id GROUP BY 1""",
     "dense_core": f"WITH {SQL_POINTS}, {_PAIRS} SELECT x AS c_custkey FROM e WHERE km <= 500 GROUP BY 1 HAVING count(*) + 1 >= 3",

@@ -36,11 +36,11 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partitioned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations laid out by a three-letter code, and one partition read back."""
-    path = _scratch(spark, "nations")
-    code = F.lower(F.concat(F.substring("n_name", 1, 1), F.lit("aa")))
-    sinks.write_partitioned_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") == 1, "abc").otherwise(F.lit("xyz")).alias("country_id"), code.alias("c")).drop("c"), path, "country_id")
-    return files.partition_of(spark, path, "country_id", "abc").select("n_nationkey", "n_name")
+    """Customers laid out by a code of their nation, and one partition read back."""
+    path = _scratch(spark, "customers")
+    code = F.concat(F.lit("n"), F.char(F.col("c_nationkey") + 97), F.lit("x"))
+    sinks.write_partitioned_json(table(spark, sf_dir, "customer").select("c_custkey", "c_name", code.alias("country_id")), path, "country_id")
+    return files.partition_of(spark, path, "country_id", "nhx").select("c_custkey", "c_name")
 
 
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ _BOXES = f"""
 ORACLES = {
     "geojson_round_trip": f"SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS segment, {SQL_LAT.format(k='c_custkey')} AS lat, {SQL_LON.format(k='c_custkey')} AS lon FROM customer",
     "csv_round_trip": "SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS code, s_name FROM supplier",
-    "partitioned_scan": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1",
+    "partitioned_scan": "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7",
     "stream_windows": """WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
       SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "overlap_argmax": f"WITH {_BOXES} SELECT id, rid, round(area, 6) AS area, round(area / 16 * 100, 6) AS percent FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY area DESC, rid) = 1",

@@ -28,8 +28,10 @@ def group_property(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a saved group: those that were ever returned."""
     rows = _parts(spark, sf_dir).withColumn("fid", Z.feature_id(F.lit(None), F.col("p_partkey")))
-    return Z.feature_group(rows, "fid", [str(k) for k in range(0, 150, 3)]).select("fid", "p_type")
+    saved = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("fid")).distinct()
+    return Z.saved_group(rows, "fid", saved).select("fid", "p_type")
 
 
 def group_options(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,37 +127,31 @@ def edit_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of labels made of part keys: a range, ten of a stem, a single one, and one that is none."""
+    """Codes of labels made of part keys: a range, ten of a digit, two digits, and two digits with a third or an x."""
     k = F.col("p_partkey")
-    label = F.when(k % 4 == 0, F.concat_ws("-", F.lpad(k.cast("string"), 5, "0"), F.lpad((k + 4).cast("string"), 5, "0"))).when(k % 4 == 1, F.concat((k % 30).cast("string"), F.lit("x"))).when(k % 4 == 2, k.cast("string")).otherwise(F.concat(F.lit("a"), k.cast("string")))
+    two = F.lpad((k % 90).cast("string"), 2, "0")
+    label = F.when(k % 5 == 0, F.concat_ws("-", two, F.lpad((k % 90 + k % 10).cast("string"), 2, "0"))).when(k % 5 == 1, F.concat((k % 10).cast("string"), F.lit("x"))).when(k % 5 == 2, two).when(k % 5 == 3, F.concat(two, F.lit("x"))).otherwise(F.concat(two, (k % 10).cast("string")))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.range_codes(label), ",").alias("codes"))
 
 
 def phone_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area codes of numbers made of customer keys, as +27, 0027, trunk 0 or another country's."""
+    """Area codes of numbers made of customer keys, as +27, 0027, 27, trunk 0, another country's, or without a 0."""
     k = F.col("c_custkey")
     body = F.lpad((k * 7919 % 1000000000).cast("string"), 9, "2")
-    said = F.when(k % 4 == 0, F.concat(F.lit("+27 "), body)).when(k % 4 == 1, F.concat(F.lit("0027"), body)).when(k % 4 == 2, F.concat(F.lit("(0"), F.substring(body, 1, 2), F.lit(") "), F.substring(body, 3, 7))).otherwise(F.concat(F.lit("+44"), body))
-    return table(spark, sf_dir, "customer").select("c_custkey", T.area_code(said, "27", 2, 9).alias("area"))
+    said = F.when(k % 6 == 0, F.concat(F.lit("+27 "), body)).when(k % 6 == 1, F.concat(F.lit("0027"), body)).when(k % 6 == 2, F.concat(F.lit("(0"), F.substring(body, 1, 2), F.lit(") "), F.substring(body, 3, 7), F.lit(" ext 5")))
+    said = said.when(k % 6 == 3, F.concat(F.lit("+44"), body)).when(k % 6 == 4, F.concat(F.lit("27"), body)).otherwise(body)
+    return table(spark, sf_dir, "customer").select("c_custkey", T.area_code(said, "27", [f"0{n}" for n in range(10, 60)]).alias("area"))
 
 
 def stable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(T.stable_unit(F.col("s_name")), 9).alias("unit"))
 
 
-def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    people = F.greatest((F.col("c_acctbal") * 100).cast("long"), F.lit(0))
-    tier = C.significance_tier(F.col("c_custkey") % 50 == 0, F.col("c_custkey") % 10 == 0, people)
-    zoom = C.min_zoom(tier, F.col("c_custkey") % 50 == 0, F.col("c_custkey") % 10 == 0)
-    return c.select("c_custkey", tier.cast("long").alias("tier"), F.round(C.importance(tier, F.lit(100.0), people, F.col("c_custkey") % 50 == 0), 4).alias("importance"), zoom.alias("zoom"), C.difficulty(F.col("c_custkey") % 900).alias("difficulty"))
-
-
 def lookup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by the segment of their customer, with the keys that found no customer as a segment of their own."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
-    joined, missing = J.lookup(o, table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select("c_custkey", "c_mktsegment"), ["c_custkey"])
-    found = joined.where("c_mktsegment IS NOT NULL").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    """Customers by the status of their first order, with those that never ordered as a status of their own."""
+    first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by("o_orderstatus", "o_orderkey").alias("status"))
+    joined, missing = J.lookup(table(spark, sf_dir, "customer").select("c_custkey"), first, ["c_custkey"])
+    found = joined.where("status IS NOT NULL").groupBy(F.col("status").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
     return found.unionByName(missing.agg(F.count(F.lit(1)).alias("n")).select(F.lit("(missing keys)").alias("segment"), "n"))
 
 
@@ -167,7 +163,7 @@ def exact_one_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     return J.coverage(a, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"]).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"))
 
 
@@ -198,7 +194,7 @@ def hierarchy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.profile(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), 3)
+    out = A.profile(table(spark, sf_dir, "customer"), 3)
     return out.select("column", "rows", "missing", "distinct")
 
 
@@ -218,14 +214,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         group_full, group_property, group_features, group_options, active_questions, answer_set_dissolve, prefix_rollup, mode_ties, mode_first_seen, dominance_ladder, percentiles,
-        rank_cap_force, population_rescue, label_disambiguation, suffix_ids, top_margin, even_sample, name_key, token_jaccard, edit_one, range_labels, phone_codes, stable_hash, importance,
+        rank_cap_force, population_rescue, label_disambiguation, suffix_ids, top_margin, even_sample, name_key, token_jaccard, edit_one, range_labels, phone_codes, stable_hash,
         lookup_report, exact_one_join, coverage_diff, code_hierarchy, entity_cascade, dup_detect, hierarchy_check, column_profile, two_level_counts, session_totals,
     )
 }
 ORACLES = {
     "group_full": "SELECT DISTINCT p_type AS answer FROM part",
     "group_property": "SELECT p_partkey, p_type FROM part WHERE p_brand IN ('Brand#11', 'Brand#23')",
-    "group_features": "SELECT p_partkey::VARCHAR AS fid, p_type FROM part WHERE p_partkey < 150 AND p_partkey % 3 = 0",
+    "group_features": "SELECT p_partkey::VARCHAR AS fid, p_type FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
     "group_options": "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1",
     "active_questions": "SELECT p_partkey, upper(p_type) AS displays FROM part WHERE p_brand IN ('Brand#11', 'Brand#23')",
     "answer_set_dissolve": "WITH s AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), '-') AS answer_id FROM lineitem GROUP BY 1) SELECT answer_id, count(*) AS members, min(l_orderkey) AS first_member FROM s GROUP BY 1",
@@ -234,7 +230,7 @@ ORACLES = {
     "mode_first_seen": "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",
     "dominance_ladder": """WITH v AS (SELECT user_id, event_type, count(*) AS first FROM events GROUP BY 1, 2),
       r AS (SELECT *, coalesce(lead(first) OVER w, 0) AS second, (sum(first) OVER (PARTITION BY user_id))::BIGINT AS total, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY user_id ORDER BY first DESC, event_type))
-      SELECT user_id, event_type, first, second, total, CASE WHEN first = total THEN 'unanimous' WHEN first >= 3 AND first >= 2 * second THEN 'dominant' WHEN total >= 5 AND first >= 0.6 * total THEN 'majority' ELSE 'ambiguous' END AS verdict FROM r WHERE n = 1""",
+      SELECT user_id, event_type, first, second, total, CASE WHEN first = total THEN 'unanimous' WHEN total >= 3 AND first >= 2 * second THEN 'dominant' WHEN total >= 5 AND first >= 0.6 * total THEN 'majority' ELSE 'ambiguous' END AS verdict FROM r WHERE n = 1""",
     "percentiles": "SELECT c_nationkey, round(quantile_cont(c_acctbal, 0.1), 6) AS p10, round(quantile_cont(c_acctbal, 0.5), 6) AS p50, round(quantile_cont(c_acctbal, 0.9), 6) AS p90 FROM customer GROUP BY 1",
     "rank_cap_force": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer), f AS (SELECT *, min(CASE WHEN c_mktsegment = 'BUILDING' THEN rank END) OVER (PARTITION BY c_nationkey) AS f FROM r)
       SELECT c_nationkey, c_custkey, least(rank, 10) AS rank FROM f WHERE CASE WHEN f > 10 THEN rank < 10 OR rank = f ELSE rank <= 10 END""",
@@ -249,24 +245,29 @@ ORACLES = {
     "token_jaccard": r"""WITH t AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM part)
       SELECT a.p_partkey, b.p_partkey AS p_partkey_2, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE, 6) AS jaccard FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
     "edit_one": "SELECT a.c_custkey, b.c_custkey AS c_custkey_2 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE levenshtein(a.c_custkey::VARCHAR, b.c_custkey::VARCHAR) <= 1",
-    "range_labels": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN array_to_string(list_transform(range(p_partkey, p_partkey + 5), lambda x: lpad(x::VARCHAR, 5, '0')), ',')
-      WHEN 1 THEN array_to_string(list_filter(list_transform(range(10), lambda d: (p_partkey % 30)::VARCHAR || d::VARCHAR), lambda s: s <> '00'), ',') WHEN 2 THEN p_partkey::VARCHAR ELSE '' END AS codes FROM part""",
-    "phone_codes": "WITH b AS (SELECT *, lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '2') AS n FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 OR n LIKE '0%' THEN NULL ELSE '0' || n[1:2] END AS area FROM b",
+    "range_labels": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN array_to_string(list_transform(range(p_partkey % 90, p_partkey % 90 + p_partkey % 10 + 1), lambda x: lpad(x::VARCHAR, 2, '0')), ',')
+      WHEN 1 THEN array_to_string(list_filter(list_transform(range(10), lambda d: (p_partkey % 10)::VARCHAR || d::VARCHAR), lambda s: s <> '00'), ',') ELSE lpad((p_partkey % 90)::VARCHAR, 2, '0') END AS codes FROM part""",
+    "phone_codes": """WITH b AS (SELECT *, lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '2') AS n FROM customer),
+      d AS (SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 1, 2, 4) THEN '0' || n WHEN c_custkey % 6 = 3 THEN NULL WHEN n LIKE '27%' THEN '0' || n[3:] WHEN n LIKE '0%' THEN n END AS said FROM b)
+      SELECT c_custkey, CASE WHEN said[1:3] BETWEEN '010' AND '059' THEN said[1:3] END AS area FROM d""",
     "stable_hash": "SELECT s_suppkey, round(list_reduce([0::HUGEINT] || list_transform(string_split(s_name, ''), lambda c: ord(c)::HUGEINT), lambda h, c: (h * 31 + c) % 4294967296)::DOUBLE / 4294967296 * 0.18, 9) AS unit FROM supplier",
-    "importance": """WITH p AS (SELECT c_custkey, greatest(trunc(c_acctbal * 100)::BIGINT, 0) AS people, c_custkey % 50 = 0 AS cap, c_custkey % 10 = 0 AS seat FROM customer),
-      t AS (SELECT *, CASE WHEN cap THEN 0 WHEN seat THEN 1 WHEN people >= 500000 THEN 2 WHEN people >= 100000 THEN 3 WHEN people >= 20000 THEN 4 ELSE 5 END AS tier FROM p), z AS (SELECT *, round((3.5 + tier * 1.8::DOUBLE) * 2) / 2 AS base FROM t)
-      SELECT c_custkey, tier::BIGINT AS tier, round((5 - tier) * 1000.0 + 100.0 + CASE WHEN people > 0 THEN log10(people) * 140 ELSE 0 END + CASE WHEN cap THEN 500 ELSE 0 END, 4) AS importance,
-        greatest(3.5, least(14.0, CASE WHEN cap THEN least(base, 3.75) WHEN seat THEN least(base, 4.9) ELSE base END))::DOUBLE AS zoom, CASE WHEN c_custkey % 900 <= 25 THEN 'easy' WHEN c_custkey % 900 <= 100 THEN 'medium' WHEN c_custkey % 900 <= 500 THEN 'hard' ELSE 'extreme' END AS difficulty FROM z""",
-    "lookup_report": """WITH d AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 11 <> 0) SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN d ON o_custkey = c_custkey GROUP BY 1
-      UNION ALL SELECT '(missing keys)', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM d)""",
+    "lookup_report": """WITH f AS (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1) SELECT status AS segment, count(*) AS n FROM customer JOIN f ON o_custkey = c_custkey GROUP BY 1
+      UNION ALL SELECT '(missing keys)', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM f)""",
     "exact_one_join": """WITH p AS (SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100))
       SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY c_custkey) = 1 AND count(*) OVER (PARTITION BY s_suppkey) = 1""",
-    "coverage_diff": """WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
+    "coverage_diff": """WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
       SELECT CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side, count(*) AS n, sum(coalesce(a.k, b.k))::BIGINT AS keys FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""",
     "code_hierarchy": "SELECT c_custkey, lpad(c_custkey::VARCHAR, 6, '0')[1:4] AS parent_code, count(*) OVER (PARTITION BY lpad(c_custkey::VARCHAR, 6, '0')[1:4]) AS size FROM customer",
     "dup_detect": "SELECT md5(coalesce(text, '')) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "hierarchy_check": "SELECT 'customer' AS level, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)",
-    "column_profile": " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER ({c} IS NULL OR trim({c}::VARCHAR) = '') AS missing, count(DISTINCT {c}) AS distinct FROM customer""" for c in ("c_custkey", "c_nationkey", "c_mktsegment")),
+    "column_profile": " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER ({c} IS NULL OR trim({c}::VARCHAR) = '') AS missing, count(DISTINCT {c}) AS distinct FROM customer""" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
     "two_level_counts": "WITH v AS (SELECT c_nationkey, c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, string_agg(k || '=' || n, ',' ORDER BY k) AS counts FROM v GROUP BY 1",
     "session_totals": "SELECT event_id, user_id, count(*) OVER w AS answered, (sum((event_type = 'error')::INT) OVER w)::BIGINT AS errors, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+    "entity_cascade": r"""WITH l AS (SELECT p_partkey AS left_id, p_brand, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE regexp_replace(p_name, '[aeiou]', '', 'g') END AS said FROM part),
+      k AS (SELECT left_id, p_brand, said AS k1, regexp_replace(lower(strip_accents(said)), '[^\p{L}\p{N}]+', '', 'g') AS k2 FROM l), a AS (SELECT *, regexp_replace(k2, '[aeiou]', '', 'g') AS k3 FROM k),
+      r AS (SELECT p_partkey AS right_id, p_brand, p_name AS k1, regexp_replace(lower(strip_accents(p_name)), '[^\p{L}\p{N}]+', '', 'g') AS k2 FROM part), b AS (SELECT *, regexp_replace(k2, '[aeiou]', '', 'g') AS k3 FROM r),
+      s1 AS (SELECT left_id, min(right_id) AS right_id FROM a JOIN b USING (p_brand, k1) WHERE a.k1 <> '' GROUP BY 1 HAVING count(*) = 1), s2 AS (SELECT left_id, min(right_id) AS right_id FROM a JOIN b USING (p_brand, k2) WHERE a.k2 <> '' GROUP BY 1 HAVING count(*) = 1),
+      s3 AS (SELECT left_id, min(right_id) AS right_id FROM a JOIN b USING (p_brand, k3) WHERE a.k3 <> '' GROUP BY 1 HAVING count(*) = 1)
+      SELECT left_id, coalesce(s1.right_id, s2.right_id, s3.right_id) AS right_id, CASE WHEN s1.right_id IS NOT NULL THEN 'exact' WHEN s2.right_id IS NOT NULL THEN 'key' WHEN s3.right_id IS NOT NULL THEN 'skeleton' END AS stage
+      FROM l LEFT JOIN s1 USING (left_id) LEFT JOIN s2 USING (left_id) LEFT JOIN s3 USING (left_id)""",
 }

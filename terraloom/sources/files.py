@@ -53,12 +53,24 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def sql_dump(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """Values of single-row INSERT lines of one table, as strings with doubled quotes undone."""
-    value = r"('(?:[^']|'')*'|[^,()']+)"
-    pattern = rf"(?i)^\s*insert\s+into\s+[`\"]?{table}[`\"]?[^(]*(?:\([^)]*\)\s*)?values\s*\(\s*" + r"\s*,\s*".join([value] * len(columns)) + r"\s*\)"
-    lines = spark.read.text(path).where(F.col("value").rlike(pattern))
-    clean = lambda k: F.replace(F.regexp_replace(F.trim(F.regexp_extract("value", pattern, k)), r"^'|'$", ""), F.lit("''"), F.lit("'"))
-    return lines.select(*[clean(k + 1).alias(c) for k, c in enumerate(columns)])
+    """Values of the INSERT lines of one table, one row or several to a line, as strings with doubled quotes undone; NULL is null."""
+    value = r"\s*('(?:[^']|'')*'|[^,()']+)\s*"
+    row = r"\(" + ",".join([value] * len(columns)) + r"\)"
+    insert = rf"(?i)^\s*insert\s+into\s+[`\"]?{table}[`\"]?\s*(?:\([^)]*\)\s*)?values\s*"
+    lines = spark.read.text(path).where(F.col("value").rlike(insert + r"\(")).select(F.regexp_replace("value", insert, "").alias("rows"))
+    each = lines.select(F.explode(F.regexp_extract_all("rows", F.lit(row), 0)).alias("value"))
+
+    def clean(k: int):
+        said = F.trim(F.regexp_extract("value", row, k))
+        return F.when(F.upper(said) != "NULL", F.replace(F.regexp_replace(said, r"^'|'$", ""), F.lit("''"), F.lit("'")))
+
+    return each.select(*[clean(k + 1).alias(c) for k, c in enumerate(columns)])
+
+
+def listing(spark: SparkSession, path: str, pattern: str = r"([^/]+?)(?:\.[A-Za-z0-9]+)?$") -> DataFrame:
+    """(path, name) of the files of a folder, without reading them; ``name`` is the first group of the pattern."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return found.select("path", F.regexp_extract("path", pattern, 1).alias("name"))
 
 
 def object_literals(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from terraloom.functions import classify as C
@@ -49,17 +50,20 @@ def test_affine_and_mercator_invert(spark):
 
 
 def test_name_keys(spark):
-    r = one(spark, T.name_key(lit("São-Tomé 2")), T.accented_key(lit("São-Tomé 2")), T.ascii_key(lit(" Łódź/Straße ")), T.upper_key(lit("Foo (bar) &amp; é")), T.same_name(lit("Quebec City"), lit("Québec")), T.is_latin(lit("Çâ")), T.is_latin(lit("Aб")), T.in_block(lit("བོད"), "Tibetan"))
-    assert list(r) == ["saotome2", "sãotomé2", "lodz strasse", "FOO E", True, True, False, True]
+    r = one(spark, T.name_key(lit("São-Tomé 2")), T.accented_key(lit("São-Tomé 2")), T.ascii_key(lit(" Łódź/Straße ")), T.upper_key(lit("Foo (bar) &amp; é")), T.same_name(lit("Quebec City"), lit("Québec")), ~T.same_name(lit("Velocity"), lit("Velo")), T.is_latin(lit("Çâ")), T.is_latin(lit("Aб")), T.in_block(lit("བོད"), "Tibetan"))
+    assert list(r) == ["saotome2", "sãotomé2", "lodz strasse", "FOO E", True, True, True, False, True]
 
 
 def test_codes_and_phones(spark):
-    labels = {"30-34": ["30", "31", "32", "33", "34"], "27x": [f"27{d}" for d in range(10)], "0x": [f"0{d}" for d in range(1, 10)], "279": ["279"], "9-3": [], "ab": [], "": []}
+    labels = {"30-34": ["30", "31", "32", "33", "34"], "27x": ["27"], "279": ["27"], "35": ["35"], "0x": [f"0{d}" for d in range(1, 10)], "3X ": [f"3{d}" for d in range(10)], "08 - 09": ["08", "09"]}
     got = one(spark, *[T.range_codes(lit(k)) for k in labels])
     assert [list(x) for x in got] == list(labels.values())
-    phones = {"+27 21 555 1234": "021", "0027215551234": "021", "(021) 555-1234": "021", "+44 20 7946 0000": None, "12": None}
-    assert list(one(spark, *[T.area_code(lit(k), "27", 2, 9) for k in phones])) == list(phones.values())
-    assert one(spark, T.split_phones(lit("021 1; 021 2 ext. 5/ ")))[0] == ["021 1", "021 2"]
+    for bad in ("34-30", "ab", "", "2791", "7"):
+        with pytest.raises(Exception, match="no postal label"):
+            one(spark, T.range_codes(lit(bad)))
+    phones = {"+27 21 555 1234": "021", "0027215551234": "021", "27215551234": "021", "(021) 555-1234": "021", "021 555 1234 ext 9": "021", "+44 20 7946 0000": None, "12": None, "215551234": None, "0991234567": None, "": None}
+    assert list(one(spark, *[T.area_code(lit(k), "27", ["021", "031"]) for k in phones])) == list(phones.values())
+    assert one(spark, T.split_phones(lit("021 1; 021 2|/ 3")))[0] == ["021 1", "021 2", "3"]
     assert list(one(spark, T.fixed_code(lit("11.0"), 2), T.fixed_code(lit(7), 5), T.significant_digits(lit("007")), T.significant_digits(lit("0")), T.calling_code(lit("27")), T.array_id(F.array(lit("b"), lit("a"), lit("b"))))) == ["11", "00007", "7", "0", "+27", "a-b"]
 
 
@@ -84,6 +88,22 @@ def test_stable_unit(spark):
 def test_ladders(spark):
     assert list(one(spark, *[C.difficulty(lit(n)) for n in (25, 26, 100, 101, 500, 501)])) == ["easy", "medium", "medium", "hard", "hard", "extreme"]
     assert list(one(spark, *[C.distance_bucket(lit(float(d))) for d in (0.5, 1, 4.9, 50, 1000)])) == ["<1", "1-2", "2-5", "50-100", "100+"]
-    assert list(one(spark, *[C.dominance(lit(a), lit(b), lit(n)) for a, b, n in ((3, 0, 3), (4, 2, 7), (3, 2, 5), (2, 2, 4), (0, 0, 0))])) == ["unanimous", "dominant", "majority", "ambiguous", "none"]
-    assert list(one(spark, C.vote_status(lit(0.0), lit(0.0), lit(0)), C.vote_status(lit(0.9), lit(0.1), lit(5)), C.vote_status(lit(0.8), lit(0.1), lit(20)))) == ["NO_PIXELS", "UNCERTAIN", "HIGH"]
+    votes = ((3, 0, 3), (4, 2, 7), (2, 1, 3), (1, 0, 2), (3, 2, 5), (2, 2, 4), (0, 0, 0))
+    assert list(one(spark, *[C.dominance(lit(a), lit(b), lit(n)) for a, b, n in votes])) == ["unanimous", "dominant", "dominant", "ambiguous", "majority", "ambiguous", "none"]
+    assert list(one(spark, *[C.vote_status(lit(w), lit(n)) for w, n in ((0.0, 0), (1.0, 19), (0.8, 20), (0.79, 99), (0.6, 5), (0.59, 99))])) == ["UNCLASSIFIED", "REVIEW", "HIGH", "REVIEW", "REVIEW", "UNCERTAIN"]
+    seen = ((0, 0, 0, 5, 0, 9, 3), (0, 0, 0, 4, 0, 5, 1), (1, 4, 1, 4, 1, 4, 2), (2, 4, 2, 6, 9, 9, 2), (2, 2, 2, 2, 2, 2, 1), (0, 0, 0, 0, 0, 4, 0), (5, 1, 9, 1, 9, 1, 0))
+    assert list(one(spark, *[C.outlier_severity(*map(lit, x[:6])) for x in seen])) == [x[6] for x in seen]
+    seeds = ((0, True, 8, True, 3), (0, True, 8, False, 2), (0, True, 9, False, 3), (2, False, 10, True, 2), (1, True, 7, False, 2), (3, True, 6, False, 1), (3, True, 5, True, 0), (4, True, 9, False, 0))
+    assert list(one(spark, *[C.seed_severity(*map(lit, x[:4])) for x in seeds])) == [x[4] for x in seeds]
+    assert list(one(spark, *[C.label_spacing(lit(z)) for z in (3.5, 5.0, 12.9, 13.0)], *[C.label_delay(lit(t)) for t in (2, 3, 4, 5)])) == [90, 80, 25, 20, 0.0, 0.5, 1.25, 1.75]
     assert one(spark, C.colour_between(lit(0.5)))[0] == "rgb(121, 101, 56)"
+
+
+def test_choices_of_names(spark):
+    names = F.array(lit("Bacau"), lit("Bacău"), lit("Bacau-"))
+    assert list(one(spark, T.preferred_spelling(names), T.accents(lit("éà b")), T.two_lines(lit("a"), lit("b")), T.two_lines(lit("a"), lit("a")), T.two_lines(lit("a"), lit(None)))) == ["Bacău", 2, "a\nb", "a", "a"]
+    assert list(one(spark, T.candidate_code(lit("-99"), lit(" "), lit("ABC"), lit("DEF")), T.candidate_code(lit("ABC"), lit("DEF"), valid=["DEF"]), T.candidate_code(lit("-99")))) == ["ABC", "DEF", None]
+    ask = lambda native, country: T.resolved_language(lit(native), {"xx": "fr"}, {"cmn": "zh"}, ["fr", "zh"], lit(country))
+    assert list(one(spark, ask("de", "xx"), ask("cmn", "yy"), ask("fr", "yy"))) == ["fr", "zh", "fr"]
+    with pytest.raises(Exception, match="no language: de"):
+        one(spark, ask("de", "yy"))

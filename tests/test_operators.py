@@ -86,7 +86,7 @@ def test_aggregates(spark):
     fine, odd = A.consistent_merge(spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (2, "y")], "k int, m string"), "k", ["m"])
     assert [r.k for r in fine.collect()] == [1] and [r.k for r in odd.collect()] == [2]
     pixels = spark.createDataFrame([(1, "a")] * 9 + [(1, "b")] + [(2, None)], "u int, c string")
-    assert {r.u: r.status for r in A.pixel_votes(pixels, "u", "c").collect()} == {1: "HIGH", 2: "NO_PIXELS"}
+    assert {r.u: r.status for r in A.pixel_votes(pixels, "u", "c").collect()} == {1: "REVIEW", 2: "UNCLASSIFIED"}
     lons = spark.createDataFrame([(1, 170.0), (1, -170.0), (1, 175.0)], "g int, lon double")
     r = A.longitude_extent(lons, "g").first()
     assert (r.west, r.east, r.width) == (170.0, -170.0, 20.0)
@@ -119,6 +119,17 @@ def test_graph_loops(spark):
     assert {r.id: r.round for r in R.grow(spark.createDataFrame([(3,)], "id long"), edges).collect()}[0] == 3
 
 
+def test_agreed_labels(spark):
+    nodes = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B"), (5, None), (6, None), (7, None), (8, None)], "id long, code string")
+    # 5: three of four agree; 6: neighbours differ one to one; 7: only through 5; 8: nobody.
+    pairs = [(5, 1), (5, 2), (5, 3), (5, 4), (6, 1), (6, 4), (7, 5)]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long")
+    got = {r.id: (r.code, r.round) for r in R.propagate_agreed(nodes, edges).collect()}
+    assert got[5] == ("A", 1) and got[6] == (None, None) and got[7] == ("A", 2) and got[8] == (None, None)
+    thin = spark.createDataFrame([(5, "A", 0.1)], "id long, code string, share double")
+    assert {r.id: r.code for r in R.propagate_agreed(nodes, edges, thin).collect()}[5] is None
+
+
 def test_groups(spark):
     f = spark.createDataFrame([("1", ["a"], ["x"]), ("2", ["a", "b"], ["y", "x"]), ("3", None, ["z"])], "id string, vals array<string>, answers array<string>")
     assert [r.id for r in Z.property_group(f, "vals", ["b"]).collect()] == ["2"] and Z.property_group(f, "nope", ["b"]).count() == 0
@@ -145,6 +156,9 @@ def test_files(spark, tmp_path):
     assert (r.name, r.lat, r.population) == ('The "X"', 1.5, 77)
     (tmp_path / "d.sql").write_text("INSERT INTO city VALUES (1, 'SP', 'D''Oeste');\nINSERT INTO other VALUES (1);\n")
     assert files.sql_dump(spark, str(tmp_path / "d.sql"), "city", ["id", "state", "name"]).first() == ("1", "SP", "D'Oeste")
+    (tmp_path / "m.sql").write_text("INSERT INTO `city` (id, n) VALUES (1, 'a (b), c'), (2, NULL),(3,'d''e');\n")
+    assert [tuple(r) for r in files.sql_dump(spark, str(tmp_path / "m.sql"), "city", ["id", "n"]).collect()] == [("1", "a (b), c"), ("2", None), ("3", "d'e")]
+    assert {"d", "m", "g"} <= {r.name for r in files.listing(spark, str(tmp_path)).collect()}
     (tmp_path / "l.js").write_text("var x = [{name: 'A &amp; B', code: 12}, {name: \"C\", code: '0341'}];")
     assert {tuple(r) for r in files.object_literals(spark, str(tmp_path / "l.js"), ["name", "code"]).collect()} == {("A & B", "12"), ("C", "0341")}
     (tmp_path / "i.ppm").write_bytes(b"P6\n2 1\n255\n" + struct.pack("6B", 1, 2, 3, 4, 5, 6))
