@@ -33,10 +33,9 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exactly_one(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
-    """Pairs by composite key where the left row has one candidate and the right row is wanted once."""
-    pairs = left.join(right, keys)
-    n_left, n_right = F.count(F.lit(1)).over(Window.partitionBy(left_id)), F.count(F.lit(1)).over(Window.partitionBy(right_id))
-    return pairs.withColumn("__l", n_left).withColumn("__r", n_right).where("__l = 1 AND __r = 1").drop("__l", "__r")
+    """(left_id, right_id) where a key has one row on either side; keys are counted before they are joined."""
+    single = lambda df, id: df.select(*keys, id).distinct().groupBy(*keys).agg(F.min(id).alias(id), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    return single(left, left_id).join(single(right, right_id), keys).select(left_id, right_id)
 
 
 def crosswalk(left: DataFrame, right: DataFrame, scope: list[str], left_name: str, right_name: str) -> DataFrame:
@@ -124,6 +123,14 @@ def _deletions(key: Column) -> Column:
     return F.array_distinct(F.concat(F.array(key), F.transform(places, lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, F.length(key))))))
 
 
+def one_edit_pairs(df: DataFrame, id: str, scope: list[str], key: str) -> DataFrame:
+    """(id, id_2), id below id_2, of rows of one scope whose keys are equal or one edit apart; they meet in a common one-deletion form."""
+    forms = df.select(id, *scope, key).withColumn("__d", F.explode(_deletions(F.col(key))))
+    other = forms.withColumnsRenamed({id: f"{id}_2", key: f"{key}_2"})
+    near = forms.join(other, [*scope, "__d"]).where((F.col(id) < F.col(f"{id}_2")) & T.within_one_edit(F.col(key), F.col(f"{key}_2")))
+    return near.select(id, f"{id}_2").distinct()
+
+
 def one_edit_matches(left: DataFrame, right: DataFrame, scope: list[str], left_id: str, right_id: str, left_key: Column, right_key: Column, runner_up: int = 3) -> DataFrame:
     """(left_id, right_id) where one right key of the scope is one edit away and every other is ``runner_up`` edits or more.
 

@@ -34,8 +34,8 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lo
     return a.join(b, ["__x", "__y", "__z"]).drop("__x", "__y", "__z").withColumn("km", dist).where(F.col("km") <= km)
 
 
-#: Levels of the grid for nearest neighbours; a cell of level n is 2 ** -n of the cube's side, at the last about 200 metres.
-LEVELS = 16
+#: Levels of the grid for nearest neighbours; a cell of level n is 2 ** -n of the cube's side, at the last about 12 metres.
+LEVELS = 20
 
 
 def _fine_cells(lat: str, lon: str) -> list[Column]:
@@ -53,22 +53,23 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
     """The k nearest of ``right`` (rlat, rlon) for every row of ``left`` (unique ids; lat, lon), ties by id: (left_id, right_id, km, rank).
 
     Cells of ``right`` are counted at every level. The finest cell around a left point that holds k points bounds the distance of
-    the k-th neighbour by its diagonal, less than the side of the next coarser cell, so the 27 cells of that level hold the answer.
-    The search is as fine as the data are dense, in one pass.
+    the k-th neighbour by its diagonal, less than the side of the next coarser cell, so the 27 cells of that level hold the answer;
+    what lies beyond the diagonal is dropped before the ranking.  The search is as fine as the data are dense, in one pass.
     """
     key = ["__l", "__x", "__y", "__z"]
     around = _levelled(right.select(right_id, "rlat", "rlon"), "rlat", "rlon")
     full = around.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).drop("__n")
     points = left.select(left_id, "lat", "lon")
     fits = _levelled(points, "lat", "lon").join(full, key, "left_semi").groupBy(left_id).agg(F.max("__l").alias("__l"))
-    placed = points.join(fits, left_id, "left").withColumn("__l", F.greatest(F.coalesce(F.col("__l"), F.lit(0)) - 1, F.lit(0)))
+    reach = 2.0 * G.EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(F.lit(3.0)) * F.pow(F.lit(2.0), -F.col("__l")))) * (1 + 1e-9) + 1e-6
+    placed = points.join(fits, left_id, "left").withColumn("__reach", F.coalesce(reach, F.lit(float("inf")))).withColumn("__l", F.greatest(F.coalesce(F.col("__l"), F.lit(0)) - 1, F.lit(0)))
     placed = placed.withColumns(dict(zip(("__fx", "__fy", "__fz"), _fine_cells("lat", "lon"), strict=True)))
     steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     for c in "xyz":
         own = F.expr(f"shiftright(__f{c}, {LEVELS} - __l)")
         placed = placed.withColumn(f"__{c}", F.explode(F.transform(steps, lambda d: own + d)))  # noqa: B023
     pairs = placed.drop("__fx", "__fy", "__fz").join(around, key)
-    ranked = pairs.withColumn("km", G.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")))
+    ranked = pairs.withColumn("km", G.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))).where("km <= __reach")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(left_id).orderBy("km", right_id))).where(F.col("rank") <= k)
     return ranked.select(left_id, right_id, "km", "rank")
 

@@ -2,42 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..operators import graph as R
 from ..operators import spatial as S
+from ..operators._shared import scratch
 from ..sources import files, sinks
 from ..streaming import sessions
 from .tables import SQL_LAT, SQL_LON, SQL_POINTS, boxes, customers, suppliers, table
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-terraloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def geojson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as point features and read again."""
-    c, path = customers(spark, sf_dir), _scratch(spark, "features")
+    c, path = customers(spark, sf_dir), scratch(spark, "features")
     feature = sinks.feature_json(F.col("c_custkey"), {"name": F.col("c_name"), "segment": F.col("c_mktsegment")}, F.lit("Point"), sinks.point_coordinates(F.col("lat"), F.col("lon")))
     sinks.write_geojson_lines(c, feature, path)
     return files.geojson_lines(spark, path, "name: string, segment: string").select("id", "name", "segment", *files.point_of(F.col("coordinates")))
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "table")
+    path = scratch(spark, "table")
     sinks.write_csv(table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), "s_name"), path)
     return files.csv_table(spark, path, "code string, s_name string")
 
 
 def partitioned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers laid out by a code of their nation, and one partition read back."""
-    path = _scratch(spark, "customers")
+    path = scratch(spark, "customers")
     code = F.concat(F.lit("n"), F.char(F.col("c_nationkey") + 97), F.lit("x"))
     sinks.write_partitioned_json(table(spark, sf_dir, "customer").select("c_custkey", "c_name", code.alias("country_id")), path, "country_id")
     return files.partition_of(spark, path, "country_id", "nhx").select("c_custkey", "c_name")
@@ -57,10 +50,10 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events counted by hour as a stream that ends; windows that the watermark has passed are final."""
     batch = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")
-    out = _scratch(spark, "windows")
+    out = scratch(spark, "windows")
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     counted = sessions.windowed_counts(timed).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
-    counted.writeStream.outputMode("append").option("checkpointLocation", _scratch(spark, "stream")).format("parquet").trigger(availableNow=True).start(out).awaitTermination()
+    counted.writeStream.outputMode("append").option("checkpointLocation", scratch(spark, "stream")).format("parquet").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(counted.schema).parquet(out)
 
 

@@ -122,8 +122,7 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring customers' padded keys that one edit parts."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey").withColumn("code", F.col("c_custkey").cast("string"))
-    pairs = J.pairs_below(c, "c_custkey", ["c_nationkey", "c_mktsegment"])
-    return pairs.where(T.within_one_edit(F.col("code"), F.col("code_2"))).select("c_custkey", "c_custkey_2")
+    return J.one_edit_pairs(c, "c_custkey", ["c_nationkey", "c_mktsegment"], "code")
 
 
 def range_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
