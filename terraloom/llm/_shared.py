@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,18 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs that are run inside hand at most ``rows`` rows at once to Python: pairs of whole texts need less memory so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def indexed(rows: DataFrame, by: list[str], name: str = "idx", weight: str | None = None) -> DataFrame:
     """``rows`` with ``name``: the number of rows (or sum of ``weight``) before each in the order of ``by``, over the whole table.
 

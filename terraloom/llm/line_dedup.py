@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ._shared import indexed, written
 from ._text import slices, span_hash
@@ -43,6 +44,7 @@ MIN_WORDS = 5
 #: The largest table that is broadcast, by rows and by lines in their lists: about 40 MB; a larger one is joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_LINES = 500_000, 1_000_000
 _BUCKET = 1 << 16
+_RUN = StructType().add("line", "integer").add("lines", "integer").add("copies", "long")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def _in_document():
@@ -233,8 +235,8 @@ def _cleaned(docs: DataFrame, min_words: int, text: str, doc_id: str) -> DataFra
             columns = [*batch.columns[:3], pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32())), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_lines", "kept", "deleted", "runs"])
 
-    kind = wide.schema["row"].dataType.simpleString()
-    done = wide.mapInArrow(run, f"doc_id long, row {kind}, n_lines long, kept string, deleted array<int>, runs array<struct<line: int, lines: int, copies: bigint>>")
+    schema = StructType([wide.schema[c] for c in ("doc_id", "row", "n_lines")]).add("kept", "string").add("deleted", ArrayType(IntegerType())).add("runs", ArrayType(_RUN))
+    done = wide.mapInArrow(run, schema)
     return done.withColumn("kept", F.coalesce("kept", F.col(f"row.`{text}`").cast("string"), F.lit("")))
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import small_batches, written
 from ._text import Slice, gram_hash, mix, slices, span_hash
 from .graph import components
 
@@ -339,6 +339,12 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = N_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """See :func:`_components`; its jobs work in small batches."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, n, text, doc_id)
+
+
+def _components(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, n_shingles, component_id, row_key, root) of every row; row_key is the same for equal rows only, and root for
     rows of one component only, whatever their ids (null without shingles)."""
     spark = docs.sparkSession

@@ -26,8 +26,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import written
 from ._text import Slice, mix, slices, span_hash
@@ -244,13 +245,14 @@ def _term_places(placed: DataFrame) -> DataFrame:
     return placed.select("place", "text").mapInArrow(run, "place string, term long")
 
 
-def _with_held(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], dict[int, np.ndarray]]]:
-    """``rows`` (place, text and others) ready for a map by batch, and what gives row number -> disclosing terms of a batch."""
+def _with_held(rows: DataFrame, pairs: DataFrame, text: Column, texts_of: Callable[[pa.RecordBatch], pa.Array]) -> tuple[DataFrame, Callable[[pa.RecordBatch], dict[int, np.ndarray]]]:
+    """``rows`` (place and others, with the texts as the column ``text``, in a batch by ``texts_of``) ready for a map by batch, and what
+    gives row number -> disclosing terms of a batch."""
     terms = written(pairs.select("term").distinct(), "terms")
     if terms.count() <= BROADCAST_TERMS:
         known = rows.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy().view(np.uint64)))
-        return rows.drop("place"), lambda batch: _Known(known.value).held(batch.column("text"))
-    by_text = _term_places(rows).join(terms, "term").groupBy("place").agg(F.collect_set("term").alias("terms"))
+        return rows.drop("place"), lambda batch: _Known(known.value).held(texts_of(batch))
+    by_text = _term_places(rows.select("place", text.alias("text"))).join(terms, "term").groupBy("place").agg(F.collect_set("term").alias("terms"))
     return rows.join(by_text, "place", "left"), lambda batch: {i: np.array(t, np.int64) for i, t in enumerate(batch.column("terms").to_pylist()) if t}
 
 
@@ -270,7 +272,7 @@ def _with_terms(text: str, spans: list[Span], terms: np.ndarray | None) -> list[
 def find(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: counts by kind, and ``base`` and ``all_spans`` as lists of ``kind:start:end`` (code points, end exclusive)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _place(text).alias("place"), F.col(text).cast("string").alias("text"))
-    rows, held = _with_held(rows, disclosing_terms(docs, max_open_bits, text))
+    rows, held = _with_held(rows, disclosing_terms(docs, max_open_bits, text), F.col("text"), lambda batch: batch.column("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = lambda spans: [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
@@ -303,13 +305,13 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def sanitise(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str = "text") -> DataFrame:
     """``docs`` with every span of every text generalised to its kind; ``n_chars``, where there is one, follows the new text."""
-    wide = docs.select(_place(text).alias("place"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = wide.schema["row"].dataType.simpleString()
-    wide, held = _with_held(wide, disclosing_terms(docs, max_open_bits, text))
+    wide = docs.select(_place(text).alias("place"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema, place = StructType([wide.schema["row"]]).add("changed", "string"), docs.columns.index(text)
+    wide, held = _with_held(wide, disclosing_terms(docs, max_open_bits, text), F.col(f"row.`{text}`").cast("string"), lambda batch: batch.column("row").field(place).cast(pa.large_string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, terms = batch.column("text"), held(batch)
+            texts, terms = batch.column("row").field(place).cast(pa.large_string()), held(batch)
             found, new = _spans_of(texts), {}
             for i in found.keys() | terms.keys():
                 said, spans = found.get(i) or (texts[i].as_py(), [])
@@ -318,7 +320,7 @@ def sanitise(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str =
             changed = pa.array([new.get(i) for i in range(batch.num_rows)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("row"), changed], ["row", "changed"])
 
-    done = wide.mapInArrow(run, f"row {kind}, changed string")
+    done = wide.mapInArrow(run, schema)
     fresh = F.coalesce(F.col("changed"), F.col(f"row.`{text}`"))
     cols = [fresh.alias(c) if c == text else F.when(F.col("changed").isNull(), F.col("row.n_chars")).otherwise(F.length("changed")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return done.select(*cols)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._text import SPACE, Slice, gram_hash, mix, repeated, slices, span_hash
 
@@ -128,13 +129,14 @@ def measure(docs: DataFrame, limits: Mapping[int, float] = GRAM_LIMITS, text: st
 def keep(docs: DataFrame, limits: Mapping[int, float] = GRAM_LIMITS, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns; decided row by row, so repeated ids are no matter."""
     names = docs.columns
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).cast("string").alias("text"))
-    schema = wide.select("row").schema.add("kept", "boolean")
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    schema, place = StructType([wide.schema["row"]]).add("kept", "boolean"), names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, m in _judged(batch.column(1), limits):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(m["kept"])], ["row", "kept"])
+            rows = batch.column(0)
+            for s, m in _judged(rows.field(place).cast(pa.large_string()), limits):
+                yield pa.RecordBatch.from_arrays([rows.slice(s.first, s.rows), pa.array(m["kept"])], ["row", "kept"])
 
     return wide.mapInArrow(run, schema).where("kept").select("row.*")
 

@@ -33,3 +33,30 @@ def test_stages(spark, documents):
     # The changed copy kept one line only; joined lines are a near copy of document 3.
     assert lines[30].count("\n") == 0 and "changed" in lines[30] and 37 not in near
     assert all(private[i] == t for i, t in near.items() if not re.search("@", t))
+
+
+def test_empty_tables_and_odd_columns(spark, documents):
+    import corpus_pipeline as P
+
+    for docs in (documents([]), documents([(None, None), (None, ""), (1, "one"), (1, "one")]).withColumnRenamed("row", "a b")):
+        start = docs
+        for k, (_, stage) in enumerate(P.STAGES):
+            docs = stage(spark, docs, None)
+            if k < 4:
+                assert docs.columns == start.columns and docs.dtypes == start.dtypes
+                docs = written(docs.unionByName(start.where("false")), "stage")
+        assert docs.count() == 0  # all are too short
+
+
+def test_each_stage_takes_nulls_and_repeats(spark, documents):
+    import corpus_pipeline as P
+
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, None), (None, text), (7, text + " x"), (7, text + " x"), (8, ""), (9, "y " * 70_000)]
+    docs = documents(rows).withColumnRenamed("row", "a b")
+    sizes = []
+    for _, stage in P.STAGES:
+        sizes.append(stage(spark, docs, None).count())
+    # quality: the three with words enough; line dedup: all but later copies of a line (none here); near duplicates: one of the
+    # three texts, the texts without words and the long one; the others keep every row.
+    assert sizes[0] == 3 and sizes[1] == 6 and sizes[2] == 4 and sizes[3] == 6 and sizes[4] == 6
