@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns a DataFrame; all but the
 last return the columns of documents.  ``run`` writes each stage's result as Parquet to the shared folder and reads it
 again for the next stage, so a lost executor repeats one stage at most.
+
+Defined cases, for every stage: an empty table gives an empty table; null ids stay null; other columns, whatever their
+names, are kept (but by packing).  Null or empty texts fail the quality rules; by themselves they pass line dedup and private data
+as they are, are near duplicates of nothing, and have 0 tokens.  Rows that repeat id and text: quality rules, line dedup, private data and packing
+treat each alike, near duplicates keeps one.
 """
 
 from __future__ import annotations
