@@ -136,6 +136,14 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Slice]:
         lo = hi
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``rows`` rows, so that few texts are Python strings at a time; unused memory goes back."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Masks: the key occurs more than once; the key occurred at an earlier position."""
     order = np.argsort(keys, kind="stable")

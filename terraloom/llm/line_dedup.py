@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ._shared import indexed, written
-from ._text import slices, span_hash
+from ._text import parts, slices, span_hash
 
 MIN_WORDS = 5
 #: The largest table that is broadcast, by rows and by lines in their lists: about 40 MB; a larger one is joined by a shuffle.
@@ -209,7 +209,7 @@ def _cleaned(docs: DataFrame, min_words: int, text: str, doc_id: str) -> DataFra
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, marked = batch.column(1).field(place), batch.column(3)
             kept: list[str | None] = [None] * batch.num_rows
             gone: list[list[int]] = [[] for _ in kept]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._shared import written
-from ._text import Slice, mix, slices, span_hash
+from ._text import Slice, mix, parts, slices, span_hash
 
 #: Order of kinds in lists of spans.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -136,7 +136,7 @@ def _meetings(docs: DataFrame) -> DataFrame:
     """(entity, term, line) for each entity of a line, however often it stands there, and each term of the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             entity, term, line = [], [], []
             for text, spans in _spans_of(batch.column(0)).values():
                 seen: dict[tuple[int, int], tuple[str, list[str]]] = {}
@@ -276,7 +276,7 @@ def find(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = lambda spans: [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
-        for batch in batches:
+        for batch in parts(batches):
             texts, terms = batch.column("text"), held(batch)
             found = _spans_of(texts)
             n = batch.num_rows
@@ -310,7 +310,7 @@ def sanitise(docs: DataFrame, max_open_bits: float = MAX_OPEN_BITS, text: str =
     wide, held = _with_held(wide, disclosing_terms(docs, max_open_bits, text), F.col(f"row.`{text}`").cast("string"), lambda batch: batch.column("row").field(place).cast(pa.large_string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, terms = batch.column("row").field(place).cast(pa.large_string()), held(batch)
             found, new = _spans_of(texts), {}
             for i in found.keys() | terms.keys():

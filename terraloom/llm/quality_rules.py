@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._text import SPACE, Slice, gram_hash, mix, repeated, slices, span_hash
+from ._text import SPACE, Slice, gram_hash, mix, parts, repeated, slices, span_hash
 
 #: Largest share of word characters inside later copies of n-grams, by n, as in public heuristics.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -133,7 +133,7 @@ def keep(docs: DataFrame, limits: Mapping[int, float] = GRAM_LIMITS, text: str =
     schema, place = StructType([wide.schema["row"]]).add("kept", "boolean"), names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = batch.column(0)
             for s, m in _judged(rows.field(place).cast(pa.large_string()), limits):
                 yield pa.RecordBatch.from_arrays([rows.slice(s.first, s.rows), pa.array(m["kept"])], ["row", "kept"])
