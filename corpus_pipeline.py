@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns a DataFrame; all but the
 last return the columns of documents.  ``run`` writes each stage's result as Parquet to the shared folder and reads it
-again for the next stage, so a lost executor repeats one stage at most.
+again for the next stage, so a lost executor repeats one stage at most.  Each stage bounds the bytes that the session hands
+to Python at once, since texts may be long.
 
 Defined cases, for every stage: an empty table gives an empty table; null ids stay null; other columns, whatever their
 names, are kept (but by packing).  Null or empty texts fail the quality rules; by themselves they pass line dedup and private data
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm._shared import written
+from terraloom.llm._shared import bounded_batches, written
 from terraloom.llm.line_dedup import dedup_lines
 from terraloom.llm.ngram_join import keep_one
 from terraloom.llm.packing import pack_documents
@@ -24,26 +25,31 @@ from terraloom.llm.quality_rules import keep
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept, unchanged."""
+    bounded_batches(spark)
     return keep(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines; those with nothing left go."""
+    bounded_batches(spark)
     return dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
+    bounded_batches(spark)
     return keep_one(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and the terms that reveal it, generalised."""
+    bounded_batches(spark)
     return sanitise(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, bucket, bound, batch, place) of every document."""
+    bounded_batches(spark)
     return pack_documents(docs)
 
 

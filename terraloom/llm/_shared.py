@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,18 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From here on the session hands at most ``size`` bytes at once to Python, or the one row that is larger, unless its bound is lower.
+
+    It is set for the session, since Spark reads it when a job runs: that is after the operator has returned its DataFrame.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+    bound = int(number) << 10 * " kmgtp".index(unit or " ")
+    if bound > size:
+        spark.conf.set(name, str(size))
+
+
 def indexed(rows: DataFrame, by: list[str], name: str = "idx", weight: str | None = None) -> DataFrame:
     """``rows`` with ``name``: the number of rows (or sum of ``weight``) before each in the order of ``by``, over the whole table.
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows are worked on in slices of about this many bytes of text; a longer text is a slice by itself.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -123,7 +123,7 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def slices(column: pa.Array, lower: bool = False) -> Iterator[Slice]:
-    """The whole column in slices of about SLICE_BYTES."""
+    """The whole column in slices of about SLICE_BYTES; unused memory goes back after the last."""
     n = len(column)
     if not n:
         return
@@ -134,6 +134,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Slice]:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE_BYTES, side="right")) - 1)
         yield Slice(column.slice(lo, min(hi, n) - lo), lo, lower)
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

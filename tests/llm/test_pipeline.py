@@ -3,7 +3,9 @@
 import random
 import re
 
-from terraloom.llm._shared import written
+import pytest
+
+from terraloom.llm._shared import bounded_batches, written
 
 
 def test_stages(spark, documents):
@@ -60,3 +62,15 @@ def test_each_stage_takes_nulls_and_repeats(spark, documents):
     # quality: the three with words enough; line dedup: all but later copies of a line (none here); near duplicates: one of the
     # three texts, the texts without words and the long one; the others keep every row.
     assert sizes[0] == 3 and sizes[1] == 6 and sizes[2] == 4 and sizes[3] == 6 and sizes[4] == 6
+
+
+@pytest.mark.parametrize(("before", "after"), [("67108864b", "4194304"), ("64m", "4194304"), ("1k", "1k"), ("2MB", "2MB")])
+def test_bounded_batches(spark, before, after):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.set(name, before)
+        bounded_batches(spark)
+        assert spark.conf.get(name) == after
+    finally:
+        spark.conf.set(name, kept)
