@@ -30,3 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once by checkpoint() to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, by a Parquet table in the shared folder; unlike checkpoint(), which runs a plan once to know it and once more to write it."""
+    spark = df.sparkSession
+    path = scratch(spark, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

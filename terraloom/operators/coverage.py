@@ -175,10 +175,10 @@ def largest_part(shapes: Column) -> Column:
     return F.array_max(F.transform(shapes, lambda part: F.struct(G.ring_area(part[0]).alias("area"), part.alias("part"))))["part"]
 
 
-def label_point(rings: Column) -> Column:
-    """A point inside: the middle of the widest stretch that the shape covers on the horizontal line through its middle."""
+def _stretch(rings: Column, part: float) -> Column:
+    """The widest stretch (width, x, y) that the shape covers on the horizontal line a part of its height above its south end."""
     box = G.ring_bounds(rings[0])
-    y = (box["south"] + box["north"]) / 2.0 + (box["north"] - box["south"]) * 1e-6
+    y = box["south"] + (box["north"] - box["south"]) * (part + 1e-6)
 
     def cuts(ring: Column) -> Column:
         hit = F.filter(G._edges(ring), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
@@ -186,7 +186,24 @@ def label_point(rings: Column) -> Column:
 
     xs = F.array_sort(F.flatten(F.transform(rings, cuts)))
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size(xs) / 2), F.lit(1)).cast("int")), lambda k: F.struct((F.try_element_at(xs, 2 * k) - F.try_element_at(xs, 2 * k - 1)).alias("width"), ((F.try_element_at(xs, 2 * k) + F.try_element_at(xs, 2 * k - 1)) / 2).alias("x")))
-    return F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y"))
+    best = F.array_max(spans)
+    return F.struct(best["width"].alias("width"), best["x"].alias("x"), y.alias("y"))
+
+
+def label_point(rings: Column) -> Column:
+    """A point inside: the middle of the widest stretch that the shape covers on the horizontal line through its middle."""
+    at = _stretch(rings, 0.5)
+    return F.struct(at["x"].alias("x"), at["y"].alias("y"))
+
+
+def interior_point(rings: Column) -> Column:
+    """As :func:`label_point`; where the shape is too thin there, on the lines at a quarter, three quarters, an eighth and so on; null for a shape without width."""
+    box = G.ring_bounds(rings[0])
+    least = F.greatest(box["east"] - box["west"], box["north"] - box["south"]) * 1e-7
+    tried = F.array(*[_stretch(rings, k) for k in (0.5, 0.25, 0.75, 0.125, 0.375, 0.625, 0.875)])
+    wide = F.filter(tried, lambda s: s["width"] > least)
+    best = F.coalesce(F.try_element_at(wide, F.lit(1)), F.array_max(F.filter(tried, lambda s: s["width"] > 0)))
+    return F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y")))
 
 
 def svg_path(rings: Column, size: float = 100.0) -> Column:
