@@ -6,7 +6,7 @@ adjacency and checks are group-bys that scale with the number of segments, not o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -175,35 +175,45 @@ def largest_part(shapes: Column) -> Column:
     return F.array_max(F.transform(shapes, lambda part: F.struct(G.ring_area(part[0]).alias("area"), part.alias("part"))))["part"]
 
 
-def _stretch(rings: Column, part: float) -> Column:
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _stretch(rings: Column, part: Column) -> Column:
     """The widest stretch (width, x, y) that the shape covers on the horizontal line a part of its height above its south end."""
-    box = G.ring_bounds(rings[0])
-    y = box["south"] + (box["north"] - box["south"]) * (part + 1e-6)
 
-    def cuts(ring: Column) -> Column:
+    def cuts(ring: Column, y: Column) -> Column:
         hit = F.filter(G._edges(ring), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
         return F.transform(hit, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]))
 
-    xs = F.array_sort(F.flatten(F.transform(rings, cuts)))
-    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size(xs) / 2), F.lit(1)).cast("int")), lambda k: F.struct((F.try_element_at(xs, 2 * k) - F.try_element_at(xs, 2 * k - 1)).alias("width"), ((F.try_element_at(xs, 2 * k) + F.try_element_at(xs, 2 * k - 1)) / 2).alias("x")))
-    best = F.array_max(spans)
-    return F.struct(best["width"].alias("width"), best["x"].alias("x"), y.alias("y"))
+    def widest(xs: Column, y: Column) -> Column:
+        ends = F.sequence(F.lit(1), F.greatest(F.floor(F.size(xs) / 2), F.lit(1)).cast("int"))
+        at = lambda k: F.try_element_at(xs, k)
+        spans = F.transform(ends, lambda k: F.struct((at(2 * k) - at(2 * k - 1)).alias("width"), ((at(2 * k) + at(2 * k - 1)) / 2).alias("x"), y.alias("y")))
+        return F.array_max(spans)
+
+    ys = F.transform(rings[0], lambda p: p["y"])
+    level = _let(ys, lambda v: F.array_min(v) + (F.array_max(v) - F.array_min(v)) * (part + 1e-6))
+    return _let(level, lambda y: _let(F.array_sort(F.flatten(F.transform(rings, lambda r: cuts(r, y)))), lambda xs: widest(xs, y)))
 
 
 def label_point(rings: Column) -> Column:
     """A point inside: the middle of the widest stretch that the shape covers on the horizontal line through its middle."""
-    at = _stretch(rings, 0.5)
-    return F.struct(at["x"].alias("x"), at["y"].alias("y"))
+    return _let(_stretch(rings, F.lit(0.5)), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
 
 
 def interior_point(rings: Column) -> Column:
     """As :func:`label_point`; where the shape is too thin there, on the lines at a quarter, three quarters, an eighth and so on; null for a shape without width."""
     box = G.ring_bounds(rings[0])
     least = F.greatest(box["east"] - box["west"], box["north"] - box["south"]) * 1e-7
-    tried = F.array(*[_stretch(rings, k) for k in (0.5, 0.25, 0.75, 0.125, 0.375, 0.625, 0.875)])
-    wide = F.filter(tried, lambda s: s["width"] > least)
-    best = F.coalesce(F.try_element_at(wide, F.lit(1)), F.array_max(F.filter(tried, lambda s: s["width"] > 0)))
-    return F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y")))
+    tried = F.transform(F.array(*[F.lit(k) for k in (0.5, 0.25, 0.75, 0.125, 0.375, 0.625, 0.875)]), lambda k: _stretch(rings, k))
+
+    def best(all_: Column) -> Column:
+        wide = _let(least, lambda m: F.filter(all_, lambda s: s["width"] > m))
+        return F.coalesce(F.try_element_at(wide, F.lit(1)), F.array_max(F.filter(all_, lambda s: s["width"] > 0)))
+
+    return _let(_let(tried, best), lambda s: F.when(s.isNotNull(), F.struct(s["x"].alias("x"), s["y"].alias("y"))))
 
 
 def svg_path(rings: Column, size: float = 100.0) -> Column:
