@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -101,17 +103,28 @@ def same_name(a: Column, b: Column) -> Column:
     return bare(a) == bare(b)
 
 
+@functools.cache
+def _marked() -> dict[int, str]:
+    """Letters by the number of marks that they decompose into."""
+    out: dict[int, str] = {}
+    for c in map(chr, range(0x80, 0x3100)):
+        n = sum(unicodedata.combining(x) > 0 for x in unicodedata.normalize("NFD", c))
+        if n and unicodedata.category(c)[0] == "L":
+            out[n] = out.get(n, "") + c
+    return out
+
+
 def accents(c: Column) -> Column:
-    """Characters that lose an accent when accents are stripped."""
-    pairs = F.arrays_zip(F.split(c, "").alias("own"), F.split(strip_accents(c), "").alias("bare"))
-    return F.size(F.filter(pairs, lambda x: x["own"] != x["bare"]))
+    """Marks of the decomposed form, so that composed and decomposed spellings count alike."""
+    counts = [F.regexp_count(c, F.lit(f"[{letters}]")) * n for n, letters in _marked().items()]
+    return sum(counts, F.regexp_count(c, F.lit(r"\p{M}")))
 
 
-def preferred_spelling(spellings: Column) -> Column:
-    """Of an array of spellings the one with most accents, then the first in order; separators become spaces."""
-    tidy = F.transform(spellings, lambda s: F.trim(F.regexp_replace(s, r"[\s_\-]+", " ")))
-    best = F.array_sort(F.transform(tidy, lambda s: F.struct((-accents(s)).alias("n"), s.alias("s"))))
-    return F.element_at(best, 1)["s"]
+def preferred_spelling(native: Column, other: Column) -> Column:
+    """Of two equal names the one to show: the native one where they differ by a last word city alone, else the one with more accents, the native one on ties; dashes become spaces."""
+    city = (spaced_key(native) != spaced_key(other)) & same_name(native, other)
+    best = F.when(~city & (accents(other) > accents(native)), other).otherwise(native)
+    return F.regexp_replace(F.trim(F.regexp_replace(best, r"\s*[-\u2010-\u2014]\s*", " ")), r"\s+", " ")
 
 
 def is_latin(c: Column) -> Column:
@@ -217,11 +230,21 @@ def candidate_code(*candidates: Column, missing: str = "-99", valid: list[str] |
     return F.coalesce(*[F.when(good(c), c) for c in candidates])
 
 
-def resolved_language(native: Column, overrides: dict[str, str], equal: dict[str, str], known: list[str], country: Column) -> Column:
-    """The country's override, else the native language under its common name; one that is not known is an error."""
-    look = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key) if table else F.lit(None).cast("string")
-    language = F.coalesce(look(overrides, country), look(equal, native), native)
-    return F.when(language.isin(known), language).otherwise(F.raise_error(F.concat(F.lit("no language: "), F.coalesce(language, F.lit("null")))).cast("string"))
+def resolved_language(country: Column, names: Column, overrides: dict[str, str | None]) -> Column:
+    """Of ``names`` (array of structs language, name, in the order of the source) the language whose name to show, or null.
+
+    An override decides, also one by null; it must be among the languages. Else the first language, if there is one alone or all names that are not blank are equal by key; else an error.
+    """
+    languages = F.transform(names, lambda n: n["language"])
+    keys = F.array_distinct(F.transform(F.filter(names, lambda n: F.coalesce(n["name"], F.lit("")) != ""), lambda n: name_key(n["name"])))
+    fail = lambda said: F.raise_error(F.concat(country, F.lit(said))).cast("string")
+    found = F.when((F.size(names) <= 1) | (F.size(keys) <= 1), F.try_element_at(languages, F.lit(1))).otherwise(fail(" has different names and no override"))
+    if not overrides:
+        return found
+    table = F.create_map(*[F.lit(x) if x is not None else F.lit(None).cast("string") for pair in overrides.items() for x in pair])
+    chosen = F.try_element_at(table, country)
+    given = F.when(chosen.isNull() | F.array_contains(languages, chosen), chosen).otherwise(fail(" has an override that is none of its languages"))
+    return F.when(country.isin(list(overrides)), given).otherwise(found)
 
 
 def two_lines(first: Column, second: Column) -> Column:

@@ -25,18 +25,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Weights of border, neighbours and evidence (fixed values).
+BORDER, NEIGHBOURS, EVIDENCE = 0.50, 0.20, 0.30
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """Labels for ``nodes`` (id, code or null) from labelled neighbours over ``edges`` (src, dst, shared), all open nodes at once per round.
 
-    Score of a code: its shared border over the greatest, plus its neighbours over the greatest; neighbours that all agree
-    decide at once. Ties go to the least code. Returns (id, code, round); round 0 had a label, null never got one.
+    A neighbours' code has the weighted sum of its shared border, its neighbours and its ``evidence`` (id, code, score), if given, each as a share
+    of the greatest among the node's candidate codes; ties go to the least code. Returns (id, code, round); round 0 had a label, null never got one.
     """
     now = cut(nodes.select("id", "code", F.when(F.col("code").isNotNull(), F.lit(0)).alias("round")))
     for k in count(1):
         votes = edges.join(now.where("code IS NULL").select(F.col("id").alias("src")), "src").join(now.where("code IS NOT NULL").select(F.col("id").alias("dst"), "code"), "dst")
         by_code = votes.groupBy("src", "code").agg(F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("src")
-        score = F.coalesce(F.col("shared") / F.max("shared").over(w), F.lit(0.0)) + F.col("n") / F.max("n").over(w)
+        share = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(w)), F.lit(0.0))
+        score = share("shared") * BORDER + share("n") * NEIGHBOURS
+        if evidence is not None:
+            by_code = by_code.join(evidence.select(F.col("id").alias("src"), "code", F.col("score").cast("double").alias("seen")), ["src", "code"], "left").fillna(0.0, ["seen"])
+            score = score + share("seen") * EVIDENCE
         best = by_code.withColumn("score", F.round(score, 9)).withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), "code"))).where("__r = 1").select(F.col("src").alias("id"), F.col("code").alias("new"))
         after = cut(now.join(best, "id", "left").select("id", F.coalesce("code", "new").alias("code"), F.coalesce("round", F.when(F.col("new").isNotNull(), F.lit(k))).alias("round")))
         if after.where(F.col("round") == k).isEmpty():

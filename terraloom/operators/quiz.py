@@ -77,14 +77,24 @@ def visible(features: DataFrame, id: str, mode: Column, last: Column, capital: C
     return features.where(F.when(mode == "hard", F.coalesce(F.col(id) == last, F.lit(False))).otherwise(F.lit(True)) & F.coalesce(capital, F.lit(True)))
 
 
-def judged_clicks(clicks: DataFrame, answers: DataFrame, order: list[str]) -> DataFrame:
-    """``clicks`` (session, feature, question, mode, ...) with ``verdict``: right if the question is among the feature's answers
-    (feature, answer), else wrong; ignored in normal mode where the feature was answered right before."""
-    given = clicks.join(answers.select("feature", F.col("answer").alias("question")).distinct().withColumn("hit", F.lit(True)), ["feature", "question"], "left")
-    hit = F.coalesce("hit", F.lit(False))
-    before = F.max(hit.cast("int")).over(Window.partitionBy("session", "feature").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    done = (F.col("mode") != "hard") & (F.coalesce(before, F.lit(0)) == 1)
-    return given.withColumn("verdict", F.when(done, "ignored").when(hit, "right").otherwise("wrong")).drop("hit")
+def judged_clicks(clicks: DataFrame, answers: DataFrame, order: list[str], running: str | None = None) -> DataFrame:
+    """``clicks`` (session, feature, question, mode, ...) with ``verdict``, by the answers of features (feature, answer).
+
+    A feature without answers, or a click while no question is asked, is ``ignored``; while the session does not run (``running``, if given) a click is
+    ``inspected``. In normal mode a feature is ignored once all its answers have been answered right in the session, on whatever feature; else the
+    click is right if the question is among the feature's answers, or wrong.
+    """
+    known = answers.select("feature", "answer").where("answer IS NOT NULL").distinct()
+    at = F.struct(*order)
+    live = F.coalesce(F.col(running), F.lit(False)) if running else F.lit(True)
+    total = known.groupBy("feature").agg(F.count(F.lit(1)).alias("__n"))
+    given = clicks.join(known.select("feature", F.col("answer").alias("question"), F.lit(True).alias("__hit")), ["feature", "question"], "left").join(total, "feature", "left")
+    answered = given.where(F.col("__hit") & live).groupBy("session", F.col("question").alias("answer")).agg(F.min(at).alias("__at"))
+    complete = answered.join(known, "answer").groupBy("session", "feature").agg(F.count(F.lit(1)).alias("__k"), F.max("__at").alias("__done"))
+    judged = given.join(complete, ["session", "feature"], "left")
+    done = (F.col("mode") != "hard") & (F.col("__k") == F.col("__n")) & (F.col("__done") < at)
+    verdict = F.when(F.col("__n").isNull(), "ignored").when(~live, "inspected").when(F.col("question").isNull() | F.coalesce(done, F.lit(False)), "ignored")
+    return judged.withColumn("verdict", verdict.when(F.coalesce("__hit", F.lit(False)), "right").otherwise("wrong")).drop("__hit", "__n", "__k", "__done")
 
 
 def sections(listing: DataFrame, section: str, item: str, order: str) -> DataFrame:

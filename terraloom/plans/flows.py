@@ -140,7 +140,28 @@ _BOXES = f"""
     r AS (SELECT floor({SQL_LON.format(k="s_suppkey * 7 + 3")})::DOUBLE AS west, floor({SQL_LAT.format(k="s_suppkey * 7 + 3")})::DOUBLE AS south, min(s_suppkey) AS rid FROM supplier GROUP BY 1, 2),
     o AS (SELECT id, rid, greatest(0, least(g.west + 4, r.west + 6) - greatest(g.west, r.west)) * greatest(0, least(g.south + 4, r.south + 6) - greatest(g.south, r.south)) AS area FROM g, r),
     p AS (SELECT * FROM o WHERE area > 0)"""
+_NEAR = f"""
+    n AS (SELECT c_custkey AS id, {SQL_LAT.format(k="c_custkey")} AS lat, {SQL_LON.format(k="c_custkey")} AS lon, c_nationkey::VARCHAR AS nation FROM customer),
+    d AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, {_KM} AS km FROM n a JOIN n b ON a.id <> b.id WHERE {_KM} <= 500)"""
 ORACLES = {
+    # Each step of the recursion is a whole round: all rows of the state, and its number.
+    "propagate_labels": f"""WITH RECURSIVE {_NEAR},
+      s(k, id, code, round, new) AS (SELECT 0::BIGINT, id, CASE WHEN id % 10 = 0 THEN nation END, CASE WHEN id % 10 = 0 THEN 0::BIGINT END, true FROM n
+        UNION ALL
+        SELECT k + 1, id, coalesce(code, best), coalesce(round, CASE WHEN best IS NOT NULL THEN k + 1 END), bool_or(code IS NULL AND best IS NOT NULL) OVER () FROM (
+          SELECT s.k, s.id, s.code, s.round, s.new, b.best FROM s LEFT JOIN (
+            SELECT src, code AS best FROM (
+              SELECT src, code, round(0.5 * shared / max(shared) OVER (PARTITION BY src) + 0.2 * n / max(n) OVER (PARTITION BY src), 9) AS score FROM (
+                SELECT d.src, o.code, sum(1000 - km) AS shared, count(*) AS n FROM d JOIN s o ON o.id = d.dst AND o.code IS NOT NULL WHERE km <= 400 GROUP BY d.src, o.code))
+            QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, code) = 1) b ON b.src = s.id AND s.code IS NULL WHERE s.new))
+      SELECT id, code, round FROM s QUALIFY k = max(k) OVER ()""",
+    "multi_source_path": f"""WITH RECURSIVE {_NEAR},
+      p(k, id, b, new) AS (SELECT 0, id, {{'dist': 0.0::DOUBLE, 'prefix': nation, 'seed': id}}, true FROM n WHERE id % 50 = 0
+        UNION ALL
+        SELECT k + 1, id, b, bool_or(b IS DISTINCT FROM was) OVER () FROM (
+          SELECT k, id, min(b) AS b, min(was) AS was FROM (SELECT k, id, b, b AS was FROM p WHERE new
+            UNION ALL SELECT p.k, d.dst, {{'dist': b.dist + round(km), 'prefix': b.prefix, 'seed': b.seed}}, NULL FROM p JOIN d ON d.src = p.id WHERE p.new) GROUP BY k, id))
+      SELECT id, round(b.dist, 3) AS dist, b.prefix AS prefix, b.seed AS seed FROM p QUALIFY k = max(k) OVER ()""",
     "geojson_round_trip": f"SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS segment, {SQL_LAT.format(k='c_custkey')} AS lat, {SQL_LON.format(k='c_custkey')} AS lon FROM customer",
     "csv_round_trip": "SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS code, s_name FROM supplier",
     "partitioned_scan": "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7",

@@ -76,11 +76,11 @@ def same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preferred_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the spellings of a name, made of parts of one brand and type, the one with most accents."""
-    k = F.col("p_partkey")
-    spelt = F.when(k % 3 == 0, F.replace("p_name", F.lit("a"), F.lit("á"))).when(k % 3 == 1, F.replace("p_name", F.lit(" "), F.lit("_"))).otherwise(F.col("p_name"))
-    groups = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.collect_set(spelt).alias("spellings"))
-    return groups.select("p_brand", "p_type", T.preferred_spelling(F.col("spellings")).alias("name"))
+    """The spelling to show of each part's name, of a native form with a last word, dashes or accents and another with accents."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    native = F.when(k % 3 == 0, F.concat(name, F.lit(" City"))).when(k % 3 == 1, F.replace(name, F.lit(" "), F.lit("-"))).otherwise(F.replace(name, F.lit("e"), F.lit("é")))
+    other = F.when(k % 2 == 0, F.replace(name, F.lit("a"), F.lit("á"))).otherwise(name)
+    return table(spark, sf_dir, "part").select("p_partkey", T.preferred_spelling(native, other).alias("name"))
 
 
 def feature_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,10 +169,13 @@ def flag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def native_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language under its common name, with the override of one source."""
-    language = T.resolved_language(F.col("lang"), {"src3": "en"}, {"de": "deu", "fr": "fra"}, ["en", "deu", "fra", "es", "und"], F.col("source"))
-    d = table(spark, sf_dir, "documents").withColumn("lang", F.when(F.col("lang").isin("en", "de", "fr", "es"), F.col("lang")).otherwise("und"))
-    return d.select("doc_id", language.alias("language"))
+    """The language of each supplier's names: two spellings of one name, or two names with an override by nation, which is null for one."""
+    n = F.col("s_nationkey")
+    entry = lambda language, name: F.struct(F.lit(language).alias("language"), name.alias("name"))
+    second = F.when(n % 2 == 0, F.upper("s_name")).otherwise(F.concat(F.lit("x"), F.col("s_name")))
+    overrides = {str(k): None if k == 7 else "fra" if k % 3 else "eng" for k in range(1, 25, 2)}
+    names = F.array(entry("eng", F.col("s_name")), entry("fra", second))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.resolved_language(n.cast("string"), names, overrides).alias("language"))
 
 
 def two_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,8 +243,8 @@ ORACLES = {
       e AS (SELECT u.l_partkey, code, coalesce(n / total, 0)::DOUBLE AS winner, coalesce(second / total, 0)::DOUBLE AS runner_up, coalesce(total, 0)::BIGINT AS samples FROM (SELECT DISTINCT l_partkey FROM lineitem) u LEFT JOIN (SELECT * FROM r WHERE k = 1) r ON u.l_partkey = r.l_partkey)
       SELECT l_partkey, code, round(winner, 6) AS winner, round(runner_up, 6) AS runner_up, samples, CASE WHEN samples = 0 THEN 'UNCLASSIFIED' WHEN winner >= 0.8 AND samples >= 20 THEN 'HIGH' WHEN winner >= 0.6 THEN 'REVIEW' ELSE 'UNCERTAIN' END AS status FROM e""",
     "same_names": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS same FROM part",
-    "preferred_spelling": """WITH s AS (SELECT DISTINCT p_brand, p_type, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, 'a', 'á') ELSE p_name END AS s FROM part),
-      a AS (SELECT *, length(regexp_replace(s, '[^á]', '', 'g')) AS n FROM s) SELECT p_brand, p_type, s AS name FROM a QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY n DESC, s) = 1""",
+    "preferred_spelling": """WITH s AS (SELECT p_partkey, p_name, replace(p_name, 'a', 'á') AS other, length(p_name) - length(replace(p_name, 'a', '')) AS na, length(p_name) - length(replace(p_name, 'e', '')) AS ne FROM part)
+      SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' City' WHEN p_partkey % 2 = 0 AND na > CASE WHEN p_partkey % 3 = 1 THEN 0 ELSE ne END THEN other WHEN p_partkey % 3 = 1 THEN replace(p_name, '-', ' ') ELSE replace(p_name, 'e', 'é') END AS name FROM s""",
     "feature_codes": f"WITH {_SETTLED} SELECT c_custkey, place FROM p WHERE place IN ('city', 'town', 'village')",
     "valid_codes": "SELECT c_custkey, lpad((c_custkey % 100000)::VARCHAR, 5, '0') || '-' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS code FROM customer WHERE c_custkey % 3 = 0",
     "layer_kinds": """SELECT CASE WHEN lower(source) LIKE '%src1%' THEN 'label' WHEN lower(source) LIKE '%3%' OR lower(source) LIKE '%5%' THEN 'hidden' WHEN lower(source) LIKE '%src%' THEN 'site' ELSE 'other' END AS kind, count(*) AS n FROM documents GROUP BY 1""",
@@ -258,12 +261,15 @@ ORACLES = {
     "key_sets": """WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT s_suppkey AS k FROM supplier)
       SELECT k, 'either' AS kind FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT k, 'both' FROM (SELECT k FROM a INTERSECT SELECT k FROM b)""",
     "flag_sets": "SELECT l_orderkey, bool_or(l_returnflag IN ('A', 'R')) AS any, bool_and(l_returnflag IN ('A', 'R')) AS within, bool_and(l_linestatus = 'F') AS all FROM lineitem GROUP BY 1",
-    "native_languages": """SELECT doc_id, CASE WHEN source = 'src3' THEN 'en' WHEN lang = 'de' THEN 'deu' WHEN lang = 'fr' THEN 'fra' WHEN lang IN ('en', 'es') THEN lang ELSE 'und' END AS language FROM documents""",
+    "native_languages": "SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'eng' WHEN s_nationkey = 7 THEN NULL WHEN s_nationkey % 3 = 0 THEN 'eng' ELSE 'fra' END AS language FROM supplier",
     "two_line_labels": "WITH q AS (SELECT p_type, min(upper(p_brand)) AS display FROM part GROUP BY 1) SELECT p_partkey, display || chr(10) || p_name AS label FROM part JOIN q USING (p_type)",
     "click_verdicts": """WITH a AS (SELECT DISTINCT event_id % 3 AS f, event_type AS t FROM events WHERE (length(event_type) + event_id % 3) % 2 = 0),
-      c AS (SELECT event_id, ts, user_id, event_id % 3 AS f, a.f IS NOT NULL AS hit FROM events LEFT JOIN a ON a.f = event_id % 3 AND a.t = event_type),
-      b AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY user_id, f ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM c)
-      SELECT event_id, CASE WHEN done AND user_id % 3 <> 0 THEN 'ignored' WHEN hit THEN 'right' ELSE 'wrong' END AS verdict FROM b""",
+      c AS (SELECT event_id, ts, user_id, event_id % 3 AS f, a.f IS NOT NULL AS hit, event_type, (ts, event_id) AS o FROM events LEFT JOIN a ON a.f = event_id % 3 AND a.t = event_type),
+      r AS (SELECT user_id, event_type AS t, min(o) AS o FROM c WHERE hit GROUP BY 1, 2),
+      d AS (SELECT user_id, f, max(o) AS o, count(*) AS n FROM r JOIN a USING (t) GROUP BY 1, 2),
+      n AS (SELECT f, count(*) AS n FROM a GROUP BY f)
+      SELECT event_id, CASE WHEN n.n IS NULL THEN 'ignored' WHEN user_id % 3 <> 0 AND d.n = n.n AND d.o < c.o THEN 'ignored' WHEN hit THEN 'right' ELSE 'wrong' END AS verdict
+      FROM c LEFT JOIN n USING (f) LEFT JOIN d USING (user_id, f)""",
     "typed_values": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN p_brand ELSE '' END AS as_string, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|' || p_type ELSE '' END AS as_list FROM part",
     "vote_shares": "SELECT user_id, event_type, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6)::DOUBLE AS share FROM events GROUP BY 1, 2",
 }

@@ -100,10 +100,20 @@ def test_ladders(spark):
 
 
 def test_choices_of_names(spark):
-    names = F.array(lit("Bacau"), lit("Bacău"), lit("Bacau-"))
-    assert list(one(spark, T.preferred_spelling(names), T.accents(lit("éà b")), T.two_lines(lit("a"), lit("b")), T.two_lines(lit("a"), lit("a")), T.two_lines(lit("a"), lit(None)))) == ["Bacău", 2, "a\nb", "a", "a"]
+    pairs = (("Bacau", "Bacău"), ("Ségou", "Ségou"), ("Davao City", "Dávao"), ("Zacatecas", "Zacatecas City"), ("Thetford‑Mines", "Thetford Mines"), ("a– b", "a b"))
+    assert list(one(spark, *[T.preferred_spelling(lit(a), lit(b)) for a, b in pairs])) == ["Bacău", "Ségou", "Davao City", "Zacatecas", "Thetford Mines", "a b"]
+    assert list(one(spark, *[T.accents(lit(x)) for x in ("Ségou abc", "Ségou abc", "Việt", "", "øß")])) == [1, 1, 2, 0, 0]
+    assert list(one(spark, T.two_lines(lit("a"), lit("b")), T.two_lines(lit("a"), lit("a")), T.two_lines(lit("a"), lit(None)))) == ["a\nb", "a", "a"]
     assert list(one(spark, T.candidate_code(lit("-99"), lit(" "), lit("ABC"), lit("DEF")), T.candidate_code(lit("ABC"), lit("DEF"), valid=["DEF"]), T.candidate_code(lit("-99")))) == ["ABC", "DEF", None]
-    ask = lambda native, country: T.resolved_language(lit(native), {"xx": "fr"}, {"cmn": "zh"}, ["fr", "zh"], lit(country))
-    assert list(one(spark, ask("de", "xx"), ask("cmn", "yy"), ask("fr", "yy"))) == ["fr", "zh", "fr"]
-    with pytest.raises(Exception, match="no language: de"):
-        one(spark, ask("de", "yy"))
+
+    def ask(country, overrides, *names):
+        pairs = [F.struct(lit(a).alias("language"), F.lit(b).cast("string").alias("name")) for a, b in names]
+        empty = F.expr("cast(array() as array<struct<language: string, name: string>>)")
+        return T.resolved_language(lit(country), F.array(*pairs) if pairs else empty, overrides)
+
+    rules = {"xx": "fr", "yy": None}
+    two = (("de", "Wien"), ("fr", "Vienne"))
+    assert list(one(spark, ask("xx", rules, *two), ask("yy", rules, *two), ask("zz", rules), ask("zz", rules, two[0]), ask("zz", {}, ("de", "Zürich"), ("it", "ZURICH"), ("fr", None)))) == ["fr", None, None, "de", "de"]
+    for country, names in (("zz", two), ("xx", two[:1])):
+        with pytest.raises(Exception, match="override"):
+            one(spark, ask(country, rules, *names))

@@ -185,3 +185,22 @@ def test_sessions(spark):
     s = Session(3, True)
     s.take("wrong")
     assert list(s.queue) == [1, 2, 0] and s.wrong == 1 and s.answered == 0
+
+
+def test_propagation_weighs_border_neighbours_and_evidence(spark):
+    nodes = spark.createDataFrame([(0, None), (1, "x"), (2, "y"), (3, "y")], "id long, code string")
+    edges = spark.createDataFrame([(0, 1, 1.0), (0, 2, 0.35), (0, 3, 0.35)], "src long, dst long, shared double")
+    label = lambda seen=None: {r.id: r.code for r in R.propagate(nodes, edges, seen).collect()}[0]
+    assert label() == "x"  # 0.50 + 0.10 against 0.35 + 0.20
+    assert label(spark.createDataFrame([(0, "y", 2.0), (0, "x", 1.0), (0, "z", 9.0)], "id long, code string, score double")) == "y"
+
+
+def test_a_feature_is_done_when_all_its_answers_are(spark):
+    answers = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (3, None)], "feature int, answer string")
+    rows = [
+        (1, "A", "normal", True, "right"), (1, "B", "normal", True, "right"), (1, "A", "normal", True, "ignored"), (2, "B", "normal", True, "ignored"), (1, "C", "hard", True, "wrong"),
+        (1, "A", "normal", False, "inspected"), (2, None, "hard", True, "ignored"), (3, "A", "hard", True, "ignored"), (9, "A", "normal", True, "ignored"),
+    ]
+    clicks = spark.createDataFrame([(k, 5, f, q, m, on, v) for k, (f, q, m, on, v) in enumerate(rows)], "k int, session int, feature int, question string, mode string, on boolean, want string")
+    got = Z.judged_clicks(clicks, answers, ["k"], "on").collect()
+    assert len(got) == len(rows) and all(r.verdict == r.want for r in got), got
