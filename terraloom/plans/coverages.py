@@ -10,9 +10,9 @@ from ..operators import coverage as V
 from .tables import SQL_LAT, SQL_LON, customers
 
 
-def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squares in a part of the world that customers fill densely enough: positions folded into 60 by 40 degrees."""
-    c = customers(spark, sf_dir).withColumn("west", F.pmod(F.floor("lon"), F.lit(60)).cast("double")).withColumn("south", F.pmod(F.floor("lat"), F.lit(40)).cast("double"))
+def squares(spark: SparkSession, sf_dir: str, wide: int = 60, high: int = 40) -> DataFrame:
+    """Squares in a part of the world that customers fill densely enough: positions folded into so many degrees."""
+    c = customers(spark, sf_dir).withColumn("west", F.pmod(F.floor("lon"), F.lit(wide)).cast("double")).withColumn("south", F.pmod(F.floor("lat"), F.lit(high)).cast("double"))
     first = c.groupBy("west", "south").agg(F.min_by("c_nationkey", "c_custkey").alias("nation"), F.min("c_custkey").alias("id"))
     ring = G.box_ring(F.col("west"), F.col("south"), F.col("west") + 1, F.col("south") + 1)
     return first.select("id", (F.col("nation") % 5).alias("code"), F.array(ring).alias("rings"))

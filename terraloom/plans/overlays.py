@@ -64,8 +64,8 @@ def coverage_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The areas that squares enclose and leave free once those of one code are taken out, and the square that each would go to."""
-    return O.gaps(squares(spark, sf_dir).where("code <> 4"), "id", 4.0).select("x", "y", F.round("area", 6).alias("area"), "id", "shared")
+    """The areas that squares enclose and leave free, and the square that each would go to."""
+    return O.gaps(squares(spark, sf_dir, 30, 30), "id", 4.0).select("x", "y", F.round("area", 6).alias("area"), "id", "shared")
 
 
 def shape_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,7 @@ _PAIRS = f"""{_GRID},
     o AS (SELECT id, rid, {_shared(_OUT, _OUT2)} - {_shared(_IN, _OUT2)} - {_shared(_OUT, _IN2)} + {_shared(_IN, _IN2)} AS area FROM g, r),
     p AS (SELECT * FROM o WHERE area > 0)"""
 _TOP = "SELECT id, rid, round(area, 6) AS area, round(area / 14 * 100, 4) AS percent FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY area DESC, rid) = 1"
+_FOLDED = _SQUARES.replace("% 60) + 60) % 60", "% 30) + 30) % 30").replace("% 40) + 40) % 40", "% 30) + 30) % 30")
 _SIDES = """s(dx, dy, px, py, qx, qy) AS (VALUES (1, 0, 0, 0, 0, -1), (-1, 0, -1, 0, -1, -1), (0, 1, 0, 0, -1, 0), (0, -1, 0, -1, -1, -1))"""
 ORACLES = {
     "polygon_argmax": f"WITH {_PAIRS} {_TOP}",
@@ -117,7 +118,7 @@ ORACLES = {
       c(id, reach) AS (SELECT id, id FROM u UNION SELECT c.id, l.y FROM c JOIN l ON l.x = c.reach),
       m AS (SELECT id, min(reach) AS root FROM c GROUP BY id)
       SELECT u.code, count(DISTINCT root) AS parts, count(*)::DOUBLE AS area, any_value(n.points)::BIGINT AS points FROM u JOIN m ON m.id = u.id JOIN n ON n.code = u.code GROUP BY u.code""",
-    "coverage_gaps": f"""WITH RECURSIVE {_SQUARES.replace("u AS (", "u AS (SELECT * FROM (")} WHERE code <> 4), f AS (SELECT x, y FROM range(-1, 61) a(x), range(-1, 41) b(y) ANTI JOIN u ON u.w = x AND u.s = y),
+    "coverage_gaps": f"""WITH RECURSIVE {_FOLDED}, f AS (SELECT x, y FROM range(-1, 31) a(x), range(-1, 31) b(y) ANTI JOIN u ON u.w = x AND u.s = y),
       c(x, y) AS (SELECT -1::BIGINT, -1::BIGINT UNION SELECT f.x, f.y FROM c JOIN f ON abs(f.x - c.x) + abs(f.y - c.y) = 1),
       i AS (SELECT f.x, f.y FROM f ANTI JOIN c ON c.x = f.x AND c.y = f.y),
       t(x, y, rx, ry) AS (SELECT x, y, x, y FROM i UNION SELECT t.x, t.y, i.x, i.y FROM t JOIN i ON abs(i.x - t.rx) + abs(i.y - t.ry) = 1),
