@@ -53,12 +53,18 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def sql_dump(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """Values of the INSERT lines of one table, one row or several to a line, as strings with doubled quotes undone; NULL is null."""
-    value = r"\s*('(?:[^']|'')*'|[^,()']+)\s*"
+    """Values of the INSERT statements of one table, one row or several to a statement, as strings with doubled quotes undone; NULL is null.
+
+    A statement may stand on several lines and ends with a semicolon at the end of a line. Rows that do not parse as so many plain values are an error.
+    """
+    value = r"\s*('[^']*+(?:''[^']*+)*+'|[^,()']++)\s*"
     row = r"\(" + ",".join([value] * len(columns)) + r"\)"
-    insert = rf"(?i)^\s*insert\s+into\s+[`\"]?{table}[`\"]?\s*(?:\([^)]*\)\s*)?values\s*"
-    lines = spark.read.text(path).where(F.col("value").rlike(insert + r"\(")).select(F.regexp_replace("value", insert, "").alias("rows"))
-    each = lines.select(F.explode(F.regexp_extract_all("rows", F.lit(row), 0)).alias("value"))
+    insert = rf"(?is)^(?:\s|--[^\n]*\n|/\*.*?\*/)*insert\s+into\s+[`\"]?{table}[`\"]?\s*(?:\([^)]*\)\s*)?values\s*"
+    said = spark.read.option("lineSep", ";\n").text(path).select(F.explode(F.split("value", r";[ \t]*\r\n")).alias("value"))
+    rows = said.where(F.col("value").rlike(insert)).select(F.regexp_replace("value", insert, "").alias("rows"))
+    rest = F.regexp_replace("rows", row, "")
+    checked = F.when(rest.rlike(r"^[\s,;]*$"), F.col("rows")).otherwise(F.raise_error(F.concat(F.lit(f"rows of {table} are not {len(columns)} plain values: "), F.substring(F.trim(rest), 1, 80))).cast("string"))
+    each = rows.select(F.explode(F.regexp_extract_all(checked, F.lit(row), 0)).alias("value"))
 
     def clean(k: int):
         said = F.trim(F.regexp_extract("value", row, k))

@@ -158,6 +158,11 @@ def test_files(spark, tmp_path):
     assert files.sql_dump(spark, str(tmp_path / "d.sql"), "city", ["id", "state", "name"]).first() == ("1", "SP", "D'Oeste")
     (tmp_path / "m.sql").write_text("INSERT INTO `city` (id, n) VALUES (1, 'a (b), c'), (2, NULL),(3,'d''e');\n")
     assert [tuple(r) for r in files.sql_dump(spark, str(tmp_path / "m.sql"), "city", ["id", "n"]).collect()] == [("1", "a (b), c"), ("2", None), ("3", "d'e")]
+    (tmp_path / "s.sql").write_text("-- towns; all\nCREATE TABLE t (id int);\nINSERT INTO t VALUES\n(1,'a'),\n  (2, 'b;c') ;\ninsert into t values (3,'d');\n/* end */\nINSERT INTO t (id, n) VALUES (4,\n NULL);")
+    assert sorted(tuple(r) for r in files.sql_dump(spark, str(tmp_path / "s.sql"), "t", ["id", "n"]).collect()) == [("1", "a"), ("2", "b;c"), ("3", "d"), ("4", None)]
+    (tmp_path / "w.sql").write_text("INSERT INTO t VALUES (1,'a','x');\n")
+    with pytest.raises(Exception, match="not 2 plain values"):
+        files.sql_dump(spark, str(tmp_path / "w.sql"), "t", ["id", "n"]).collect()
     assert {"d", "m", "g"} <= {r.name for r in files.listing(spark, str(tmp_path)).collect()}
     (tmp_path / "l.js").write_text("var x = [{name: 'A &amp; B', code: 12}, {name: \"C\", code: '0341'}];")
     assert {tuple(r) for r in files.object_literals(spark, str(tmp_path / "l.js"), ["name", "code"]).collect()} == {("A & B", "12"), ("C", "0341")}
