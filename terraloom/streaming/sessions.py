@@ -78,21 +78,41 @@ def fold_sessions(events: DataFrame, questions: int = 10, recycle: bool = True)
     return rows.select(F.col("key").cast("long").alias("key"), "action").mapInArrow(run, SESSION)
 
 
-def stream_sessions(events: DataFrame, questions: int = 10, recycle: bool = True) -> DataFrame:
-    """The same over a stream, in update mode: state is the queue and the counters of a key."""
+_STATE = "queue array<int>, answered long, correct long, wrong long, active boolean, last long, pending array<struct<at: long, ordinal: long, action: string>>"
+
+
+def stream_sessions(events: DataFrame, questions: int = 10, recycle: bool = True, delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """The same over a stream of (key, ts, ordinal, action), in update mode.
+
+    Rows wait in the key's state until the watermark, ``delay`` behind the latest time seen, has passed them, and are then taken in order of (ts, ordinal): the order
+    in which frames and batches bring them does not matter. Later rows no longer count. A key without rows for ``idle`` loses its state.
+    """
+    quiet = pd.Timedelta(idle) // pd.Timedelta(milliseconds=1)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session = Session(questions, recycle)
+        session, last, pending = Session(questions, recycle), 0, []
         if state.exists:
-            queue, session.answered, session.correct, session.wrong, session.active = state.get
+            queue, session.answered, session.correct, session.wrong, session.active, last, held = state.get
             session.queue = deque(queue)
+            pending = [tuple(p) for p in held]
         for frame in frames:
-            for action in frame.sort_values(["ts", "ordinal"])["action"]:
-                session.take(action)
-        state.update((list(session.queue), session.answered, session.correct, session.wrong, session.active))
-        yield pd.DataFrame([session.row(key[0])], columns=[c.split()[0] for c in SESSION.split(", ")])
-
-    return events.groupBy("key").applyInPandasWithState(step, SESSION, "queue array<int>, answered long, correct long, wrong long, active boolean", "update", GroupStateTimeout.NoTimeout)
+            pending += zip(frame["at"].tolist(), frame["ordinal"].tolist(), frame["action"].tolist(), strict=True)
+        now = state.getCurrentWatermarkMs()
+        ready = sorted(p for p in pending if p[0] // 1000 <= now)
+        pending = [p for p in pending if p[0] // 1000 > now]
+        for at, _, action in ready:
+            session.take(action)
+            last = max(last, at // 1000)
+        if not ready and not pending and last + quiet <= now:
+            state.remove()
+            return
+        state.update((list(session.queue), session.answered, session.correct, session.wrong, session.active, last, pending))
+        state.setTimeoutTimestamp(max(now + 1, min(p[0] // 1000 for p in pending) if pending else last + quiet))
+        if ready:
+            yield pd.DataFrame([session.row(key[0])], columns=[c.split()[0] for c in SESSION.split(", ")])
+
+    rows = events.withWatermark("ts", delay).select(F.col("key").cast("long").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col("ordinal").cast("long").alias("ordinal"), "action")
+    return rows.groupBy("key").applyInPandasWithState(step, SESSION, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
