@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import geo as G
 from ..functions import text as T
+from ._shared import kept
 
 
 def counts_by(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -97,22 +98,37 @@ def longitude_extent(points: DataFrame, group: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles, at place (n - 1) p."""
-    return df.groupBy(group).agg(*[F.percentile(value, p).alias(name) for name, p in at.items()])
+    """Exact interpolated percentiles of the values that are not null, at place (n - 1) p.
+
+    Values are counted and dealt to partitions by ranges of (group, value); sums by partition give the place of each value, so a group may be of any size.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.struct(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = kept(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda by, order: F.coalesce(F.sum("n").over(ahead.partitionBy(*by).orderBy(order)), F.lit(0))
+    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("n"))
+    sums = sums.select("g", "part", before(["g"], "part").alias("off"), F.sum("n").over(Window.partitionBy("g")).alias("total"))
+    placed = dealt.withColumn("own", before(["g", "part"], "v")).join(sums, ["g", "part"]).withColumn("from", F.col("off") + F.col("own"))
+    found = []
+    for name, p in at.items():
+        place = (F.col("total") - 1) * F.lit(float(p))
+        holds = lambda k: F.max(F.when((F.col("from") <= k) & (k < F.col("from") + F.col("n")), F.col("v").cast("double")))
+        found += [holds(F.floor(place)).alias(f"{name} low"), holds(F.ceil(place)).alias(f"{name} high"), F.max(place - F.floor(place)).alias(f"{name} rest")]
+    part = lambda name: F.when(F.col(f"{name} low") == F.col(f"{name} high"), F.col(f"{name} low")).otherwise((1 - F.col(f"{name} rest")) * F.col(f"{name} low") + F.col(f"{name} rest") * F.col(f"{name} high"))
+    done = placed.groupBy("g").agg(*found).select("g", *[part(name).alias(name) for name in at])
+    return df.select(F.struct(group).alias("g")).distinct().join(done, "g", "left").select(f"g.{group}", *at)
 
 
 def profile(df: DataFrame, samples: int = 5) -> DataFrame:
-    """(column, rows, missing, distinct, samples) of every column; one pass over the unpivoted values, pre-aggregated by value."""
+    """(column, rows, missing, distinct, samples) of every column: counts by value, and the least values, of which each task sends on ``samples`` at most."""
     cast = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     long = cast.unpivot([], list(df.columns), "column", "value")
-    by_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("value").isNull(), "value"))
+    by_value = kept(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     blank = F.col("value").isNull() | (F.trim("value") == "")
-    ranked = by_value.withColumn("r", rank)
-    return ranked.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct"),
-        F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("value")))).alias("samples"),
-    )
+    counts = by_value.groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    least = by_value.where("value IS NOT NULL").withColumn("r", rank).where(F.col("r") <= samples).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    return counts.join(least, "column", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def accuracy(df: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
@@ -121,12 +137,19 @@ def accuracy(df: DataFrame, keys: list[str], actual: str, predicted: str) -> Dat
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.avg(hit.cast("double")).alias("accuracy"))
 
 
-def pixel_votes(pixels: DataFrame, unit: str, code: str) -> DataFrame:
-    """(unit, code, winner, runner_up, samples, status) from one row per pixel; pixels without a code do not vote."""
+def pixel_votes(pixels: DataFrame, unit: str, code: str, units: DataFrame | None = None) -> DataFrame:
+    """(unit, code, winner, runner_up, samples, status) from one row per pixel; pixels without a code do not vote.
+
+    With ``units`` each of them has a row: NO_PIXELS where it has no pixel at all, which is not UNCLASSIFIED, where none of its pixels has a code.
+    """
     counted = pixels.where(F.col(code).isNotNull()).groupBy(unit, code).agg(F.count(F.lit(1)).alias("n"))
     order, by = Window.partitionBy(unit).orderBy(F.desc("n"), code), Window.partitionBy(unit)
     ranked = counted.withColumn("samples", F.sum("n").over(by)).withColumn("next", F.coalesce(F.lead("n").over(order), F.lit(0))).withColumn("__r", F.row_number().over(order)).where("__r = 1")
     every = pixels.select(unit).distinct().join(ranked, unit, "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
     share = lambda c: F.when(F.col("samples") > 0, F.col(c) / F.col("samples")).otherwise(F.lit(0.0))
     out = every.select(unit, code, share("n").alias("winner"), share("next").alias("runner_up"), "samples")
-    return out.withColumn("status", C.vote_status(F.col("winner"), F.col("samples")))
+    voted = out.withColumn("status", C.vote_status(F.col("winner"), F.col("samples")))
+    if units is None:
+        return voted
+    every = units.select(unit).distinct().join(voted, unit, "left")
+    return every.fillna(0, ["winner", "runner_up", "samples"]).withColumn("status", F.coalesce("status", F.lit("NO_PIXELS")))

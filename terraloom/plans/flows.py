@@ -33,7 +33,7 @@ def partitioned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "customers")
     code = F.concat(F.lit("n"), F.char(F.col("c_nationkey") + 97), F.lit("x"))
     sinks.write_partitioned_json(table(spark, sf_dir, "customer").select("c_custkey", "c_name", code.alias("country_id")), path, "country_id")
-    return files.partition_of(spark, path, "country_id", "nhx").select("c_custkey", "c_name")
+    return files.partition_of(spark, path, "country_id", "nhx", "c_custkey long, c_name string, country_id string").select("c_custkey", "c_name")
 
 
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,8 @@ def test_aggregates(spark):
     assert [r.k for r in fine.collect()] == [1] and [r.k for r in odd.collect()] == [2]
     pixels = spark.createDataFrame([(1, "a")] * 9 + [(1, "b")] + [(2, None)], "u int, c string")
     assert {r.u: r.status for r in A.pixel_votes(pixels, "u", "c").collect()} == {1: "REVIEW", 2: "UNCLASSIFIED"}
+    units = spark.createDataFrame([(1,), (2,), (3,)], pixels.select("u").schema)
+    assert {r.u: (r.status, r.samples) for r in A.pixel_votes(pixels, "u", "c", units).where("u > 1").collect()} == {2: ("UNCLASSIFIED", 0), 3: ("NO_PIXELS", 0)}
     lons = spark.createDataFrame([(1, 170.0), (1, -170.0), (1, 175.0)], "g int, lon double")
     r = A.longitude_extent(lons, "g").first()
     assert (r.west, r.east, r.width) == (170.0, -170.0, 20.0)
@@ -209,3 +211,13 @@ def test_a_feature_is_done_when_all_its_answers_are(spark):
     clicks = spark.createDataFrame([(k, 5, f, q, m, on, v) for k, (f, q, m, on, v) in enumerate(rows)], "k int, session int, feature int, question string, mode string, on boolean, want string")
     got = Z.judged_clicks(clicks, answers, ["k"], "on").collect()
     assert len(got) == len(rows) and all(r.verdict == r.want for r in got), got
+
+
+def test_percentiles_equal_the_built_in_ones(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-5, 40)])) for _ in range(500)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double").repartition(5)
+    at = {"low": 0.0, "p10": 0.1, "mid": 0.5, "p99": 0.99, "high": 1.0}
+    want = df.groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in at.items()])
+    plain = lambda d: sorted(((r[0] or "", *[None if x is None else round(x, 9) for x in r[1:]]) for r in d.collect()), key=repr)
+    assert plain(A.percentiles(df, "g", "v", at)) == plain(want)
