@@ -182,3 +182,30 @@ def filled(units: DataFrame, id: str, size: float = 10.0, outline: DataFrame | N
     """(id, rings): the units, and each gap as a further part of the unit that :func:`gaps` names for it."""
     found = gaps(units, id, size, outline)
     return units.select(id, "rings").unionByName(found.where(F.col(id).isNotNull()).select(id, "rings"))
+
+
+def snapped(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str, limit: float = 0.25, strict: bool = True, size: float = 10.0) -> DataFrame:
+    """(point_id, x, y, distance): points (x, y) inside a shape as they are, others at the nearest place of any border, at most ``limit`` map units away.
+
+    Borders are looked for in tiles as wide as an eighth of the limit, a quarter, a half and the whole, each time for the points for which none has been found, so that points near to a border
+    meet few segments. Ties go to the least place from the west. A point farther away is an error, or, if not ``strict``, has a null place.
+    """
+    at = kept(points.select(point_id, "x", "y"))
+    inside = kept(containers(at, shapes, point_id, shape_id, size).select(point_id).distinct())
+    lines = kept(P.segments(shapes, shape_id, 15).select(*P._ENDS).distinct())
+    done = at.join(inside, point_id, "left_semi").withColumn("distance", F.lit(0.0))
+    left = at.join(inside, point_id, "left_anti")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (dx * dx + dy * dy)))
+    for part in (8, 4, 2, 1):
+        reach = limit / part
+        steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+        cell = lambda c: F.floor(F.col(c) / reach).cast("long")  # noqa: B023, E731
+        near = left.withColumn("tx", F.explode(F.transform(steps, lambda d: cell("x") + d))).withColumn("ty", F.explode(F.transform(steps, lambda d: cell("y") + d)))  # noqa: B023
+        met = near.join(P.tiled(lines, reach), ["tx", "ty"]).withColumn("t", t)
+        met = met.select(point_id, "x", "y", (F.col("ax") + F.col("t") * dx).alias("nx"), (F.col("ay") + F.col("t") * dy).alias("ny"))
+        met = met.withColumn("distance", F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))).where(F.col("distance") <= reach)
+        best = kept(met.groupBy(point_id).agg(F.min(F.struct(F.round("distance", 12).alias("d"), "nx", "ny", "distance")).alias("b")).select(point_id, F.col("b.nx").alias("x"), F.col("b.ny").alias("y"), "b.distance"))
+        done, left = done.unionByName(best), left.join(best.select(point_id), point_id, "left_anti")
+    far = F.raise_error(F.concat(F.col(point_id).cast("string"), F.lit(f" is more than {limit:g} away from every shape"))).cast("double") if strict else F.lit(None).cast("double")
+    return done.unionByName(left.select(point_id, far.alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("distance")))

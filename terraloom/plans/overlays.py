@@ -11,7 +11,7 @@ from ..operators import spatial as S
 from ..operators import thinning as T
 from .coverages import _SQUARES, squares
 from .flows import _grid_boxes, _supplier_boxes
-from .tables import SQL_LAT, SQL_LON, boxes, table
+from .tables import SQL_LAT, SQL_LON, boxes, customers, table
 
 
 def _holed(df: DataFrame, id: str, hole: tuple[float, float, float, float]) -> DataFrame:
@@ -47,6 +47,13 @@ def polygon_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.parents(_customers(spark, sf_dir), _suppliers(spark, sf_dir), "id", "rid").select("id", "rid", "how")
 
 
+def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers inside a supplier's shape, or at the nearest place of a border one degree away at most."""
+    points = customers(spark, sf_dir).select("c_custkey", (F.col("lon") + 0.001).alias("x"), (F.col("lat") + 0.002).alias("y"))
+    found = O.snapped(points, _suppliers(spark, sf_dir), "c_custkey", "rid", 1.0, strict=False)
+    return found.where("distance IS NOT NULL").select("c_custkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("distance", 6).alias("distance"))
+
+
 def atomic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area by the set of customers' boxes that cover it."""
     c = boxes(table(spark, sf_dir, "customer"), "c_custkey", F.lit(4.0)).groupBy("west", "south", "east", "north").agg(F.min("c_custkey").alias("id"))
@@ -78,7 +85,7 @@ def shape_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.validity(shapes, "id", 4.0).select("id", "crossings", "valid").join(fixed, "id")
 
 
-QUERIES = {f.__name__: f for f in (polygon_argmax, polygon_overlaps, polygon_parents, atomic_cells, coverage_thinned, coverage_gaps, shape_repair)}
+QUERIES = {f.__name__: f for f in (polygon_argmax, polygon_overlaps, polygon_parents, snapped_points, atomic_cells, coverage_thinned, coverage_gaps, shape_repair)}
 
 _GRID = f"""
     g AS (SELECT floor({SQL_LON.format(k="c_custkey")})::DOUBLE AS west, floor({SQL_LAT.format(k="c_custkey")})::DOUBLE AS south, min(c_custkey) AS id FROM customer GROUP BY 1, 2),
@@ -106,6 +113,13 @@ ORACLES = {
       h AS (SELECT q.id, count(*) AS n, min(rid) AS rid FROM q, r WHERE x > w2 AND x < w2 + 6 AND y > s2 AND y < s2 + 6 AND NOT (x > w2 + 2 AND x < w2 + 4 AND y > s2 + 2 AND y < s2 + 4) GROUP BY 1),
       t AS ({_TOP})
       SELECT g.id, CASE WHEN h.n = 1 THEN h.rid ELSE t.rid END AS rid, CASE WHEN h.n = 1 THEN 'point' WHEN t.rid IS NULL THEN 'none' ELSE 'overlap' END AS how FROM g LEFT JOIN h ON h.id = g.id LEFT JOIN t ON t.id = g.id""",
+    "snapped_points": f"""WITH {_GRID}, c AS (SELECT c_custkey, {SQL_LON.format(k="c_custkey")} + 0.001::DOUBLE AS x, {SQL_LAT.format(k="c_custkey")} + 0.002::DOUBLE AS y FROM customer),
+      i AS (SELECT DISTINCT c_custkey FROM c, r WHERE x > w2 AND x < w2 + 6 AND y > s2 AND y < s2 + 6 AND NOT (x > w2 + 2 AND x < w2 + 4 AND y > s2 + 2 AND y < s2 + 4)),
+      b(x1, y1, x2, y2) AS (VALUES (0, 0, 6, 0), (0, 6, 6, 6), (0, 0, 0, 6), (6, 0, 6, 6), (2, 2, 4, 2), (2, 4, 4, 4), (2, 2, 2, 4), (4, 2, 4, 4)),
+      n AS (SELECT c_custkey, x, y, least(greatest(x, w2 + x1), w2 + x2) AS nx, least(greatest(y, s2 + y1), s2 + y2) AS ny FROM c ANTI JOIN i USING (c_custkey), r, b),
+      d AS (SELECT *, sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS d FROM n)
+      SELECT c_custkey, round(nx, 6) AS x, round(ny, 6) AS y, round(d, 6) AS distance FROM d WHERE d <= 1 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round(d, 12), nx, ny) = 1
+      UNION ALL SELECT c_custkey, round(x, 6), round(y, 6), 0.0::DOUBLE FROM c SEMI JOIN i USING (c_custkey)""",
     "atomic_cells": f"""WITH {_GRID}, u AS (SELECT west + i AS x, south + j AS y, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM g, range(4) a(i), range(4) b(j) GROUP BY 1, 2)
       SELECT members, count(*)::DOUBLE AS area FROM u GROUP BY members""",
     "coverage_thinned": f"""WITH RECURSIVE {_SQUARES}, {_SIDES},

@@ -214,3 +214,25 @@ def test_chains_and_cycles(spark):
     ended, circles = P.chains(links)
     assert sorted(map(tuple, ended.collect())) == [(1, 3, 2), (2, 3, 1), (3, 3, 0), (5, 5, 0)]
     assert sorted(map(tuple, P.cycles(circles).collect())) == [(7, 7, 0), (8, 7, 2), (9, 7, 1)]
+
+
+def test_points_snap_to_the_nearest_border(spark, shapes):
+    rng = random.Random(12)
+    points = [(k, rng.uniform(-1, 8), rng.uniform(-1, 8)) for k in range(150)]
+    df = spark.createDataFrame(points, "p long, x double, y double")
+    got = {r.p: r for r in O.snapped(df, made(spark, shapes), "p", "id", 0.8, strict=False, size=2.0).collect()}
+
+    def away(x, y, a, b):
+        t = max(0, min(1, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)))
+        return math.hypot(a[0] + t * (b[0] - a[0]) - x, a[1] + t * (b[1] - a[1]) - y)
+
+    for k, x, y in points:
+        inside = any(lo <= y <= hi for _, rings in shapes for lo, hi in spans(rings, x))
+        d = 0.0 if inside else min(away(x, y, a, b) for _, rings in shapes for a, b in edges(rings))
+        if d > 0.8:
+            assert got[k].x is None and got[k].distance is None
+        else:
+            assert abs(got[k].distance - d) < 1e-9 and abs(math.hypot(got[k].x - x, got[k].y - y) - d) < 1e-9
+    assert sum(r.distance is None for r in got.values()) > 5 and sum(0 < (r.distance or 0) < 0.8 for r in got.values()) > 20
+    with pytest.raises(Exception, match="away from every shape"):
+        O.snapped(df, made(spark, shapes), "p", "id", 0.01).collect()
