@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import coverages, distance, evidence, flows, overlays, relational, rules
+from .plans import coverages, distance, evidence, flows, overlays, relational, rules, settlements
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (distance, relational, flows, evidence, coverages, rules, overlays):
+for _module in (distance, relational, flows, evidence, coverages, rules, overlays, settlements):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -110,14 +110,16 @@ def cell_range_join(left: DataFrame, right: DataFrame, km: float, size: float =
     return a.join(b, ["__cy", "__cx"]).drop("__cy", "__cx").withColumn("km", dist).where(F.col("km") <= km)
 
 
-def graded_match(candidates: DataFrame, places: DataFrame) -> DataFrame:
-    """Best place for each candidate by (name class, km).
+def graded_match(candidates: DataFrame, places: DataFrame, group: str | None = None, place_group: str | None = None) -> DataFrame:
+    """Best place for each candidate by (name class, km); with ``group`` only places whose ``place_group`` equals it.
 
     ``candidates``: id, primary_key, ascii_key, alternates (array), population, lat, lon; ``places``: place_id, key, english_key,
     rlat, rlon, ord. Classes: 0 primary name, 1 ASCII name, 2 and 3 the first alternate that equals the English or the
     own name, 4 by coordinates. Limits in km (fixed values): 20 for classes 0 to 2, 2 for 3, 1 for 4.
     """
     pairs = cell_range_join(candidates, places, 20.0)
+    if group:
+        pairs = pairs.where(F.col(group) == F.col(place_group))
     hit = F.filter("alternates", lambda a: (a == F.col("english_key")) | (a == F.col("key")))
     first = F.try_element_at(hit, F.lit(1))
     grade = F.when(F.col("primary_key") == F.col("key"), 0).when(F.col("ascii_key") == F.col("key"), 1).when(first.isNotNull() & (first == F.col("english_key")), 2).when(first.isNotNull(), 3).otherwise(4)
