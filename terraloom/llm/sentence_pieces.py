@@ -10,7 +10,7 @@ until none is live - the order in which the model's own encoder merges.  Charact
 Work per slice of text is bounded by SLICE_CHARS or the longest text; no shuffle.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the character U+2581 in a text decodes to a
-space, as in the model's own decoder; repeated rows and null ids are kept; other columns of the input are not used.
+space, as in the model's own decoder; repeated rows and null ids are kept; an empty table gives an empty result; other columns of the input are not used.
 """
 
 from __future__ import annotations

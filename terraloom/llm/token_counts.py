@@ -10,7 +10,7 @@ a boundary are allocated by an explicit rule:
 A token that holds only part of a character's bytes counts as holding the character.  No shuffle: each text is counted by itself.
 
 Defined cases: null and empty texts have no tokens, and one empty section; empty sections have none; repeated rows and
-null ids are kept; other columns of the input are not used.
+null ids are kept; an empty table gives an empty result; other columns of the input are not used.
 """
 
 from __future__ import annotations
