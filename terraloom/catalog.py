@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import coverages, distance, evidence, flows, overlays, relational, rules, settlements
+from .plans import coverages, distance, evidence, flows, overlays, relational, rules, settlements, territories
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (distance, relational, flows, evidence, coverages, rules, overlays, settlements):
+for _module in (distance, relational, flows, evidence, coverages, rules, overlays, settlements, territories):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
