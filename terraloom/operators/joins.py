@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import similar
 
 
 class DuplicateKey(ValueError):
@@ -94,11 +95,8 @@ def pairs_below(df: DataFrame, id: str, block: list[str]) -> DataFrame:
 
 
 def suggest(left: DataFrame, right: DataFrame, scope: list[str], left_id: str, left_name: str, right_name: str, n: int = 5) -> DataFrame:
-    """The n most similar names of the same scope for each left row; similarity runs on pairs of one block only."""
-    keyed = left.withColumn("__a", T.ascii_key(F.col(left_name))).join(right.withColumn("__b", T.ascii_key(F.col(right_name))), scope)
-    scored = keyed.withColumn("ratio", T.match_ratio(F.col("__a"), F.col("__b"))).drop("__a", "__b")
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("ratio"), right_name))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n)
+    """The n most similar names of the same scope for each left row, by :func:`similar.top_similar`."""
+    return similar.top_similar(left, right, scope, left_id, left_name, right_name, n)
 
 
 def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, stages: list[tuple[str, Column, Column]], scope: list[str]) -> DataFrame:
@@ -134,15 +132,16 @@ def one_edit_pairs(df: DataFrame, id: str, scope: list[str], key: str) -> DataFr
 def one_edit_matches(left: DataFrame, right: DataFrame, scope: list[str], left_id: str, right_id: str, left_key: Column, right_key: Column, runner_up: int = 3) -> DataFrame:
     """(left_id, right_id) where one right key of the scope is one edit away and every other is ``runner_up`` edits or more.
 
-    Candidates meet in a common one-deletion form, so no scope is compared pair by pair to find them.
+    Candidates meet in a common one-deletion form, runners-up in a third of their key; ``runner_up`` is 3 at most.
     """
     a = left.select(left_id, *scope, left_key.alias("__a")).where("__a <> ''")
     b = right.select(right_id, *scope, right_key.alias("__b")).where("__b <> ''")
     forms = a.withColumn("__d", F.explode(_deletions(F.col("__a")))).join(b.withColumn("__d", F.explode(_deletions(F.col("__b")))), [*scope, "__d"])
     near = forms.where(F.levenshtein("__a", "__b", 1) == 1).select(left_id, right_id, *scope, "__a").distinct()
     single = near.join(near.groupBy(left_id).count().where("count = 1").select(left_id), left_id)
-    others = single.join(b.select(*scope, F.col(right_id).alias("__o"), "__b"), scope).where(F.col("__o") != F.col(right_id))
-    close = others.where((F.abs(F.length("__a") - F.length("__b")) < runner_up) & (F.levenshtein("__a", "__b", runner_up - 1) >= 0)).select(left_id).distinct()
+    held = b.groupBy(*scope, "__b").agg(F.count_distinct(right_id).alias("__n"), F.min(right_id).alias("__o"))
+    around = similar.within_two_edits(single, b, scope, "__a", "__b", 2).where(F.col("edits") < runner_up).join(held, [*scope, "__b"])
+    close = single.join(around, [*scope, "__a"]).where((F.col("__n") > 1) | (F.col("__o") != F.col(right_id))).select(left_id).distinct()
     return single.join(close, left_id, "left_anti").select(left_id, right_id)
 
 
