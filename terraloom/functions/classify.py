@@ -73,6 +73,11 @@ def label_spacing(zoom: Column) -> Column:
     return out.otherwise(SPACING[-1][1])
 
 
+def spacing_at(zoom: float) -> int:
+    """:func:`label_spacing` of a known zoom."""
+    return next(pixels for bound, pixels in SPACING if bound is None or zoom < bound)
+
+
 def label_delay(tier: Column) -> Column:
     """The most zoom levels by which crowding may delay a label."""
     return F.when(tier <= 2, 0.0).when(tier == 3, 0.5).when(tier == 4, 1.25).otherwise(1.75)
@@ -119,6 +124,21 @@ def vote_status(winner: Column, samples: Column) -> Column:
     return F.when(samples == 0, "UNCLASSIFIED").when((winner >= 0.80) & (samples >= 20), "HIGH").when(winner >= 0.60, "REVIEW").otherwise("UNCERTAIN")
 
 
+#: Colours of right and wrong answers, and how much of them one answered right away shows (fixed values).
+RIGHT, WRONG, LEAST_STRENGTH = (34, 197, 94), (239, 68, 68), 0.25
+
+
+def feature_colour(right: Column, wrong: Column, total: Column, normal: tuple[int, int, int], shading: bool = True) -> Column:
+    """Colour (r, g, b, a) of a feature with ``total`` answers: red to green by accuracy, over the normal colour by completion; not answered at all, it is
+    the normal colour, seen only with shading."""
+    done = right + wrong
+    accuracy = F.try_divide(right, done)
+    strength = F.try_divide(done, total) * (1 - LEAST_STRENGTH) + LEAST_STRENGTH
+    mixed = lambda n, w, r: F.when(done > 0, n * (1 - strength) + (w * (1 - accuracy) + r * accuracy) * strength).otherwise(F.lit(float(n)))
+    channels = [mixed(n, w, r).alias(c) for c, n, w, r in zip("rgb", normal, WRONG, RIGHT, strict=True)]
+    return F.struct(*channels, F.when(done > 0, 1.0).otherwise(1.0 if shading else 0.0).alias("a"))
+
+
 def colour_between(share: Column, low: tuple[int, int, int] = (220, 38, 38), high: tuple[int, int, int] = (22, 163, 74)) -> Column:
     """CSS colour at a share of the way between two."""
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))

@@ -214,9 +214,9 @@ def display_name(native: Column, display: Column, answer: Column) -> Column:
 
 
 def stable_unit(c: Column, most: float = 0.18) -> Column:
-    """A stable number in [0, most) from a string: hash = hash * 31 + code, modulo 2 ** 32."""
+    """A stable number in [0, most) from a string: hash = hash * 31 + code, modulo 2 ** 32; its last three digits count."""
     code = F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda h, x: F.pmod(h * 31 + F.ascii(x), F.lit(1 << 32)))
-    return code / F.lit(float(1 << 32)) * most
+    return code % 1000 / F.lit(1000.0) * most
 
 
 def array_id(codes: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
 from ..functions import text as T
 
 
@@ -97,6 +98,25 @@ def judged_clicks(clicks: DataFrame, answers: DataFrame, order: list[str], runni
     return judged.withColumn("verdict", verdict.when(F.coalesce("__hit", F.lit(False)), "right").otherwise("wrong")).drop("__hit", "__n", "__k", "__done")
 
 
+def feature_colours(features: DataFrame, statuses: DataFrame, id: str, normal: tuple[int, int, int] = (150, 150, 150), shading: bool = True, visible: DataFrame | None = None) -> DataFrame:
+    """(session, id, r, g, b, a) of the features (id, ``answers``) with an answer in the session's ``statuses`` (session, answer, status: correct or wrong).
+
+    All other features have the colour of :func:`~terraloom.functions.classify.feature_colour` for no answers. In hard mode ``visible`` (session, answer) says which
+    answer shows: features without it look as if not answered. An answer with both statuses counts as correct; an answer that a feature lists twice counts once,
+    but as two of its total.
+    """
+    given = statuses.where("status IN ('correct', 'wrong')").groupBy("session", "answer").agg(F.min("status").alias("status"))
+    each = features.select(id, F.size("answers").alias("__n"), F.explode(F.array_distinct("answers")).alias("answer")).join(given, "answer")
+    seen = F.lit(True)
+    if visible is not None:
+        each = each.join(visible.select("session", "answer", F.lit(True).alias("__seen")).distinct(), ["session", "answer"], "left")
+        seen = F.coalesce(F.max("__seen"), F.lit(False))
+    n = lambda status: F.when(seen, F.count_if(F.col("status") == status)).otherwise(0)
+    counted = each.groupBy("session", id).agg(n("correct").alias("__right"), n("wrong").alias("__wrong"), F.first("__n").alias("__n"))
+    colour = C.feature_colour(F.col("__right"), F.col("__wrong"), F.col("__n"), normal, shading)
+    return counted.select("session", id, colour.alias("__c")).select("session", id, "__c.*")
+
+
 def sections(listing: DataFrame, section: str, item: str, order: str) -> DataFrame:
     """(section, items): the items of each section in order; sections without an item go."""
     found = listing.where(F.col(item).isNotNull()).groupBy(section).agg(F.array_sort(F.collect_list(F.struct(order, item))).alias("s"))

@@ -249,7 +249,7 @@ ORACLES = {
     "phone_codes": """WITH b AS (SELECT *, lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 9, '2') AS n FROM customer),
       d AS (SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 1, 2, 4) THEN '0' || n WHEN c_custkey % 6 = 3 THEN NULL WHEN n LIKE '27%' THEN '0' || n[3:] WHEN n LIKE '0%' THEN n END AS said FROM b)
       SELECT c_custkey, CASE WHEN said[1:3] BETWEEN '010' AND '059' THEN said[1:3] END AS area FROM d""",
-    "stable_hash": "SELECT s_suppkey, round(list_reduce([0::HUGEINT] || list_transform(string_split(s_name, ''), lambda c: ord(c)::HUGEINT), lambda h, c: (h * 31 + c) % 4294967296)::DOUBLE / 4294967296 * 0.18, 9) AS unit FROM supplier",
+    "stable_hash": "SELECT s_suppkey, round(list_reduce([0::HUGEINT] || list_transform(string_split(s_name, ''), lambda c: ord(c)::HUGEINT), lambda h, c: (h * 31 + c) % 4294967296)::BIGINT % 1000 / 1000::DOUBLE * 0.18, 9) AS unit FROM supplier",
     "lookup_report": """WITH f AS (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1) SELECT status AS segment, count(*) AS n FROM customer JOIN f ON o_custkey = c_custkey GROUP BY 1
       UNION ALL SELECT '(missing keys)', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM f)""",
     "exact_one_join": """WITH p AS (SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100))
