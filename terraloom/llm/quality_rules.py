@@ -25,8 +25,9 @@ from ._text import SPACE, Slice, gram_hash, mix, parts, repeated, slices, span_h
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of lines, and of their characters, that repeat an earlier line.
 LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
-#: The limits say nothing where fewer characters, or lines, repeat: a text of three lines that ends as it began is not repetitive.
-LEAST_CHARS, LEAST_LINES = 200, 3
+#: A share is over its limit where chance alone, at the limit, would seldom (in one text of twenty) give as much to a text of its length: the limit plus so many
+#: standard errors, the error being that of a share of the text's words (n-grams) or lines.  At every length; a text of three lines needs more than one alike.
+DEVIATIONS = 1.64
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -90,13 +91,22 @@ def _grams_at(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+def _error(limit: float) -> float:
+    """What DEVIATIONS standard errors of a share at the limit come to, times the root of the number of items."""
+    return DEVIATIONS * (limit * (1 - limit)) ** 0.5
+
+
+def _over(part: np.ndarray, whole: np.ndarray, items: np.ndarray, limit: float) -> np.ndarray:
+    return part > (limit + _error(limit) / np.sqrt(np.maximum(items, 1))) * whole
+
+
 def _judge(m: dict[str, np.ndarray], limits: Mapping[int, float]) -> None:
     """Adds ``base_failed`` and ``kept`` to the measures; ``dup_gram_chars`` is by ascending length."""
     m["base_failed"] = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
-    bad = (m["n_dup_lines"] >= LEAST_LINES) & (m["n_dup_lines"] > LINE_LIMIT * m["n_lines"])
-    bad |= (m["dup_line_chars"] >= LEAST_CHARS) & (m["dup_line_chars"] > LINE_CHAR_LIMIT * m["line_chars"])
-    most = np.array([limits[n] for n in sorted(limits)]) * m["word_chars"][:, None]
-    bad |= ((m["dup_gram_chars"] >= LEAST_CHARS) & (m["dup_gram_chars"] > most)).any(axis=1)
+    bad = _over(m["n_dup_lines"], m["n_lines"], m["n_lines"], LINE_LIMIT)
+    bad |= _over(m["dup_line_chars"], m["line_chars"], m["n_lines"], LINE_CHAR_LIMIT)
+    for k, n in enumerate(sorted(limits)):
+        bad |= _over(m["dup_gram_chars"][:, k], m["word_chars"], m["n_words"], limits[n])
     m["kept"] = ~m["base_failed"] & ~bad
 
 
@@ -157,7 +167,9 @@ def _oracle() -> str:
     )
     joins = "\n".join(f"LEFT JOIN g{n} ON g{n}.k = d.k" for n in (3, *GRAM_LIMITS))
     grams = ", ".join(f"coalesce(g{n}.c, 0)" for n in GRAM_LIMITS)
-    fine = " AND ".join(f"(coalesce(g{n}.c, 0) < {LEAST_CHARS} OR coalesce(g{n}.c, 0) <= {v}::DOUBLE * word_chars)" for n, v in GRAM_LIMITS.items())
+    # Numbers with an exponent are doubles.
+    most = lambda limit, items, whole: f"({limit}e0 + {_error(limit)!r}e0 / sqrt(greatest({items}, 1)::DOUBLE)) * {whole}"
+    fine = " AND ".join(f"coalesce(g{n}.c, 0) <= {most(v, 'len(ws)', 'word_chars')}" for n, v in GRAM_LIMITS.items())
     return f"""
     WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(text, '') AS text,
                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -175,7 +187,7 @@ def _oracle() -> str:
           FROM d {joins} LEFT JOIN l ON l.k = d.k)
     SELECT a.* EXCLUDE (fine), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
       n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {REPEAT_PERCENT} * n_words AND fine
-        AND (n_dup_lines < {LEAST_LINES} OR n_dup_lines <= {LINE_LIMIT}::DOUBLE * n_lines) AND (dup_line_chars < {LEAST_CHARS} OR dup_line_chars <= {LINE_CHAR_LIMIT}::DOUBLE * line_chars) AS kept
+        AND n_dup_lines <= {most(LINE_LIMIT, 'n_lines', 'n_lines')} AND dup_line_chars <= {most(LINE_CHAR_LIMIT, 'n_lines', 'line_chars')} AS kept
     FROM a""".replace("{fine}", fine)
 
 

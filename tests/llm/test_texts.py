@@ -32,8 +32,10 @@ def plain_quality(text):
     repeat, dup = len(covered(3, True)), sum(map(len, later))
     grams = [sum(len(words[j]) for j in covered(n, False)) for n in quality_rules.GRAM_LIMITS]
     failed = len(words) < 50 or 100 * repeat > 50 * len(words)
-    bad = len(later) >= 3 and len(later) > 0.3 * len(lines) or dup >= 200 and dup > 0.2 * sum(map(len, lines))
-    bad = bad or any(g >= 200 and g > share * sum(map(len, words)) for g, share in zip(grams, (0.15, 0.14, 0.13, 0.12, 0.11, 0.10), strict=True))
+    # A share is over its limit by more than 1.64 standard errors of a share of so many words or lines.
+    over = lambda share, items, limit: items > 0 and (share - limit) > 1.64 * (limit * (1 - limit) / items) ** 0.5
+    bad = bool(lines) and (over(len(later) / len(lines), len(lines), 0.3) or over(dup / sum(map(len, lines)), len(lines), 0.2))
+    bad = bad or any(over(g / sum(map(len, words)), len(words), limit) for g, limit in zip(grams, (0.15, 0.14, 0.13, 0.12, 0.11, 0.10), strict=True) if words)
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(later), repeat, dup, failed, not failed and not bad, grams)
 
 
@@ -51,6 +53,8 @@ def test_quality_measures(spark, documents):
         assert (i, *plain, tuple(grams)) in got, t
     verdicts = {(r.base_failed, r.kept) for r in quality_rules.measure(documents(rows)).collect()}
     assert verdicts == {(True, False), (False, True), (False, False)}
+    short = [(1, "\n".join(f"{k} " + "x y z u v w " * (k == 0) + " ".join(f"w{k}{j}" for j in range(30)) for k in range(2)) + "\n0"), (2, "\n".join(["p q r s t u"] + [f"v{k} w{k} x{k} y{k} z{k}" for k in range(12)] + ["p q r s t u"]))]
+    assert {r.doc_id: r.kept for r in quality_rules.measure(documents(short)).collect()} == {1: True, 2: True}  # a few words that come again are no verdict on a short text
     kept = quality_rules.keep(documents(rows + [(900, " ".join(f"w{k}" for k in range(60)))]))
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in rows if plain_quality(t)[-2]] + [900] and kept.columns == documents(rows).columns
     assert quality_rules.measure(documents([])).count() == 0
