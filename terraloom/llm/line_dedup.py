@@ -12,7 +12,8 @@ single suffix or ends; documents without an open group drop out.  Up to ``min_wo
 powers are counted too (two overlapping ones of 2**k), since there the length decides whether a run has words enough.
 
 So each suffix knows the longest of these prefixes that occurs earlier; overlapping ones of one document with the same
-displacement to the copy make up its maximal repeated runs.  A run with ``min_words`` words or more is deleted wherever an
+displacement to the copy cover its repeated runs, which is all that deletion asks.  The runs themselves (:func:`repeated_runs`) are the longest common prefixes
+with an earlier suffix: :func:`longest_earlier` splits each interval by the ranks of half as many lines, then half of those, down to one.  A run with ``min_words`` words or more is deleted wherever an
 earlier copy of it exists, so the first copy stays.
 
 Lines are compared whole, by 128-bit hash until they are numbered; words are runs outside ``[\\x20\\x09-\\x0D]``.  Lines without
@@ -44,7 +45,6 @@ MIN_WORDS = 5
 #: The largest table that is broadcast, by rows and by lines in their lists: about 40 MB; a larger one is joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_LINES = 500_000, 1_000_000
 _BUCKET = 1 << 16
-_RUN = StructType().add("line", "integer").add("lines", "integer").add("copies", "long")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def _in_document():
@@ -144,13 +144,16 @@ def _refined(now: DataFrame) -> DataFrame:
     return pairs.withColumn("inside", inside).join(sums, ["r", "bucket"]).select("r", "next", rank.alias("rank"), "m", "low")
 
 
-def suffix_array(keyed: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def suffix_array(keyed: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS, levels: list[DataFrame] | None = None) -> DataFrame:
     """(start, at, line_no, words, pos, r, length, copies, source) of each suffix: in order of (r, pos) they are the suffix array.
 
     ``length`` is the longest prefix found that occurs earlier (0: none), ``copies`` how often it occurs, ``source`` where first.
+    ``levels``, if given, gets the ranks by the first 1, 2, 4, ... lines, for :func:`longest_earlier`.
     """
     names = ["start", "at", "line_no", "words", "last", "pos", "r", "n", "length", "copies", "source"]
     now, k, done = written(_paired(_suffixes(keyed, texts), 0, min_words), "suffixes"), 0, []
+    if levels is not None:
+        levels.append(now)
     while k < min_words.bit_length() or not now.where("busy").isEmpty():
         joined = now.join(_refined(now), ["r", "next"], "left")
         for n in _between(k, min_words):
@@ -165,6 +168,8 @@ def suffix_array(keyed: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS)
         joined = joined.withColumn("r", F.coalesce("rank", "r")).withColumn("n", F.coalesce("m", F.lit(1).cast("long"))).select(names)
         k += 1
         now = written(_paired(joined, k, min_words), "suffixes")
+        if levels is not None:
+            levels.append(now)
         if k >= min_words.bit_length():
             done.append(now.where("NOT busy").select(names))
             now = now.where("busy")
@@ -173,8 +178,42 @@ def suffix_array(keyed: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS)
     return now.drop("last", "n", "next", "busy")
 
 
+def longest_earlier(levels: list[DataFrame]) -> DataFrame:
+    """(pos, length, source, copies): the longest prefix of each suffix that occurs earlier, where first, and how often in all.
+
+    An interval of the suffix array with a common prefix of ``length`` lines is a row for each of its members; the least is ``source``.  Only the first suffix
+    of each interval twice as long is a member: the others have their answer further down, and all of one such interval share with an outsider what its first
+    shares.  So an interval is split by the next 2**k lines, k descending: parts of two members or more are intervals of their own, and their
+    first members stay to be told apart by fewer lines.  Each suffix waits for its answer in one interval only, so the rows stay as many.
+    """
+    whole = lambda k: F.col("at") + (1 << k) - 1 <= F.col("last")
+    # Where a suffix starts, and where its stretch ends.
+    place = F.struct("pos", "end").alias("place")
+    alike, parts = [], []
+    for k, now in enumerate(levels):
+        now = now.where((F.col("n") > 1) & whole(k)).withColumn("end", F.col("pos") + F.col("last") - F.col("at"))
+        alike.append(now.select(F.col("pos").alias("after"), F.col("r").alias("key")))
+        twice = now.where(whole(k + 1)).groupBy("r", "next").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("w")).select("r", "place", "w")
+        members = twice.unionByName(now.where(~whole(k + 1)).select("r", place, F.lit(1).cast("long").alias("w")))
+        heads = members.groupBy("r").agg(F.min("place.pos").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        parts.append(members.join(heads, "r").select(F.lit(1 << k).cast("long").alias("length"), "source", "place", "w"))
+    rows = parts[-1]
+    for k in range(len(levels) - 2, -1, -1):
+        after = F.col("place.pos") + F.col("length")
+        inside = rows.withColumn("after", F.when(after + (1 << k) - 1 <= F.col("place.end"), after).otherwise(-1 - F.col("place.pos")))
+        keyed = written(inside.join(alike[k], "after", "left").drop("after"), "intervals")
+        groups = keyed.where("key IS NOT NULL").groupBy("length", "source", "key").agg(F.min("place").alias("low"), F.sum("w").alias("whole"), F.count(F.lit(1)).alias("n"))
+        longer = keyed.join(groups.where("n > 1"), ["length", "source", "key"]).select((F.col("length") + (1 << k)).alias("length"), F.col("low.pos").alias("source"), "place", "w")
+        stay = groups.select("length", "source", F.col("low").alias("place"), F.col("whole").alias("w")).unionByName(keyed.where("key IS NULL").select("length", "source", "place", "w"))
+        shared = stay.groupBy("length", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        rows = longer.unionByName(stay.join(shared, ["length", "source"]).select("length", "source", "place", "w")).unionByName(parts[k])
+    rows = rows.select("length", "source", "place.pos", "w")
+    rows = written(rows, "intervals")
+    return rows.join(rows.groupBy("length", "source").agg(F.sum("w").alias("copies")), ["length", "source"]).where("pos > source").select("pos", "length", "source", "copies")
+
+
 def _runs(pos: np.ndarray, words: np.ndarray, length: np.ndarray, source: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs that are long enough: overlapping prefixes with one displacement; ``pos`` ascends."""
+    """Starts and ends of the runs that are long enough: overlapping prefixes with one displacement; ``pos`` ascends."""
     total = np.concatenate([[0], np.cumsum(words)])
     here = np.arange(len(pos))
     end = np.minimum(here + length, len(pos))
@@ -192,12 +231,11 @@ def _runs(pos: np.ndarray, words: np.ndarray, length: np.ndarray, source: np.nda
 
 
 def _cleaned(docs: DataFrame, min_words: int, text: str, doc_id: str) -> DataFrame:
-    """Every row as struct ``row`` with its ``doc_id``, ``n_lines``, the numbers of its ``deleted`` lines, the text ``kept``, and its
-    ``runs`` (first line, lines, copies); a later copy of a whole text is one run, of 0 copies that are not counted."""
+    """Every row as struct ``row`` with its ``doc_id``, ``n_lines``, the numbers of its ``deleted`` lines, and the text ``kept``."""
     min_words = max(1, min_words)
     keyed = _keyed(docs, text, doc_id)
     texts = _texts(keyed)
-    lists = suffix_array(keyed, texts, min_words).groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "line_no", "words", "length", "source", "copies"))).alias("lines"), F.max("length").alias("most"))
+    lists = suffix_array(keyed, texts, min_words).groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "line_no", "words", "length", "source"))).alias("lines"), F.max("length").alias("most"))
     marks = texts.join(written(lists.where("most > 0").drop("most"), "lists"), "start", "left").where("copied OR lines IS NOT NULL").select("text_key", F.col("row_key").alias("first_key"), "lines")
     marks = written(marks, "marks")
     size = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("lines"), F.lit(0))), F.lit(0))).first()
@@ -213,36 +251,50 @@ def _cleaned(docs: DataFrame, min_words: int, text: str, doc_id: str) -> DataFra
             texts, marked = batch.column(1).field(place), batch.column(3)
             kept: list[str | None] = [None] * batch.num_rows
             gone: list[list[int]] = [[] for _ in kept]
-            found: list[list[dict]] = [[] for _ in kept]
             for i in np.flatnonzero(marked.is_valid()):
                 said = str(texts[i].as_py() or "")
                 if marked[i].as_py():
                     if len(_WORD.findall(said)) >= min_words:
                         gone[i] = [k for k, line in enumerate(said.split("\n")) if _WORD.search(line)]
-                        found[i] = [{"line": gone[i][0], "lines": len(gone[i]), "copies": 0}]
                 elif batch.column(4)[i].is_valid:
-                    _, pos, number, words, length, source, copies = (batch.column(4)[i].values.field(k).to_numpy() for k in range(7))
+                    _, pos, number, words, length, source = (batch.column(4)[i].values.field(k).to_numpy() for k in range(6))
                     edge = np.zeros(len(pos) + 1, np.int64)
                     for a, b in zip(*_runs(pos, words, length, source, min_words), strict=True):
                         edge[a] += 1
                         edge[b] -= 1
-                        found[i].append({"line": int(number[a]), "lines": int(b - a), "copies": int(copies[a])})
                     gone[i] = number[np.cumsum(edge[:-1]) > 0].tolist()
                 if gone[i]:
                     away = set(gone[i])
                     kept[i] = "\n".join(x for k, x in enumerate(said.split("\n")) if k not in away)
-            kind = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("copies", pa.int64())]))
-            columns = [*batch.columns[:3], pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32())), pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_lines", "kept", "deleted", "runs"])
+            columns = [*batch.columns[:3], pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_lines", "kept", "deleted"])
 
-    schema = StructType([wide.schema[c] for c in ("doc_id", "row", "n_lines")]).add("kept", "string").add("deleted", ArrayType(IntegerType())).add("runs", ArrayType(_RUN))
+    schema = StructType([wide.schema[c] for c in ("doc_id", "row", "n_lines")]).add("kept", "string").add("deleted", ArrayType(IntegerType()))
     done = wide.mapInArrow(run, schema)
     return done.withColumn("kept", F.coalesce("kept", F.col(f"row.`{text}`").cast("string"), F.lit("")))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, line, lines, copies) of each maximal repeated run that has an earlier copy; see :func:`_cleaned`."""
-    return _cleaned(docs, min_words, text, doc_id).select("doc_id", F.inline("runs"))
+    """(doc_id, line, lines, copies) of each run of lines with ``min_words`` words or more that has an earlier copy and lies in no longer one.
+
+    ``line`` is the number of its first line, ``lines`` counts those with a word, ``copies`` how often the run occurs in the sequence, in which a text that several
+    documents hold stands once.  A later copy of a whole text is one run, of 0 copies that are not counted.
+    """
+    min_words = max(1, min_words)
+    keyed, levels = _keyed(docs, text, doc_id), []
+    texts = _texts(keyed)
+    lines = suffix_array(keyed, texts, min_words, levels).select("start", "at", "line_no", "words", "pos")
+    lines = lines.join(longest_earlier(levels).select("pos", "length", "copies"), "pos", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
+    before = F.when(F.lag("at").over(_in_document()) == F.col("at") - 1, F.lag("length").over(_in_document())).otherwise(F.lit(0))
+    lines = written(lines.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("total", F.sum("words").over(_in_document())), "runs")
+    heads = lines.where("length > 0 AND length >= before").withColumn("end", F.col("pos") + F.col("length") - 1)
+    ends = lines.select(F.col("pos").alias("end"), F.col("total").alias("at_end"))
+    runs = heads.join(ends, "end").where(F.col("at_end") - F.col("total") + F.col("words") >= min_words).select("start", F.col("line_no").alias("line"), F.col("length").cast("int").alias("lines"), "copies")
+    rows = keyed.select("doc_id", "text_key", "row_key", "text").join(texts.select("text_key", F.col("row_key").alias("first_key"), "start"), "text_key")
+    full = F.filter(F.transform(F.split("text", "\n"), lambda line, k: F.when(line.rlike(_WORD.pattern), k)), lambda k: k.isNotNull())
+    later = rows.where("row_key <> first_key").where(F.regexp_count("text", F.lit(_WORD.pattern)) >= min_words)
+    later = later.select("doc_id", full[0].alias("line"), F.size(full).alias("lines"), F.lit(0).cast("long").alias("copies"))
+    return rows.where("row_key = first_key").select("doc_id", "start").join(runs, "start").drop("start").unionByName(later)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -81,3 +81,49 @@ def test_suffix_array_and_maximal_runs(spark, documents, monkeypatch):
             assert rows[i].r == next(k for k in range(len(rows)) if tails[k] == tails[i])
         runs = {(r.doc_id, r.line, r.lines, r.copies) for r in repeated_runs(docs).collect()}
         assert (31, 1, 37, 3) in runs and (32, 1, 37, 3) in runs and not any(r[0] == 30 for r in runs)
+
+
+def plain_runs(rows, min_words):
+    """Maximal runs with an earlier copy, by comparing every pair of places of texts that differ."""
+    said, out = {}, set()
+    for i, t in sorted(set(rows)):
+        lines = [(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+        if t in said.values():
+            if sum(n for *_, n in lines) >= min_words:
+                out.add((i, lines[0][0], len(lines), 0))
+        else:
+            said[i] = t
+    order = sorted(said)
+    lines = {i: [(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(said[i].split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)] for i in order}
+    keys = {i: [x for _, x, _ in lines[i]] for i in order}
+
+    def common(a, p, b, q):
+        n = 0
+        while p + n < len(keys[a]) and q + n < len(keys[b]) and keys[a][p + n] == keys[b][q + n]:
+            n += 1
+        return n
+
+    for i in order:
+        earlier = lambda p: max([common(i, p, j, q) for j in order if j <= i for q in range(len(keys[j])) if j < i or q < p], default=0)
+        most = [earlier(p) for p in range(len(keys[i]))]
+        for p, n in enumerate(most):
+            if n and (p == 0 or most[p - 1] - 1 < n) and sum(w for *_, w in lines[i][p : p + n]) >= min_words:
+                copies = sum(keys[j][q : q + n] == keys[i][p : p + n] for j in order for q in range(len(keys[j])))
+                out.add((i, lines[i][p][0], n, copies))
+    return out
+
+
+def test_runs_are_maximal(spark, documents):
+    rng = random.Random(8)
+    whole = [f"{c}{c} one two three four" for c in "abcdefg"]
+    rows = [(0, "\n".join(["own 0", *whole[:5], "end 0"])), (1, "\n".join(["own 1", *whole, "end 1"])), (3, "\n".join(["own 3", *whole, "end 3"]))]
+    got = lambda rows, words: sorted(tuple(r) for r in repeated_runs(documents(rows), words).collect())
+    assert got(rows, MIN_WORDS) == [(1, 1, 5, 3), (3, 1, 7, 2)] == sorted(plain_runs(rows, MIN_WORDS))
+    passage = [f"line {k} of it" for k in range(23)]
+    for n in range(40):
+        a, b = sorted((rng.randrange(24), rng.randrange(24)))
+        rows.append((10 + n, "\n".join(rng.choices(["x", "y z", "", " "], k=rng.randrange(5)) + passage[a:b] + rng.choices(["x", "y z", "u"], k=rng.randrange(9)))))
+    rows += [(200, rows[5][1]), (201, rows[1][1]), (202, ""), (203, "x"), (204, "\n\nx y z u v w\n")]
+    for words in (1, 6):
+        assert got(rows, words) == sorted(plain_runs(rows, words)), words
+    assert got([], MIN_WORDS) == []
