@@ -27,9 +27,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once by checkpoint() to the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, for loops: as :func:`kept`. checkpoint() keeps the plan's estimate of bytes, which is a product over joins: in a loop its digits multiply each round until the driver has no memory left."""
+    return kept(df)
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Loops over edges: components, label propagation, shortest paths, growth. Each round is checkpointed."""
+"""Loops over edges: components, label propagation, shortest paths, growth. Each round is written to the shared folder."""
 
 from __future__ import annotations
 
@@ -29,16 +29,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 BORDER, NEIGHBOURS, EVIDENCE = 0.50, 0.20, 0.30
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | None = None, voters: DataFrame | None = None) -> DataFrame:
     """Labels for ``nodes`` (id, code or null) from labelled neighbours over ``edges`` (src, dst, shared), all open nodes at once per round.
 
     A neighbours' code has the weighted sum of its shared border, its neighbours and its ``evidence`` (id, code, score), if given, each as a share
     of the greatest among the node's candidate codes; ties go to the least code. Returns (id, code, round); round 0 had a label, null never got one.
+    A node votes ``n`` times, if it has that column; ``voters`` (dst, code, n), if given, vote besides from the start.
     """
-    now = cut(nodes.select("id", "code", F.when(F.col("code").isNotNull(), F.lit(0)).alias("round")))
+    times = F.col("n").cast("long") if "n" in nodes.columns else F.lit(1).cast("long")
+    now = cut(nodes.select("id", "code", times.alias("n"), F.when(F.col("code").isNotNull(), F.lit(0)).alias("round")))
+    edges, voters = cut(edges.select("src", "dst", "shared")), None if voters is None else cut(voters.select("dst", "code", "n"))
     for k in count(1):
-        votes = edges.join(now.where("code IS NULL").select(F.col("id").alias("src")), "src").join(now.where("code IS NOT NULL").select(F.col("id").alias("dst"), "code"), "dst")
-        by_code = votes.groupBy("src", "code").agg(F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("n"))
+        said = now.where("code IS NOT NULL").select(F.col("id").alias("dst"), "code", "n")
+        votes = edges.join(now.where("code IS NULL").select(F.col("id").alias("src")), "src").join(said if voters is None else said.unionByName(voters), "dst")
+        by_code = votes.groupBy("src", "code").agg(F.sum(F.col("shared") * F.col("n")).alias("shared"), F.sum("n").alias("n"))
         w = Window.partitionBy("src")
         share = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(w)), F.lit(0.0))
         score = share("shared") * BORDER + share("n") * NEIGHBOURS
@@ -46,9 +50,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | None = N
             by_code = by_code.join(evidence.select(F.col("id").alias("src"), "code", F.col("score").cast("double").alias("seen")), ["src", "code"], "left").fillna(0.0, ["seen"])
             score = score + share("seen") * EVIDENCE
         best = by_code.withColumn("score", F.round(score, 9)).withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), "code"))).where("__r = 1").select(F.col("src").alias("id"), F.col("code").alias("new"))
-        after = cut(now.join(best, "id", "left").select("id", F.coalesce("code", "new").alias("code"), F.coalesce("round", F.when(F.col("new").isNotNull(), F.lit(k))).alias("round")))
+        after = cut(now.join(best, "id", "left").select("id", F.coalesce("code", "new").alias("code"), "n", F.coalesce("round", F.when(F.col("new").isNotNull(), F.lit(k))).alias("round")))
         if after.where(F.col("round") == k).isEmpty():
-            return after
+            return after.drop("n")
         now = after
 
 
@@ -76,8 +80,9 @@ def propagate_agreed(nodes: DataFrame, edges: DataFrame, evidence: DataFrame | N
 
 
 def multi_source_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, dist, prefix, seed) of least cost from any of ``seeds`` (id, prefix) over ``edges`` (src, dst, cost), ties by (dist, prefix, seed)."""
-    best = cut(seeds.select("id", F.struct(F.lit(0.0).alias("dist"), "prefix", F.col("id").alias("seed")).alias("b")).groupBy("id").agg(F.min("b").alias("b")))
+    """(id, dist, prefix, seed) of least cost from any of ``seeds`` (id, prefix, and seed if its name is not the id) over ``edges`` (src, dst, cost), ties by (dist, prefix, seed)."""
+    named = F.col("seed" if "seed" in seeds.columns else "id").alias("seed")
+    best = cut(seeds.select("id", F.struct(F.lit(0.0).alias("dist"), "prefix", named).alias("b")).groupBy("id").agg(F.min("b").alias("b")))
     edge = cut(edges.select("src", "dst", F.col("cost").cast("double").alias("cost")))
     front = best
     while True:
@@ -91,7 +96,7 @@ def multi_source_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def grow(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, round): nodes reached from ``seeds`` (id) over ``edges`` (src, dst), breadth first."""
-    found = cut(seeds.select("id", F.lit(0).alias("round")).distinct())
+    found, edges = cut(seeds.select("id", F.lit(0).alias("round")).distinct()), cut(edges.select("src", "dst"))
     for k in count(1):
         front = found.where(F.col("round") == k - 1).select(F.col("id").alias("src"))
         new = edges.join(front, "src").select(F.col("dst").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("round", F.lit(k))
@@ -107,15 +112,15 @@ def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes`` (id, rank), symmetric ``edges`` (src, dst). In a round, every open node that no open neighbour precedes is kept and
     its neighbours go: the rounds give the sequential result, with as many rounds as the longest chain of precedence.
     """
-    ranked = cut(nodes.select("id", F.struct("rank", "id").alias("r")))
-    open_edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    kept, left = None, ranked
+    left = cut(nodes.select("id", F.struct("rank", "id").alias("r")))
+    ahead = left.select(F.col("id").alias("dst"), F.col("r").alias("rd"))
+    # (src, dst) where dst comes before src.
+    open_edges = cut(edges.select("src", "dst").join(left.select(F.col("id").alias("src"), F.col("r").alias("rs")), "src").join(ahead, "dst").where("rd < rs").select("src", "dst").distinct())
+    kept, left = None, left.select("id")
     while True:
-        rivals = open_edges.join(left.select(F.col("id").alias("src"), F.col("r").alias("rs")), "src").join(left.select(F.col("id").alias("dst"), F.col("r").alias("rd")), "dst")
-        behind = rivals.where("rd < rs").select(F.col("src").alias("id")).distinct()
-        won = cut(left.join(behind, "id", "left_anti").select("id"))
+        won = cut(left.join(open_edges.select(F.col("src").alias("id")), "id", "left_anti"))
         kept = won if kept is None else kept.unionByName(won)
-        gone = open_edges.join(won.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
+        gone = open_edges.join(won.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
         left = cut(left.join(won, "id", "left_anti").join(gone, "id", "left_anti"))
         if left.isEmpty():
             return kept

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from ..operators import graph as R
+from ..operators import clusters as L
 from ..operators import spatial as S
 from ..operators._shared import scratch
 from ..sources import files, sinks
@@ -96,35 +96,28 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.points_in_polygons(points, polygons, "c_custkey", "rid", 2.0)
 
 
-def _near_customers(spark: SparkSession, sf_dir: str, km: float) -> DataFrame:
-    c = customers(spark, sf_dir).select("c_custkey", "lat", "lon")
-    other = c.select(F.col("c_custkey").alias("dst"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    return S.within_km(c, other, km).where("c_custkey <> dst").select(F.col("c_custkey").alias("src"), "dst", "km")
-
-
 def distance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-link clusters of customers 250 km apart."""
-    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return R.components(nodes, _near_customers(spark, sf_dir, 250.0).select("src", "dst"))
+    return L.single_link(customers(spark, sf_dir), "c_custkey", 250.0).select(F.col("c_custkey").alias("id"), F.col("cluster").alias("component"))
 
 
 def propagate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations of every tenth customer spread over customers 400 km apart."""
-    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 0, F.col("c_nationkey").cast("string")).alias("code"))
-    edges = _near_customers(spark, sf_dir, 400.0).select("src", "dst", (1000.0 - F.col("km")).alias("shared"))
-    return R.propagate(nodes, edges).select("id", "code", F.col("round").cast("long").alias("round"))
+    nodes = customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), "lat", "lon", F.when(F.col("c_custkey") % 10 == 0, F.col("c_nationkey").cast("string")).alias("code"))
+    return L.spread_labels(nodes, "id", "code", 400.0, 1000.0 - F.col("km")).select("id", "code", F.col("round").cast("long").alias("round"))
 
 
 def multi_source_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least distance over 500 km hops from every fiftieth customer."""
-    seeds = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("prefix"))
-    edges = _near_customers(spark, sf_dir, 500.0).select("src", "dst", F.round("km").alias("cost"))
-    return R.multi_source_paths(seeds, edges).select("id", F.round("dist", 3).alias("dist"), "prefix", "seed")
+    points = customers(spark, sf_dir).withColumnRenamed("c_custkey", "id")
+    seeds = points.where("id % 50 = 0").select("id", F.col("c_nationkey").cast("string").alias("prefix"))
+    return L.seed_paths(points, seeds, "id", 500.0, F.round("km")).select("id", F.round("dist", 3).alias("dist"), "prefix", "seed")
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _near_customers(spark, sf_dir, 300.0).select("src", "dst")
-    return R.grow(table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("id")), edges).select("id", F.col("round").cast("long").alias("round"))
+    """Rounds in which 300 km hops reach customers from every hundredth."""
+    points = customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), "lat", "lon")
+    return L.reached(points, points.where("id % 100 = 0"), "id", 300.0).select("id", F.col("round").cast("long").alias("round"))
 
 
 QUERIES = {
