@@ -103,13 +103,15 @@ def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, stag
     """Entity resolution in stages: (name, left key, right key) tried in order, each on the rows still open; a stage matches a
     left row that has one candidate. Returns (left_id, right_id, stage); unresolved rows have nulls.
 
-    All stages' keys meet in one join per stage of the open rows only; no stage sees rows that an earlier one resolved.
+    All stages' keys meet in one join per stage of the open rows only; no stage sees rows that an earlier one resolved. The right side is
+    counted by key before it is joined, so a key that many rows of both sides have costs one row for each of the left.
     """
     open_rows, done = left, None
     for name, left_key, right_key in stages:
         a = open_rows.select(left_id, *scope, left_key.alias("__k")).where("__k IS NOT NULL AND __k <> ''")
         b = right.select(right_id, *scope, right_key.alias("__k")).where("__k IS NOT NULL AND __k <> ''").distinct()
-        hit = a.join(b, [*scope, "__k"]).groupBy(left_id).agg(F.min(right_id).alias(right_id), F.count(F.lit(1)).alias("n")).where("n = 1").select(left_id, right_id, F.lit(name).alias("stage"))
+        b = b.groupBy(*scope, "__k").agg(F.min(right_id).alias(right_id), F.count(F.lit(1)).alias("__c"))
+        hit = a.join(b, [*scope, "__k"]).groupBy(left_id).agg(F.min(right_id).alias(right_id), F.sum("__c").alias("n")).where("n = 1").select(left_id, right_id, F.lit(name).alias("stage"))
         done = hit if done is None else done.unionByName(hit)
         open_rows = open_rows.join(hit.select(left_id), left_id, "left_anti")
     return done.unionByName(open_rows.select(left_id, F.lit(None).cast(right.schema[right_id].dataType).alias(right_id), F.lit(None).cast("string").alias("stage")))
