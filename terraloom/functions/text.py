@@ -76,9 +76,14 @@ def token_forms(c: Column, stop: list[str], generic: list[str]) -> dict[str, Col
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """Share of distinct words in common; 0 where both are empty."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return words_jaccard(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))
+
+
+def words_jaccard(x: Column, y: Column) -> Column:
+    """:func:`token_jaccard` of the distinct tokens, for pairs whose sides were split before they met."""
+    both = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - both
+    return F.when(union == 0, F.lit(0.0)).otherwise(both / union)
 
 
 def numbers_conflict(a: Column, b: Column) -> Column:
