@@ -188,9 +188,10 @@ def snapped(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str,
     """(point_id, x, y, distance): points (x, y) inside a shape as they are, others at the nearest place of any border, at most ``limit`` map units away.
 
     Borders are looked for in tiles as wide as an eighth of the limit, a quarter, a half and the whole, each time for the points for which none has been found, so that points near to a border
-    meet few segments. Ties go to the least place from the west. A point farther away is an error, or, if not ``strict``, has a null place.
+    meet few segments; points of one place are looked for once. Ties go to the least place from the west. A point farther away is an error, or, if not ``strict``, has a null place.
     """
-    at = kept(points.select(point_id, "x", "y"))
+    every, point_id, own_id = points.select(point_id, F.col("x").alias("__x"), F.col("y").alias("__y")), "__place", point_id
+    at = kept(points.groupBy("x", "y").agg(F.min(own_id).alias(point_id)))
     inside = kept(containers(at, shapes, point_id, shape_id, size).select(point_id).distinct())
     lines = kept(P.segments(shapes, shape_id, 15).select(*P._ENDS).distinct())
     done = at.join(inside, point_id, "left_semi").withColumn("distance", F.lit(0.0))
@@ -208,4 +209,6 @@ def snapped(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str,
         best = kept(met.groupBy(point_id).agg(F.min(F.struct(F.round("distance", 12).alias("d"), "nx", "ny", "distance")).alias("b")).select(point_id, F.col("b.nx").alias("x"), F.col("b.ny").alias("y"), "b.distance"))
         done, left = done.unionByName(best), left.join(best.select(point_id), point_id, "left_anti")
     far = F.raise_error(F.concat(F.col(point_id).cast("string"), F.lit(f" is more than {limit:g} away from every shape"))).cast("double") if strict else F.lit(None).cast("double")
-    return done.unionByName(left.select(point_id, far.alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("distance")))
+    done = done.unionByName(left.select(point_id, far.alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("distance")))
+    found = at.select(point_id, F.col("x").alias("__x"), F.col("y").alias("__y")).join(done, point_id)
+    return every.alias("every").join(found.alias("found"), F.col("every.__x").eqNullSafe(F.col("found.__x")) & F.col("every.__y").eqNullSafe(F.col("found.__y"))).select(own_id, "x", "y", "distance")
