@@ -70,7 +70,7 @@ def carved(parents: DataFrame, parts: DataFrame, id: str, part_id: str, size: fl
 
 
 def containers(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str, size: float = 10.0) -> DataFrame:
-    """(point_id, shape_id): every shape that a point (x, y) lies in; borders are undefined."""
+    """(point_id, shape_id): every shape that a point (x, y) lies in. Of points on a border, those on a western or southern one lie inside and those on an eastern or northern one do not (of a hole likewise), so a point of a coverage lies in one shape."""
     tiles = S._tiles(shapes.select(shape_id, "rings"), size, G.ring_bounds(F.col("rings")[0]))
     placed = points.select(point_id, "x", "y").withColumn("__ty", G.cell(F.col("y"), size)).withColumn("__tx", G.cell(F.col("x"), size))
     return placed.join(tiles, ["__ty", "__tx"]).where(G.point_in_polygon(F.col("x"), F.col("y"), F.col("rings"))).select(point_id, shape_id).distinct()

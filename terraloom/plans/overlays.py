@@ -110,7 +110,7 @@ ORACLES = {
     "polygon_argmax": f"WITH {_PAIRS} {_TOP}",
     "polygon_overlaps": f"WITH {_PAIRS} SELECT id, rid, round(area, 6) AS area, round(area / (14 + 32 - area), 6) AS iou FROM p",
     "polygon_parents": f"""WITH {_PAIRS}, q AS (SELECT id, west + 3 AS x, south + 2.000004 AS y FROM g),
-      h AS (SELECT q.id, count(*) AS n, min(rid) AS rid FROM q, r WHERE x > w2 AND x < w2 + 6 AND y > s2 AND y < s2 + 6 AND NOT (x > w2 + 2 AND x < w2 + 4 AND y > s2 + 2 AND y < s2 + 4) GROUP BY 1),
+      h AS (SELECT q.id, count(*) AS n, min(rid) AS rid FROM q, r WHERE x >= w2 AND x < w2 + 6 AND y >= s2 AND y < s2 + 6 AND NOT (x >= w2 + 2 AND x < w2 + 4 AND y >= s2 + 2 AND y < s2 + 4) GROUP BY 1),
       t AS ({_TOP})
       SELECT g.id, CASE WHEN h.n = 1 THEN h.rid ELSE t.rid END AS rid, CASE WHEN h.n = 1 THEN 'point' WHEN t.rid IS NULL THEN 'none' ELSE 'overlap' END AS how FROM g LEFT JOIN h ON h.id = g.id LEFT JOIN t ON t.id = g.id""",
     "snapped_points": f"""WITH {_GRID}, c AS (SELECT c_custkey, {SQL_LON.format(k="c_custkey")} + 0.001::DOUBLE AS x, {SQL_LAT.format(k="c_custkey")} + 0.002::DOUBLE AS y FROM customer),

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from terraloom.functions import geo as G
 from terraloom.operators import coverage as V
 from terraloom.operators import overlay as O
 from terraloom.operators import planar as P
@@ -236,3 +237,12 @@ def test_points_snap_to_the_nearest_border(spark, shapes):
     assert sum(r.distance is None for r in got.values()) > 5 and sum(0 < (r.distance or 0) < 0.8 for r in got.values()) > 20
     with pytest.raises(Exception, match="away from every shape"):
         O.snapped(df, made(spark, shapes), "p", "id", 0.01).collect()
+
+
+def test_points_on_borders_lie_in_one_shape(spark):
+    """Western and southern borders belong to a shape, eastern and northern ones do not; of a hole likewise."""
+    ring = lambda *b: F.array(G.box_ring(*[F.lit(float(v)) for v in b]))
+    holed = F.concat(ring(0, 0, 6, 6), ring(2, 2, 4, 4))
+    shapes = spark.range(1).select(F.lit(1).alias("p"), holed.alias("rings")).unionByName(spark.range(1).select(F.lit(2).alias("p"), ring(6, 0, 9, 6).alias("rings")))
+    points = spark.createDataFrame([(1, 0.0, 1.0), (2, 6.0, 1.0), (3, 2.0, 3.0), (4, 4.0, 3.0), (5, 1.0, 0.0), (6, 1.0, 6.0), (7, 9.0, 1.0)], "id int, x double, y double")
+    assert sorted(tuple(r) for r in O.containers(points, shapes, "id", "p").collect()) == [(1, 1), (2, 2), (4, 1), (5, 1)]
