@@ -12,7 +12,8 @@ from ._shared import cut
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of ``nodes`` (id) under undirected ``edges`` (src, dst); component is the least id. Hooks to the least neighbouring label and jumps to the label's label."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    edges = cut(edges.select("src", "dst"))
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = cut(both)
     labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
