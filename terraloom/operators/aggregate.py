@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import geo as G
 from ..functions import text as T
+from . import sphere as S
 from ._shared import kept
 
 
@@ -59,45 +60,40 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-#: Parts that a group's rows are dealt to before they meet the group's cells or candidates.
+#: Parts that a group's rows are dealt to before they meet the group's candidates.
 _SALTS = 16
 #: A total this much above another may still round to the same.
 _SLACK_KM = 1e-5
+#: How far off the first bounds of a mean distance may be.
+_ERROR_KM = 1.0
 
 
-def _cells(places: DataFrame, group: str, power: float) -> DataFrame:
-    """(group, clat, clon, w, r): about n ** (2 * power) cells of each group's bounds, by one of their places, with weight and radius."""
-    span = F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon"), F.lit(1e-9))
-    frame = places.groupBy(group).agg(F.min("lat").alias("__s"), F.min("lon").alias("__w"), (span / F.pow(F.count(F.lit(1)).cast("double"), F.lit(power))).alias("__side"))
-    at = places.join(frame, group).withColumn("__cy", F.floor((F.col("lat") - F.col("__s")) / F.col("__side"))).withColumn("__cx", F.floor((F.col("lon") - F.col("__w")) / F.col("__side"))).drop("__s", "__w", "__side")
-    key = [group, "__cy", "__cx"]
-    reps = at.groupBy(*key).agg(F.min(F.struct("lat", "lon")).alias("c"), F.sum("n").alias("w"))
-    away = G.haversine_km(F.col("lat"), F.col("lon"), F.col("c.lat"), F.col("c.lon"))
-    return at.join(reps, key).groupBy(*key).agg(F.first("c").alias("c"), F.first("w").alias("w"), F.max(away).alias("r")).select(group, F.col("c.lat").alias("clat"), F.col("c.lon").alias("clon"), "w", "r")
+def _places(points: DataFrame, group: str, id: str) -> DataFrame:
+    """(group, lat, lon, n, id, pid): distinct places with their number of points, least id and own number; points without coordinates are left out."""
+    return kept(points.where(F.col(group).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(group, "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.min(id).alias(id)).withColumn("pid", F.monotonically_increasing_id()))
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("__p", F.explode(F.array(*[F.lit(k) for k in range(_SALTS)])))
+def _least(bounds: DataFrame, group: str) -> DataFrame:
+    """(group, pid) of those whose lower bound reaches their group's least upper one."""
+    bounds = kept(bounds)
+    least = bounds.groupBy(group).agg(F.min("high").alias("__least"))
+    return kept(bounds.join(least, group).where(F.col("low") <= F.col("__least") * (1 + 1e-12) + _SLACK_KM).select(group, "pid"))
 
 
 def medoid(points: DataFrame, group: str, id: str) -> DataFrame:
     """Per group the point with the least summed distance to the others, first by id on ties: (group, id, total_km).
 
-    Points without coordinates are left out; equal points count once, with their number.  Distances to cells bound each sum from both sides; only points whose lower bound reaches the least upper one
-    are measured against finer cells, and those left after that against all points.
+    Points without coordinates are left out; equal points count once, with their number.  :func:`sphere.distance_sums` bounds each sum from both sides by cells; only points whose lower bound reaches the
+    least upper one meet all places, first by unit vectors, and those that noise leaves open by :func:`geo.haversine_km`.
     """
-    places = kept(points.groupBy(group, "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.min(id).alias(id)).withColumn("__p", F.pmod(F.hash("lat", "lon"), F.lit(_SALTS))))
-    still = places
-    for power in (0.25, 0.375):
-        km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-        met = still.join(_salted(_cells(places, group, power)), [group, "__p"])
-        low, high = F.sum(F.col("w") * F.greatest(km - F.col("r"), F.lit(0.0))), F.sum(F.col("w") * (km + F.col("r")))
-        bounds = kept(met.groupBy(group, "lat", "lon", id, "__p").agg(low.alias("__low"), high.alias("__high")))
-        least = bounds.groupBy(group).agg(F.min("__high").alias("__least"))
-        still = kept(bounds.join(least, group).where(F.col("__low") <= F.col("__least") * (1 + 1e-12) + _SLACK_KM).select(group, "lat", "lon", id, "__p"))
-    other = places.select(group, "__p", "n", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    places = _places(points, group, id)
+    nodes = S.tree(places, group)
+    still = _least(S.distance_sums(nodes, group, _ERROR_KM), group)
+    still = _least(S.place_sums(nodes, still, group), group)
+    left = places.join(still, [group, "pid"], "left_semi").select(group, id, "lat", "lon").withColumn("__p", F.explode(F.array(*[F.lit(k) for k in range(_SALTS)])))
+    other = places.select(group, F.pmod(F.col("pid"), F.lit(_SALTS)).cast("int").alias("__p"), "n", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
     km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
-    sums = _salted(still.drop("__p")).join(other, [group, "__p"]).groupBy(group, id).agg(F.sum(km * F.col("n")).alias("total_km"))
+    sums = left.join(other, [group, "__p"]).groupBy(group, id).agg(F.sum(km * F.col("n")).alias("total_km"))
     return sums.groupBy(group).agg(F.min(F.struct(F.round("total_km", 6).alias("t"), F.col(id).alias("i"), "total_km")).alias("b")).select(group, F.col("b.i").alias(id), F.col("b.total_km").alias("total_km"))
 
 
