@@ -103,11 +103,8 @@ def core_median(points: DataFrame, group: str, id: str, share: float = 0.9, leas
     at = points.join(centre, group).where(F.col(id) == F.col("__m")).select(group, F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
     km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon"))
     ranked = points.join(at, group).withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(F.round(km, 6), id))).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    core = ranked.where(F.col("__r") <= F.greatest(F.lit(least), F.ceil(F.col("__n") * share))).select(group, id, "lat", "lon")
-    other = core.select(group, F.col(id).alias("__id"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    pair_km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
-    medians = core.join(other, group).where(F.col(id) < F.col("__id")).groupBy(group).agg(F.percentile(pair_km, 0.5).alias("median_km"))
-    return core.groupBy(group).agg(F.count(F.lit(1)).alias("n_core")).join(medians, group, "left")
+    core = kept(ranked.where(F.col("__r") <= F.greatest(F.lit(least), F.ceil(F.col("__n") * share))).select(group, id, "lat", "lon"))
+    return core.groupBy(group).agg(F.count(F.lit(1)).alias("n_core")).join(S.median_distances(_places(core, group, id), group), group, "left")
 
 
 def max_error_km(core: DataFrame) -> DataFrame:

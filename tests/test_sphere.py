@@ -1,8 +1,10 @@
-"""Bounds of sums by trees of cells, against all pairs."""
+"""Medians and bounds of sums by trees of cells, against all pairs; the copies made the median compare billions of pairs before."""
 
 import random
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from terraloom.operators import aggregate as A
 from terraloom.operators import sphere as S
@@ -25,6 +27,17 @@ def _places(spark, groups):
     return A._places(spark.createDataFrame(rows, "g string, id int, lat double, lon double"), "g", "id")
 
 
+def test_median_equals_all_pairs(spark, groups):
+    places = _places(spark, groups)
+    for least in (1, 32):
+        got = dict(map(tuple, S.median_distances(places, "g", least).collect()))
+        assert set(got) == set(groups) - {"one"}
+        for g, median in got.items():
+            own = groups[g]
+            # An ulp of a chord between antipodes is 1e-4 km.
+            assert abs(median - statistics.median(km(a, b) for i, a in enumerate(own) for b in own[:i])) < (1e-3 if g == "copies" else 1e-6)
+
+
 def test_bounds_hold_every_sum(spark, groups):
     places = _places(spark, groups)
     at = {x.pid: x for x in places.collect()}
@@ -36,3 +49,10 @@ def test_bounds_hold_every_sum(spark, groups):
             for x in got:
                 total = sum(km((at[x.pid].lat, at[x.pid].lon), p) for p in groups[x.g])
                 assert x.low - 1e-5 <= total <= x.high + 1e-5
+
+
+def test_core_of_copies(spark):
+    spot = F.col("id") % 3
+    points = spark.range(60000).select(F.lit("g").alias("g"), "id", F.lit(0.0).alias("lat"), F.when(spot == 0, 0.0).when(spot == 1, 1.0).otherwise(40.0).alias("lon"))
+    got = A.core_median(points, "g", "id").first()
+    assert got.n_core == 54000 and abs(got.median_km - km((0.0, 0.0), (0.0, 1.0))) < 1e-6
