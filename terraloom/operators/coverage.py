@@ -208,12 +208,15 @@ def interior_point(rings: Column) -> Column:
     box = G.ring_bounds(rings[0])
     least = F.greatest(box["east"] - box["west"], box["north"] - box["south"]) * 1e-7
     tried = F.transform(F.array(*[F.lit(k) for k in (0.5, 0.25, 0.75, 0.125, 0.375, 0.625, 0.875)]), lambda k: _stretch(rings, k))
+    middle = _stretch(rings, F.lit(0.5))
 
-    def best(all_: Column) -> Column:
-        wide = _let(least, lambda m: F.filter(all_, lambda s: s["width"] > m))
+    def best(least: Column, all_: Column) -> Column:
+        wide = F.filter(all_, lambda s: s["width"] > least)
         return F.coalesce(F.try_element_at(wide, F.lit(1)), F.array_max(F.filter(all_, lambda s: s["width"] > 0)))
 
-    return _let(_let(tried, best), lambda s: F.when(s.isNotNull(), F.struct(s["x"].alias("x"), s["y"].alias("y"))))
+    # The other lines are looked at only where the middle one is too thin.
+    found = _let(least, lambda m: _let(middle, lambda s: F.when(s["width"] > m, s).otherwise(_let(tried, lambda t: best(m, t)))))
+    return _let(found, lambda s: F.when(s.isNotNull(), F.struct(s["x"].alias("x"), s["y"].alias("y"))))
 
 
 def svg_path(rings: Column, size: float = 100.0) -> Column:

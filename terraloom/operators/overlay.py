@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from . import coverage as V
 from . import planar as P
+from . import rowwork as R
 from . import spatial as S
 from ._shared import kept
 
@@ -117,29 +118,67 @@ def regions(units: DataFrame, id: str, key: str, size: float = 10.0) -> DataFram
     return P.face_rings(halves).join(named, "face").select(key, F.col("face").alias("part"), "area", "rings")
 
 
-def validity(shapes: DataFrame, id: str, size: float = 10.0) -> DataFrame:
-    """(id, crossings, doubled, short, valid): points where a shape's own borders cross or touch inside a segment, segments it has more than once, and rings of fewer than three points."""
+def _by_size(shapes: DataFrame, id: str) -> tuple[DataFrame, DataFrame | None]:
+    """Shapes (id, rings) of at most :data:`rowwork.SEGMENTS` points in all their parts, and the others, if any."""
     own = shapes.select(F.col(id).alias("id"), "rings")
-    borders = P.segments(own.withColumn("__layer", F.col("id")), "id", layer="__layer")
-    lines = kept(borders.select("layer", *P._ENDS).distinct().withColumn("sid", F.monotonically_increasing_id()))
-    crossed = P.meetings(lines, size).join(lines.select("sid", F.col("layer").alias("id")), "sid").select("id", "x", "y").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("crossings"))
-    twice = borders.groupBy("layer", *P._ENDS).count().where("count > 1").groupBy(F.col("layer").alias("id")).agg(F.count(F.lit(1)).alias("doubled"))
-    short = own.groupBy("id").agg(F.sum(F.size(F.filter("rings", lambda r: F.size(F.array_distinct(r)) < 3))).cast("long").alias("short"))
-    out = short.join(crossed, "id", "left").join(twice, "id", "left").fillna(0, ["crossings", "doubled"])
+    points = F.aggregate("rings", F.lit(0), lambda n, r: n + F.coalesce(F.size(r), F.lit(0)))
+    large = kept(own.groupBy("id").agg(F.sum(points).alias("n")).where(F.col("n") > R.SEGMENTS).select(F.col("id").alias("__id")))
+    if large.isEmpty():
+        return own, None
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    return own.join(large, same, "left_anti"), own.join(large, same, "left_semi")
+
+
+def _dealt(shapes: DataFrame) -> DataFrame:
+    """Shapes by id in a fixed number of partitions: Spark would merge them by their bytes, which say little about the work in a row."""
+    spark = shapes.sparkSession
+    return shapes.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
+
+
+def validity(shapes: DataFrame, id: str, size: float = 10.0) -> DataFrame:
+    """(id, crossings, doubled, short, valid): points where a shape's own borders cross or touch inside a segment, segments it has more than once, and rings of fewer than three points.
+
+    Small shapes are worked out in their rows, others by tiles of their segments.
+    """
+    small, large = _by_size(shapes, id)
+    few = F.sum(F.size(F.filter("rings", lambda r: F.size(F.array_distinct(r)) < 3))).cast("long").alias("short")
+    at_once = _dealt(small).groupBy("id").agg(few, F.flatten(F.collect_list("rings")).alias("rings")).select("id", "short", R.faults(F.col("rings")).alias("f"))
+    out = at_once.select("id", "short", "f.crossings", "f.doubled")
+    if large is not None:
+        borders = P.segments(large.withColumn("__layer", F.col("id")), "id", layer="__layer")
+        lines = kept(borders.select("layer", *P._ENDS).distinct().withColumn("sid", F.monotonically_increasing_id()))
+        crossed = P.meetings(lines, size).join(lines.select("sid", F.col("layer").alias("id")), "sid").select("id", "x", "y").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("crossings"))
+        twice = borders.groupBy("layer", *P._ENDS).count().where("count > 1").groupBy(F.col("layer").alias("id")).agg(F.count(F.lit(1)).alias("doubled"))
+        out = out.unionByName(large.groupBy("id").agg(few).join(crossed, "id", "left").join(twice, "id", "left").fillna(0, ["crossings", "doubled"]))
     return out.select(F.col("id").alias(id), "crossings", "doubled", "short", ((F.col("crossings") == 0) & (F.col("doubled") == 0) & (F.col("short") == 0)).alias("valid"))
 
 
+def _covered(part: Column, rings: Column) -> Column:
+    """An interior point of a part lies within an odd number of the rings."""
+    crossed = lambda p: F.aggregate(F.transform(rings, lambda r: G.point_in_ring(p["x"], p["y"], r).cast("int")), F.lit(0), lambda n, k: n + k)
+    return V._let(V.interior_point(part), lambda p: crossed(p) % 2 == 1)
+
+
 def repaired(shapes: DataFrame, id: str, size: float = 10.0) -> DataFrame:
-    """(id, part, area, rings): what a shape's rings enclose by the even-odd rule, as parts that do not cross themselves; lines without area go."""
-    own = shapes.select(F.col(id).alias("id"), "rings")
-    edges, owners = P.noded(P.segments(own.withColumn("__layer", F.col("id")), "id", layer="__layer"), size)
-    odd = owners.groupBy("eid").count().where("count % 2 = 1").select("eid")
-    halves = P.faces(edges.join(odd, "eid"), size)
-    parts = kept(P.face_rings(halves).join(halves.select("face", F.col("layer").alias("id")).distinct(), "face"))
-    at = parts.select("face", "id", "area", F.col("rings").alias("part_rings"), V.interior_point(F.col("rings")).alias("p"))
-    crossed = lambda r: G.point_in_ring(F.col("p.x"), F.col("p.y"), r).cast("int")
-    inside = at.join(own.groupBy("id").agg(F.flatten(F.collect_list("rings")).alias("rings")), "id").where(F.aggregate(F.transform("rings", crossed), F.lit(0), lambda n, k: n + k) % 2 == 1)
-    return inside.select(F.col("id").alias(id), F.col("face").alias("part"), "area", F.col("part_rings").alias("rings"))
+    """(id, part, area, rings): what a shape's rings enclose by the even-odd rule, as parts that do not cross themselves; lines without area go.
+
+    Small shapes are worked out in their rows, others by tiles of their segments. ``part`` is negative for the former and not for the latter.
+    """
+    small, large = _by_size(shapes, id)
+    whole = _dealt(small).groupBy("id").agg(F.flatten(F.collect_list("rings")).alias("rings"))
+    cut = whole.select("id", "rings", R.odd_edges(F.col("rings")).alias("edges"))
+    # explode_outer, since Spark filters what explode takes by computing it once more.
+    each = cut.select("id", "rings", F.explode_outer(R.faces(F.col("edges"))).alias("p")).where("p IS NOT NULL").where(_covered(F.col("p.rings"), F.col("rings")))
+    done = kept(each.select("id", (-1 - F.monotonically_increasing_id()).alias("part"), "p.area", "p.rings"))
+    if large is not None:
+        edges, owners = P.noded(P.segments(large.withColumn("__layer", F.col("id")), "id", layer="__layer"), size)
+        odd = owners.groupBy("eid").count().where("count % 2 = 1").select("eid")
+        halves = P.faces(edges.join(odd, "eid"), size)
+        parts = kept(P.face_rings(halves).join(halves.select("face", F.col("layer").alias("id")).distinct(), "face"))
+        own = large.groupBy("id").agg(F.flatten(F.collect_list("rings")).alias("own_rings"))
+        inside = parts.join(own, "id").where(_covered(F.col("rings"), F.col("own_rings")))
+        done = done.unionByName(inside.select("id", F.col("face").alias("part"), "area", "rings"))
+    return done.select(F.col("id").alias(id), "part", "area", "rings")
 
 
 def simplified_valid(shapes: DataFrame, id: str, tolerances: list[float], size: float = 10.0) -> DataFrame:

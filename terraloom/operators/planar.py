@@ -10,6 +10,8 @@ an id are parts of one unit.  Rings may run either way; empty ones, and segments
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from ._shared import kept
 
 DIGITS = 9
 _ENDS = ["ax", "ay", "bx", "by"]
+Line = Column | dict[str, Column]
+Let = Callable[[Column, Callable[[Column], Column]], Column]
 
 
 def segments(units: DataFrame, id: str, digits: int = DIGITS, layer: str | None = None) -> DataFrame:
@@ -49,13 +53,56 @@ def tiled(lines: DataFrame, size: float) -> DataFrame:
     return wide.withColumn("ty", F.explode(F.sequence(cell(F.least(one, two) - slack), cell(F.greatest(one, two) + slack))))
 
 
-def _on(x: Column, y: Column, p: str, tolerance: float) -> tuple[Column, Column]:
-    """Whether a point lies on the inside of a segment, and where along it (0 to 1)."""
-    dx, dy = F.col(f"{p}bx") - F.col(f"{p}ax"), F.col(f"{p}by") - F.col(f"{p}ay")
+def _on(x: Column, y: Column, s: Line, dx: Column, dy: Column, tolerance: float, let: Let) -> Column:
+    """Whether a point lies on the inside of a segment with the extent (dx, dy)."""
     size = F.sqrt(dx * dx + dy * dy)
-    t = ((x - F.col(f"{p}ax")) * dx + (y - F.col(f"{p}ay")) * dy) / (size * size)
-    off = F.abs((x - F.col(f"{p}ax")) * dy - (y - F.col(f"{p}ay")) * dx) / size
-    return (off <= tolerance) & (t * size > tolerance) & ((1 - t) * size > tolerance), t
+
+    def inside(d: Column) -> Column:
+        off = F.abs((x - s["ax"]) * dy - (y - s["ay"]) * dx) / d["size"]
+        return (off <= tolerance) & (d["t"] * d["size"] > tolerance) & ((1 - d["t"]) * d["size"] > tolerance)
+
+    return let(F.struct((((x - s["ax"]) * dx + (y - s["ay"]) * dy) / (size * size)).alias("t"), size.alias("size")), inside)
+
+
+def met(p: Line, q: Line, digits: int, let: Let = lambda value, f: f(value)) -> Column:
+    """Array of (sid, x, y): inner points of two segments (sid, ax, ay, bx, by) at which they cross or an end of the other lies.
+
+    ``let`` gives a value to a function; where expressions are interpreted, as inside arrays, it should compute the value once.
+    """
+    tolerance = 10.0**-digits
+    wx, wy = q["ax"] - p["ax"], q["ay"] - p["ay"]
+    at = lambda s, x, y: F.struct(s["sid"].alias("sid"), x.alias("x"), y.alias("y"))
+
+    def touches(d: Column) -> list[tuple[Line, Column, Column, Column]]:
+        """For both ends of each: the other segment, the end, and whether it lies on that segment's inside."""
+        ends = [(s, o[f"{end}x"], o[f"{end}y"], d[f"{k}x"], d[f"{k}y"]) for s, o, k in ((p, q, "r"), (q, p, "s")) for end in "ab"]
+        return [(s, x, y, _on(x, y, s, dx, dy, tolerance, let)) for s, x, y, dx, dy in ends]
+
+    def crossing(d: Column) -> Column:
+        cross = d["cross"]
+        parallel = F.abs(cross) <= 1e-12 * F.sqrt((d["rx"] * d["rx"] + d["ry"] * d["ry"]) * (d["sx"] * d["sx"] + d["sy"] * d["sy"]))
+        own = lambda c: F.struct(((wx * d["sy"] - wy * d["sx"]) / c).alias("t"), ((wx * d["ry"] - wy * d["rx"]) / c).alias("u"))
+        point = lambda t: F.struct(F.round(p["ax"] + t * d["rx"], digits).alias("x"), F.round(p["ay"] + t * d["ry"], digits).alias("y"))
+        both = lambda m: F.when(_apart(m["x"], m["y"], (p, q), tolerance), F.array(at(p, m["x"], m["y"]), at(q, m["x"], m["y"])))
+        hit = lambda k: F.when((k["t"] > 0) & (k["t"] < 1) & (k["u"] > 0) & (k["u"] < 1), let(point(k["t"]), both))
+        return let(own(F.when(~parallel, cross)), hit)
+
+    def found(d: Column) -> Column:
+        ends = touches(d)
+        flags = F.struct(*[ok.alias(f"on{k}") for k, (_, _, _, ok) in enumerate(ends)])
+
+        def either(on: Column) -> Column:
+            touched = on["on0"] | on["on1"] | on["on2"] | on["on3"]
+            points = F.array(*[F.when(on[f"on{k}"], at(s, x, y)) for k, (s, x, y, _) in enumerate(ends)])
+            none = F.array().cast("array<struct<sid:long,x:double,y:double>>")
+            return F.when(touched, F.filter(points, lambda m: m.isNotNull())).otherwise(F.coalesce(crossing(d), none))
+
+        return let(flags, either)
+
+    def extents(rx: Column, ry: Column, sx: Column, sy: Column) -> Column:
+        return F.struct(rx.alias("rx"), ry.alias("ry"), sx.alias("sx"), sy.alias("sy"), (rx * sy - ry * sx).alias("cross"))
+
+    return let(extents(*[s[f"b{c}"] - s[f"a{c}"] for s in (p, q) for c in "xy"]), found)
 
 
 def meetings(lines: DataFrame, size: float, digits: int = DIGITS) -> DataFrame:
@@ -63,33 +110,16 @@ def meetings(lines: DataFrame, size: float, digits: int = DIGITS) -> DataFrame:
     tiles = tiled(lines, size)
     left, right = (tiles.withColumnsRenamed({c: f"{s}{c}" for c in ("sid", *_ENDS)}) for s in "pq")
     pairs = left.join(right, ["layer", "tx", "ty"]).where("psid < qsid")
-    rx, ry, sx, sy = (F.col(f"{s}b{c}") - F.col(f"{s}a{c}") for s, c in ("px", "py", "qx", "qy"))
-    wx, wy = F.col("qax") - F.col("pax"), F.col("qay") - F.col("pay")
-    cross = rx * sy - ry * sx
-    parallel = F.abs(cross) <= 1e-12 * F.sqrt((rx * rx + ry * ry) * (sx * sx + sy * sy))
-    t, u = (wx * sy - wy * sx) / F.when(~parallel, cross), (wx * ry - wy * rx) / F.when(~parallel, cross)
-    tolerance = 10.0**-digits
-    x, y = F.round(F.col("pax") + t * rx, digits), F.round(F.col("pay") + t * ry, digits)
-    crossing = F.coalesce((t > 0) & (t < 1) & (u > 0) & (u < 1), F.lit(False))
-    at = lambda own, ok, px, py: F.when(ok, F.struct(F.col(own).alias("sid"), px.alias("x"), py.alias("y")))
-    found, touched = [], F.lit(False)
-    for own, other in ("pq", "qp"):
-        for end in "ab":
-            px, py = F.col(f"{other}{end}x"), F.col(f"{other}{end}y")
-            ok, _ = _on(px, py, own, tolerance)
-            found.append(at(f"{own}sid", ok, px, py))
-            touched = touched | ok
-    proper = crossing & ~touched & _apart(x, y, tolerance)
-    found += [at("psid", proper, x, y), at("qsid", proper, x, y)]
-    return pairs.select(F.explode(F.filter(F.array(*found), lambda m: m.isNotNull())).alias("m")).select("m.sid", "m.x", "m.y").distinct()
+    one, two = ({c: F.col(f"{s}{c}") for c in ("sid", *_ENDS)} for s in "pq")
+    return pairs.select(F.explode(met(one, two, digits)).alias("m")).select("m.sid", "m.x", "m.y").distinct()
 
 
-def _apart(x: Column, y: Column, tolerance: float) -> Column:
+def _apart(x: Column, y: Column, lines: tuple[Line, Line], tolerance: float) -> Column:
     """The point is none of the four ends."""
     far = F.lit(True)
-    for s in "pq":
+    for s in lines:
         for end in "ab":
-            far = far & ((F.abs(x - F.col(f"{s}{end}x")) > tolerance) | (F.abs(y - F.col(f"{s}{end}y")) > tolerance))
+            far = far & ((F.abs(x - s[f"{end}x"]) > tolerance) | (F.abs(y - s[f"{end}y"]) > tolerance))
     return far
 
 

@@ -11,6 +11,7 @@ from terraloom.functions import geo as G
 from terraloom.operators import coverage as V
 from terraloom.operators import overlay as O
 from terraloom.operators import planar as P
+from terraloom.operators import rowwork as R
 from terraloom.operators import thinning as T
 
 SHAPES = "id long, rings array<array<struct<x: double, y: double>>>"
@@ -141,6 +142,55 @@ def test_validity_and_repair(spark):
     assert O.validity(again, "id").where("NOT valid").count() == 0
 
 
+@pytest.fixture(scope="module")
+def tangled():
+    """Rings at random on a coarse grid, which cross, touch, repeat lines, lie in each other and come in several parts; some without area."""
+    rng = random.Random(19)
+    at = lambda n: [(rng.randrange(-3, 4), rng.randrange(-3, 4)) for _ in range(n)]
+    fine = lambda n: [(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(n)]
+    rows = [(k, [(at if k % 3 else fine)(rng.randrange(2, 8)) for _ in range(rng.randrange(1, 4))]) for k in range(60)]
+    rows += [(k, [at(4)]) for k in range(0, 60, 7)]
+    nested = [box(-9 + k, -9 + k, 9 - k, 9 - k) for k in range(7)]
+    return [*rows, (60, nested), (61, [box(0, 0, 1, 1)] * 2), (62, [box(0, 0, 2, 2), box(3, 0, 5, 2), box(0.5, 0.5, 1, 1)])]
+
+
+def test_small_shapes_in_rows_are_as_by_tiles(spark, tangled, monkeypatch):
+    df = made(spark, tangled)
+
+    def told():
+        faults = {r.id: (r.crossings, r.doubled, r.short, r.valid) for r in O.validity(df, "id", 1.5).collect()}
+        parts, seen = {}, set()
+        for r in O.repaired(df, "id", 1.5).collect():
+            rings = [[(round(p.x, 7), round(p.y, 7)) for p in ring] for ring in r.rings]
+            turned = sorted(ring[ring.index(min(ring)) :] + ring[: ring.index(min(ring))] if ring.count(min(ring)) == 1 else sorted(ring) for ring in rings)
+            parts.setdefault(r.id, []).append((round(r.area, 7), turned))
+            seen.add(r.part)
+        assert len(seen) == sum(map(len, parts.values()))
+        return faults, {k: sorted(v) for k, v in parts.items()}
+
+    in_rows = told()
+    monkeypatch.setattr(R, "SEGMENTS", 0)
+    by_tiles = told()
+    monkeypatch.setattr(R, "SEGMENTS", 10)
+    assert in_rows[0] == by_tiles[0] and in_rows[1] == by_tiles[1]
+    assert told() == in_rows
+    assert sum(not v[3] for v in in_rows[0].values()) > 40 and len(in_rows[1][60]) == 4
+    for i, parts in in_rows[1].items():
+        rings = [r for k, rings in tangled if k == i for r in rings]
+        plain = sum(w * sum(hi - lo for lo, hi in spans(rings, x)) for x, w in slabs([rings]))
+        assert sum(a for a, _ in parts) == pytest.approx(plain, abs=1e-6)
+
+
+def test_repair_of_small_shapes_takes_no_rounds(spark, tangled, monkeypatch):
+    """Each round is a table written and read again; small shapes need the list of large ones and their result."""
+    written = []
+    for module in (O, P):
+        monkeypatch.setattr(module, "kept", lambda df, kept=module.kept: written.append(1) or kept(df))
+    df = made(spark, tangled)
+    assert O.repaired(df, "id", 1.5).count() > 60 and O.validity(df, "id", 1.5).count() == 63
+    assert len(written) <= 3
+
+
 def test_simplified_valid_takes_the_first_that_is_valid(spark):
     notch = [(0, 0), (10, 0), (10, 10), (5.2, 10), (5, 0.5), (4.8, 10), (0, 10)]
     df = made(spark, [(1, [notch]), (2, [box(0, 0, 1, 1)])])
