@@ -11,19 +11,44 @@ from ._shared import cut
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) of ``nodes`` (id) under undirected ``edges`` (src, dst); component is the least id. Hooks to the least neighbouring label and jumps to the label's label."""
-    edges = cut(edges.select("src", "dst"))
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut(both)
-    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("low")).withColumnRenamed("src", "id")
-        hooked = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"))
-        jumped = cut(hooked.join(hooked.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")))
-        changed = jumped.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            return labels
+    """(id, component) of ``nodes`` (id) under undirected ``edges`` (src, dst) between them; component is the least id.
+
+    In a round every root with edges hooks to its neighbour of least rank, a hash drawn anew.  Two steps on the rank is never greater, so cycles are
+    pairs, of which the lesser stays a root; the trees are flattened by jumping, and only distinct edges between their roots go on.  At most half of these
+    roots are left by a round, whatever the order of the ids: least ids themselves may pass on by single steps, in as many rounds as a component is wide.
+    """
+    nodes = cut(nodes.select("id").distinct())
+    known = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    edges = cut(_between(known.select("src", "dst")))
+    trees = None
+    for k in count():
+        if edges.isEmpty():
+            break
+        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
+        roots = cut(both.groupBy(F.col("src").alias("id")).agg(F.min(rank("dst"))["id"].alias("root")))
+        while True:
+            up = roots.select(F.col("id").alias("root"), F.col("root").alias("up"))
+            at = F.when(F.col("up") == F.col("id"), F.least(rank("id"), rank("root"))["id"]).otherwise(F.col("up"))
+            roots = cut(roots.join(up, "root").select("id", at.alias("root"), (at != F.col("root")).alias("moved")))
+            if roots.where("moved").isEmpty():
+                break
+        roots = roots.select("id", "root")
+        ends = {c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst")}
+        edges = cut(_between(edges.join(ends["src"], "src").join(ends["dst"], "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))))
+        if trees is None:
+            trees = roots
+        else:
+            trees = cut(trees.join(roots.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.coalesce("up", "root").alias("root")))
+    if trees is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    named = trees.join(trees.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+    return cut(nodes.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Distinct undirected edges, the lesser end first, without loops."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 #: Weights of border, neighbours and evidence (fixed values).

@@ -68,3 +68,16 @@ def test_estimates_do_not_grow_by_rounds(spark):
     nodes = spark.range(64).toDF("id")
     found = R.components(nodes, nodes.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("dst < 64"))
     assert found.count() == 64 and int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """Ids that rise to the middle of a path and fall again: least ids handed on step by step took a round for each step of one half."""
+    n, written = 100, []
+    monkeypatch.setattr(R, "cut", lambda df, plain=R.cut: written.append(1) or plain(df))
+    path = [*range(1, n), *range(2 * n, n, -1), 0]
+    edges = spark.createDataFrame([*zip(path, path[1:], strict=False), (500, 501), (501, 500), (7, 7), (900, 1)], "src long, dst long")
+    nodes = spark.createDataFrame([(k,) for k in [*path, 500, 501, 600, 600, None]], "id long")
+    got = {x.id: x.component for x in R.components(nodes, edges).collect()}
+    assert got == {k: 0 for k in path} | {500: 500, 501: 500, 600: 600, None: None}
+    assert len(written) < 60
+    assert R.components(nodes, edges.limit(0)).where("id <> component").isEmpty()
