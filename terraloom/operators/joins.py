@@ -94,6 +94,25 @@ def pairs_below(df: DataFrame, id: str, block: list[str]) -> DataFrame:
     return df.join(other, block).where(F.col(id) < F.col(f"{id}_2"))
 
 
+#: Ids in one row of :func:`scored_pairs`.
+CHUNK = 1000
+
+
+def scored_pairs(df: DataFrame, id: str, block: list[str], kind: str, score: Column, name: str) -> DataFrame:
+    """(id, id_2, name): unordered pairs inside a block, the smaller id first, with ``score``, a Column of ``kind`` and its copy ``kind``_2.
+
+    Rows of one kind score alike: kinds meet with at most CHUNK ids in a row and score once, then their ids are paired.  Blocks are dealt to as many tasks as
+    a shuffle has, since their bytes do not tell the work, which is quadratic in a block by its result.
+    """
+    place = F.row_number().over(Window.partitionBy(*block, kind).orderBy(id))
+    chunks = df.where(F.col(id).isNotNull()).select(*block, kind, id, F.floor((place - 1) / CHUNK).alias("__c")).groupBy(*block, kind, "__c").agg(F.sort_array(F.collect_list(id)).alias("__ids"))
+    chunks = chunks.drop("__c").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *block)
+    other = chunks.withColumnsRenamed({kind: f"{kind}_2", "__ids": "__ids_2"})
+    met = chunks.join(other.hint("merge"), block).where(F.element_at("__ids", 1) < F.element_at("__ids_2", -1)).select("__ids", "__ids_2", score.alias(name))
+    pairs = met.select(F.explode("__ids").alias(id), "__ids_2", name).select(id, F.explode("__ids_2").alias(f"{id}_2"), name)
+    return pairs.where(F.col(id) < F.col(f"{id}_2"))
+
+
 def suggest(left: DataFrame, right: DataFrame, scope: list[str], left_id: str, left_name: str, right_name: str, n: int = 5) -> DataFrame:
     """The n most similar names of the same scope for each left row, by :func:`similar.top_similar`."""
     return similar.top_similar(left, right, scope, left_id, left_name, right_name, n)

@@ -115,8 +115,7 @@ def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in common of part names of one brand and size."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", F.array_distinct(T.tokens(F.col("p_name"))).alias("words"))
-    pairs = J.pairs_below(p, "p_partkey", ["p_brand", "p_size"])
-    return pairs.select("p_partkey", "p_partkey_2", F.round(T.words_jaccard(F.col("words"), F.col("words_2")), 6).alias("jaccard"))
+    return J.scored_pairs(p, "p_partkey", ["p_brand", "p_size"], "words", F.round(T.words_jaccard(F.col("words"), F.col("words_2")), 6), "jaccard")
 
 
 def edit_one(spark: SparkSession, sf_dir: str) -> DataFrame:

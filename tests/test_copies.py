@@ -7,6 +7,7 @@ from terraloom.functions import text as T
 from terraloom.operators import joins as J
 from terraloom.operators import overlay as O
 from terraloom.operators import spatial as S
+from terraloom.plans import relational
 
 
 def test_cascade_counts_the_right_side_first(spark):
@@ -37,3 +38,23 @@ def test_words_are_split_once(spark):
     words = [F.array_distinct(T.tokens(F.col(c))) for c in "ab"]
     r = df.select(T.words_jaccard(*words).alias("w"), T.token_jaccard(F.col("a"), F.col("b")).alias("t")).first()
     assert r.w == r.t == 2 / 3
+
+
+def test_kinds_are_scored_once(spark, monkeypatch):
+    """Pairs of ids are those of the plain join; scores are of pairs of kinds, and no side is broadcast."""
+    rows = [(k % 40, "b" if k % 7 else None, k % 3, ["x", "y", "z"][k % 5 % 3 :] if k % 11 else None) for k in range(150)]
+    df = spark.createDataFrame([*rows, (None, "b", 1, ["x"])], "id long, brand string, size int, words array<string>")
+    score, plain = T.words_jaccard(F.col("words"), F.col("words_2")), J.pairs_below(df, "id", ["brand", "size"])
+    want = sorted(tuple(r) for r in plain.select("id", "id_2", F.coalesce(score, F.lit(-1.0))).collect())
+    monkeypatch.setattr(J, "CHUNK", 4)
+    got = J.scored_pairs(df, "id", ["brand", "size"], "words", F.coalesce(score, F.lit(-1.0)), "score")
+    assert len(want) > 500 and sorted(tuple(r) for r in got.collect()) == want
+    monkeypatch.setattr(J, "CHUNK", 1000)
+    calls = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda a, b: calls.add(1) or a == b, "boolean")
+    one = spark.range(500).select("id", F.lit("b").alias("brand"), (F.col("id") % 2).alias("kind"))
+    assert J.scored_pairs(one, "id", ["brand"], "kind", counted("kind", "kind_2"), "same").where("same").count() == 2 * 250 * 249 // 2
+    assert 3 <= calls.value <= 8
+    plan = relational.token_jaccard(spark, "/root/testdata/sf0.001")
+    plan.collect()
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
