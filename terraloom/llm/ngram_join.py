@@ -19,7 +19,7 @@ exactly, on the texts; signatures whose nodes are still in different components
 across components, so that no pair under any signature is left both unverified and unconnected.  So no group is expanded to
 all pairs while one component holds it, and no link between components is lost.  Before texts are fetched, pairs must pass a
 bound that every link passes: sizes, and parities of the shingles by bit of a hash, of which each shingle that the sets do
-not share flips one.
+not share flips one.  Sets too large for the bits that all have are told apart by as many bits as their size calls for.
 
 Rows and sets are named by 128 bits, and each set by a number from then on; pairs are verified by the shingles of both texts.
 
@@ -55,6 +55,8 @@ BROADCAST_ROWS = 500_000
 #: Longs of a set's parity sketch.
 SKETCH = 16
 _BITS = [f"p{k}" for k in range(SKETCH)]
+#: Sets of more shingles have a wide sketch too: of more than about 1800, almost any two differ in fewer of 1024 parities than they may.
+LARGE = 700
 
 
 def shingles(s: Slice, n: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +76,21 @@ def shingles(s: Slice, n: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
             out.append(gram_hash(word, k)[first[few]])
             rows.append(few)
     h, row = np.concatenate(out), np.concatenate(rows)
-    _, one = np.unique(h + mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
-    one = one[np.argsort(row[one], kind="stable")]
-    return h[one], row[one]
+    one = _first_of_each(h + mix(row.astype(np.uint64) + np.uint64(1)))
+    h, row = h[one], row[one]
+    if len(out) > 2:
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    return h, row
+
+
+def _first_of_each(keys: np.ndarray) -> np.ndarray:
+    """Mask: one place of each distinct key.  An unstable sort will do, since rows with equal keys are alike, and is several times faster."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    out = np.ones(len(keys), bool)
+    out[order[1:][ranked[1:] == ranked[:-1]]] = False
+    return out
 
 
 def _sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
@@ -110,6 +124,34 @@ def _parities(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _wide(h: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """Parities of each set of more than LARGE shingles by 2 to 4 bits a shingle, a power of two, as bytes; null for others."""
+    edge = np.searchsorted(row, np.arange(rows + 1))
+    out = []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        bits = max(64, 2 << int(hi - lo).bit_length())
+        odd = np.bincount((mix(h[lo:hi] + np.uint64(11)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 if hi - lo > LARGE else None
+        out.append(None if odd is None else np.packbits(odd.astype(bool)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _flipped(a: bytes, b: bytes) -> int:
+    """Parities that differ between two wide sketches; the larger is folded to the bits of the other."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _still_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (a, b) of (a, b, size, wide_a, wide_b) in which no more parities differ than shingles may; size is of both sets."""
+    for batch in batches:
+        sizes, wide_a, wide_b = batch.column(2).to_numpy(), batch.column(3), batch.column(4)
+        near = [(DEN + NUM) * _flipped(x.as_py(), y.as_py()) <= (DEN - NUM) * int(n) for n, x, y in zip(sizes, wide_a, wide_b, strict=True)]
+        out = batch.filter(pa.array(near, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
+
+
 def _may_link(a: str, b: str) -> Column:
     """Necessary for a link of two nodes whose sizes and sketches have these suffixes: the sizes are near enough, and no more parities differ than shingles may."""
     differ = sum((F.bit_count(F.col(f"p{k}{a}").bitwiseXOR(F.col(f"p{k}{b}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"p0{a}").bitwiseXOR(F.col(f"p0{b}"))))
@@ -122,8 +164,8 @@ def _sketches(nodes: DataFrame, suffix: str) -> DataFrame:
 
 
 def _sized(keyed: DataFrame, n: int) -> DataFrame:
-    """(row_key, doc_id, n_shingles, name, name_2, sketch): two hashes name the set; without shingles they are the row's own."""
-    names = ["row_key", "doc_id", "n_shingles", "name", "name_2", *_BITS]
+    """(row_key, doc_id, n_shingles, name, name_2, sketch, wide): two hashes name the set; without shingles they are the row's own."""
+    names = ["row_key", "doc_id", "n_shingles", "name", "name_2", *_BITS, "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +177,10 @@ def _sized(keyed: DataFrame, n: int) -> DataFrame:
                 for i in np.flatnonzero(size == 0):
                     name[0][i] = int(part.column(0)[int(i)].as_py()[:15], 16)
                 bits = _parities(h, row, s.rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), *map(pa.array, name), *(pa.array(bits[:, k].copy()) for k in range(SKETCH))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int64)), *map(pa.array, name), *(pa.array(bits[:, k].copy()) for k in range(SKETCH)), _wide(h, row, s.rows)], names)
 
-    return keyed.mapInArrow(run, ", ".join(f"{c} {'string' if c == 'row_key' else 'long'}" for c in names))
+    kinds = {"row_key": "string", "wide": "binary"}
+    return keyed.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
 
 
 def frequent_shingles(keyed: DataFrame, n: int, total: int) -> np.ndarray:
@@ -171,7 +214,7 @@ def frequent_shingles(keyed: DataFrame, n: int, total: int) -> np.ndarray:
 
 def _groups(row: np.ndarray, seg: np.ndarray, h: np.ndarray, light: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, segment, sum of hashes, size and lightness of each (row, segment)."""
-    order = np.argsort((row.astype(np.uint64) << np.uint64(40)) + seg.astype(np.uint64), kind="stable")
+    order = np.argsort((row.astype(np.uint64) << np.uint64(40)) + seg.astype(np.uint64))
     row, seg, h, light = row[order], seg[order], mix(h[order] + np.uint64(7)), light[order]
     heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]))) if len(row) else np.zeros(0, np.int64)
     total = np.add.reduceat(h, heads) if len(heads) else h
@@ -294,7 +337,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the threshold, from whole texts."""
     near = pairs.withColumnsRenamed({"a": "node_a", "b": "node_b"}).join(_sketches(nodes, "_a"), "node_a").join(_sketches(nodes, "_b"), "node_b").where(_may_link("_a", "_b"))
-    pairs = written(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
+    x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
+    pairs = written(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (x + y).alias("size"), (F.least(x, y) > LARGE).alias("large")), "pairs")
+    large = pairs.where("large")
+    if not large.isEmpty():
+        wide = nodes.where("wide IS NOT NULL").select("node", "wide")
+        large = large.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b").select("a", "b", "size", "wide_a", "wide_b")
+        pairs = written(pairs.where("NOT large").select("a", "b").unionByName(large.mapInArrow(_still_near, "a long, b long")), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row_key"), "node")
     wanted = written(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
@@ -315,14 +364,13 @@ def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, n: int) -> D
                     sizes.append(np.bincount(row, minlength=part.num_rows))
                     keys.append((row, h + mix(row.astype(np.uint64) + np.uint64(1))))
                 row, key = np.concatenate([keys[0][0], keys[1][0]]), np.concatenate([keys[0][1], keys[1][1]])
-                _, one = np.unique(key, return_index=True)
-                union = np.bincount(row[one], minlength=part.num_rows)
+                union = np.bincount(row[_first_of_each(key)], minlength=part.num_rows)
                 linked = DEN * (sizes[0] + sizes[1] - union) >= NUM * union
                 out = part.filter(pa.array(linked))
                 yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
                 lo = hi
 
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    both = pairs.select("a", "b").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     both = both.select("a", "b", "text_a", "text_b", (F.octet_length("text_a") + F.octet_length("text_b")).cast("long").alias("size"))
     return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
@@ -350,7 +398,7 @@ def _components(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
     spark = docs.sparkSession
     keyed = _keyed(docs, text, doc_id)
     sized = written(_sized(keyed, n), "sized")
-    nodes = sized.where("n_shingles > 0").groupBy("name", "name_2").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", *_BITS)])
+    nodes = sized.where("n_shingles > 0").groupBy("name", "name_2").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", *_BITS, "wide")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     total = sized.count()
     frequent = spark.sparkContext.broadcast(frequent_shingles(keyed, n, total))

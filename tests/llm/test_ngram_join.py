@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from terraloom.llm import ngram_join
 from terraloom.llm.ngram_join import jaccard_components, keep_one
 
 
@@ -75,3 +78,39 @@ def test_keep_one_by_component_not_by_id(spark, documents):
 
 def test_empty_table(spark, documents):
     assert jaccard_components(documents([])).count() == 0
+
+
+def test_large_sets_against_brute_force(spark, documents):
+    rng, texts = random.Random(4), []
+    for n in (690, 720, 1000, 1030, 2040, 2060):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (0.0, 0.01, 0.025, 0.028, 0.03, 0.035, 0.06):  # a word in the middle of others changes 5 shingles
+            texts.append(" ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base))
+        texts += [" ".join(base[: n * 3 // 4]), " ".join(base[: n * 3 // 4 + 2])]
+    rows = list(enumerate(texts))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(documents(rows)).collect()), key=repr)
+    assert got == brute(rows) and 20 < len({c for _, _, c in got}) < len(rows)
+
+
+def test_wide_sketches_pass_every_link():
+    rng = np.random.default_rng(3)
+    for n in (701, 1020, 1030, 4000):
+        every = rng.integers(1 << 62, size=2 * n).astype(np.uint64)
+        for m in (n, n * 9 // 8, n * 4 // 3):  # the lesser within the larger, which may have twice its bits
+            a, b = ngram_join._wide(np.concatenate([every[:n], every[:m]]), np.repeat([0, 1], [n, m]), 2).to_pylist()
+            assert 7 * ngram_join._flipped(a, b) <= 7 * (m - n) <= n + m and ngram_join._flipped(a, b) == ngram_join._flipped(b, a)
+
+
+def test_texts_of_unlike_large_sets_are_not_fetched(spark, documents, monkeypatch):
+    """Sets of 3,600 shingles, two and two with a passage in common: 1024 parities let them through, and all their texts were joined."""
+    rng, fetched = random.Random(6), []
+    rows = [(d, " ".join([f"v{rng.randrange(10**7)}" for _ in range(3000)] + [f"c{d // 2}-{k}" for k in range(600)])) for d in range(12)]
+
+    def written(df, name, plain=ngram_join.written):
+        out = plain(df, name)
+        fetched.append(out.count() if name == "wanted" else 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    assert sorted(r.component_id for r in jaccard_components(documents(rows)).collect()) == list(range(12))
+    assert sum(fetched) == 0
